@@ -1,0 +1,33 @@
+"""Reading fixed-width fields of binary columns. Positions are 1-based, as in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def raw(value: bytes) -> Column:
+    return F.lit(bytearray(value))
+
+
+def at(content: Column, pos: int, value: bytes) -> Column:
+    """Whether the bytes from ``pos`` on are exactly these."""
+    return F.substring(content, pos, len(value)) == raw(value)
+
+
+def last(content: Column, n: int) -> Column:
+    return F.substring(content, -n, n)
+
+
+def u32_be(content: Column, pos: int) -> Column:
+    return F.conv(F.hex(F.substring(content, pos, 4)), 16, 10).cast("long")
+
+
+def u32_le(content: Column, pos: int) -> Column:
+    digits = [F.hex(F.substring(content, pos + i, 1)) for i in (3, 2, 1, 0)]
+    return F.conv(F.concat(*digits), 16, 10).cast("long")
+
+
+def to_u32_le(n: Column) -> Column:
+    be = F.unhex(F.lpad(F.hex(n), 8, "0"))
+    return F.concat(*[F.substring(be, i, 1) for i in (4, 3, 2, 1)])
