@@ -1,26 +1,23 @@
 """Signature and truncation rules for file payloads, as Catalyst expressions.
 
-A rule looks at the head, the tail and the length of a payload, so it works on a binary
-column as well as on the few kilobytes a file reader brings along. Rules that need the
-whole payload take ``has``; without it they are left to the whole-file checks.
-
-Each rule is a condition with a reason and a text. A row evaluates the rules of its own
-kind to one small integer, and the verdict is looked up once in a constant array; building
-a struct inside every rule would outgrow the size limit of generated code.
+A rule is a SQL condition that holds for a broken payload, a reason and a text. Conditions
+see ``head`` (the first bytes), ``tail`` (the last bytes), ``length`` and ``ext``, so they
+work on a binary column as well as on the few kilobytes a file reader brings along. Rules
+over ``whole`` need the complete payload; a file reader leaves them to the whole-file
+checks.
+
+A row evaluates the rules of its own kind to one small integer, and the verdict is looked
+up once in a constant array: structs inside every rule would outgrow the size limit of
+generated code.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.binary import at, last, raw, u32_be, u32_le
-from assay.functions.paths import scan_ext
 from assay.operators.formats import dispatch
-from assay.operators.verdicts import because, ok
+from assay.operators.verdicts import REASONS
 
 # Bytes an evidence reader keeps from both ends of a file.
 HEAD_BYTES = 4096
@@ -37,201 +34,191 @@ HEIF_BRANDS = (b"heic", b"heix", b"heim", b"heis", b"hevc", b"hevx", b"mif1", b"
 RAW_STARTS = (TIFF_LE, TIFF_BE, b"IIRO", b"IIRS", b"MMOR", b"IIU\x00", b"FUJIFILMCCD-RAW ")
 MP4_BOXES = (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"pnot")
 MKV_START = b"\x1aE\xdf\xa3"
+AUDIO_STARTS = (b"fLaC", b"ID3", b"ADIF")
+# MPEG and ADTS frame sync.
+AUDIO_SYNC = (b"\xff\xfb", b"\xff\xfa", b"\xff\xf3", b"\xff\xf2", b"\xff\xf1", b"\xff\xf9")
 # Stream each legacy office type must contain.
 OLE_STREAMS = {".doc": "WordDocument", ".xls": "Workbook", ".ppt": "PowerPoint Document"}
 
-Rule = tuple[Column, str, str]
-
-
-@dataclass(frozen=True)
-class Evidence:
-    head: Column
-    tail: Column
-    size: Column
-    ext: Column
-    has: Callable[[bytes], Column] | None = None
-
-    def starts(self, *options: bytes) -> Column:
-        return _any(F.startswith(self.head, raw(o)) for o in options)
 
-    def at(self, pos: int, *options: bytes) -> Column:
-        return _any(at(self.head, pos, o) for o in options)
+def _x(value: bytes) -> str:
+    return f"X'{value.hex()}'"
 
 
-def _any(conditions) -> Column:
-    out = None
-    for c in conditions:
-        out = c if out is None else out | c
-    return out
+def _starts(*options: bytes) -> str:
+    return "(" + " OR ".join(f"startswith(head, {_x(o)})" for o in options) + ")"
 
 
-def of_content(content: Column | str, ext: Column | str = "ext") -> Evidence:
-    c = F.col(content) if isinstance(content, str) else content
-    e = F.col(ext) if isinstance(ext, str) else ext
-    return Evidence(c, c, F.length(c).cast("long"), e, has=lambda b: F.contains(c, raw(b)))
+def _at(pos: int, *options: bytes) -> str:
+    return f"(substring(head, {pos}, {len(options[0])}) IN ({', '.join(map(_x, options))}))"
 
 
-def of_ends(head: str = "head", tail: str = "tail", size: str = "size", ext: str = "ext") -> Evidence:
-    return Evidence(F.col(head), F.col(tail), F.col(size), F.col(ext))
+def _ends_with_any_of_last(n: int, value: bytes) -> str:
+    return f"contains(substring(tail, -{n}, {n}), {_x(value)})"
 
 
-def _jpeg(e: Evidence) -> list[Rule]:
-    return [
-        (~e.starts(JPEG_START), "bad_signature", "not a JPEG stream"),
-        (~F.contains(last(e.tail, 1024), raw(JPEG_END)), "truncated", "end-of-image marker missing"),
-    ]
-
+def _u32_be(pos: int) -> str:
+    return f"cast(conv(hex(substring(head, {pos}, 4)), 16, 10) AS bigint)"
 
-def _png(e: Evidence) -> list[Rule]:
-    return [
-        (~e.starts(PNG_START), "bad_signature", "not a PNG stream"),
-        (~F.endswith(e.tail, raw(PNG_END)), "truncated", "IEND chunk missing"),
-    ]
 
+def _u32_le(pos: int) -> str:
+    digits = ", ".join(f"hex(substring(head, {pos + i}, 1))" for i in (3, 2, 1, 0))
+    return f"cast(conv(concat({digits}), 16, 10) AS bigint)"
 
-def _first_directory_outside(e: Evidence) -> Column:
-    offset = F.when(e.starts(TIFF_LE), u32_le(e.head, 5)).otherwise(u32_be(e.head, 5))
-    return e.starts(TIFF_LE, TIFF_BE) & F.coalesce((offset < 8) | (offset >= e.size), F.lit(True))
 
+_TIFF_ANY = _starts(TIFF_LE, TIFF_BE, BIGTIFF_LE, BIGTIFF_BE)
+_FIRST_DIR = f"CASE WHEN {_starts(TIFF_LE)} THEN {_u32_le(5)} ELSE {_u32_be(5)} END"
+_DIR_OUTSIDE = (
+    f"({_starts(TIFF_LE, TIFF_BE)} AND coalesce({_FIRST_DIR} NOT BETWEEN 8 AND length - 1, true))"
+)
+_TIFF_SHORT = f"({_DIR_OUTSIDE} OR length < 16)"
+_RIFF_SHORT = f"coalesce({_u32_le(5)} + 8 > length, true)"
+_WAV = f"({_starts(b'RIFF')} AND {_at(9, b'WAVE')})"
+_RAW_KNOWN = f"({_starts(*RAW_STARTS)} OR ({_at(5, b'ftyp')} AND {_at(9, b'crx ')}))"
+_VIDEO_SIGNED = (
+    f"CASE ext WHEN '.mkv' THEN {_starts(MKV_START)}"
+    f" WHEN '.mts' THEN {_at(1, b'G')} OR {_at(5, b'G')} ELSE {_at(5, *MP4_BOXES)} END"
+)
 
-def _tiff(e: Evidence) -> list[Rule]:
-    return [
-        (~e.starts(TIFF_LE, TIFF_BE, BIGTIFF_LE, BIGTIFF_BE), "bad_tiff", "not a TIFF stream"),
-        (_first_directory_outside(e) | (e.size < 16), "bad_tiff", "first directory lies outside the file"),
-    ]
-
+Rule = tuple[str, str, str]
 
-def _riff(e: Evidence, form: bytes) -> tuple[Column, Column]:
-    declared = u32_le(e.head, 5) + 8
-    return e.starts(b"RIFF") & e.at(9, form), F.coalesce(declared > e.size, F.lit(True))
-
-
-def _webp(e: Evidence) -> list[Rule]:
-    signed, short = _riff(e, b"WEBP")
-    return [
-        (~signed, "bad_signature", "not a WebP stream"),
-        (short, "truncated", "declared length exceeds the file"),
-    ]
-
-
-def _heif(e: Evidence) -> list[Rule]:
-    return [
-        (~e.at(5, b"ftyp"), "bad_signature", "not a HEIF or AVIF stream"),
-        (~F.substring(e.head, 9, 4).isin(*[raw(b) for b in HEIF_BRANDS]), "unknown_codec", "unsupported codec brand"),
-        (u32_be(e.head, 1) > e.size, "truncated", "declared length exceeds the file"),
-    ]
-
-
-def _raw(e: Evidence) -> list[Rule]:
-    known = e.starts(*RAW_STARTS) | (e.at(5, b"ftyp") & e.at(9, b"crx "))
+RULES: dict[str, list[Rule]] = {
+    "jpeg": [
+        (f"NOT {_starts(JPEG_START)}", "bad_signature", "not a JPEG stream"),
+        (f"NOT {_ends_with_any_of_last(1024, JPEG_END)}", "truncated", "end-of-image marker missing"),
+    ],
+    "png": [
+        (f"NOT {_starts(PNG_START)}", "bad_signature", "not a PNG stream"),
+        (f"NOT endswith(tail, {_x(PNG_END)})", "truncated", "IEND chunk missing"),
+    ],
+    "tiff": [
+        (f"NOT {_TIFF_ANY}", "bad_tiff", "not a TIFF stream"),
+        (_TIFF_SHORT, "bad_tiff", "first directory lies outside the file"),
+    ],
+    "webp": [
+        (f"NOT ({_starts(b'RIFF')} AND {_at(9, b'WEBP')})", "bad_signature", "not a WebP stream"),
+        (_RIFF_SHORT, "truncated", "declared length exceeds the file"),
+    ],
+    "heif": [
+        (f"NOT {_at(5, b'ftyp')}", "bad_signature", "not a HEIF or AVIF stream"),
+        (f"NOT {_at(9, *HEIF_BRANDS)}", "unknown_codec", "unsupported codec brand"),
+        (f"{_u32_be(1)} > length", "truncated", "declared length exceeds the file"),
+    ],
     # A DNG that no camera rule knows may still be a sound TIFF.
-    dng = e.ext == ".dng"
-    not_tiff = _any(condition for condition, _, _ in _tiff(e))
-    return [
-        (~known & dng & not_tiff, "unknown_dng", "Camera model not supported, TIFF fallback failed"),
-        (~known & ~dng, "unknown_camera", "Camera model not supported"),
-        (_first_directory_outside(e), "bad_raw", "first directory lies outside the file"),
-    ]
+    "raw": [
+        (
+            f"NOT {_RAW_KNOWN} AND ext = '.dng' AND (NOT {_TIFF_ANY} OR {_TIFF_SHORT})",
+            "unknown_dng",
+            "Camera model not supported, TIFF fallback failed",
+        ),
+        (f"NOT {_RAW_KNOWN} AND ext <> '.dng'", "unknown_camera", "Camera model not supported"),
+        (_DIR_OUTSIDE, "bad_raw", "first directory lies outside the file"),
+    ],
+    "pdf": [
+        (f"NOT contains(substring(head, 1, 1024), {_x(b'%PDF-')})", "bad_signature", "PDF header not found"),
+        (f"NOT {_ends_with_any_of_last(1024, b'%%EOF')}", "truncated", "EOF marker not found"),
+        (f"NOT {_ends_with_any_of_last(1024, b'startxref')}", "bad_structure", "startxref not found"),
+    ],
+    "ooxml": [
+        (
+            f"NOT {_starts(ZIP_START)} OR NOT {_ends_with_any_of_last(TAIL_BYTES, ZIP_END)}",
+            "bad_container",
+            "Bad ZIP container: File is not a zip file",
+        ),
+    ],
+    "ole": [
+        (f"NOT {_starts(OLE_START)} OR length < 1536", "bad_container", "Not a valid OLE2 container"),
+    ],
+    "video": [
+        (f"NOT {_VIDEO_SIGNED}", "bad_signature", "Invalid data found when processing input"),
+    ],
+    "audio": [
+        (
+            f"NOT ({_WAV} OR {_starts(*AUDIO_STARTS)} OR {_at(1, *AUDIO_SYNC)})",
+            "unknown_audio",
+            "unrecognized audio format — possibly misnamed or empty file",
+        ),
+        (f"{_WAV} AND {_RIFF_SHORT}", "truncated", "declared length exceeds the file"),
+    ],
+}
 
+WHOLE_RULES: dict[str, list[Rule]] = {
+    "ole": [
+        (
+            f"ext = '{ext}' AND NOT contains(whole, {_x(stream.encode('utf-16-le'))})",
+            "missing_part",
+            f"Missing expected OLE stream: '{stream}'",
+        )
+        for ext, stream in OLE_STREAMS.items()
+    ],
+    "video": [
+        (
+            f"ext IN ('.mp4', '.mov', '.m4v') AND NOT contains(whole, {_x(b'moov')})",
+            "bad_structure",
+            "moov atom not found",
+        )
+    ],
+}
 
-def _pdf(e: Evidence) -> list[Rule]:
-    end = last(e.tail, 1024)
-    return [
-        (~F.contains(F.substring(e.head, 1, 1024), raw(b"%PDF-")), "bad_signature", "PDF header not found"),
-        (~F.contains(end, raw(b"%%EOF")), "truncated", "EOF marker not found"),
-        (~F.contains(end, raw(b"startxref")), "bad_structure", "startxref not found"),
-    ]
+_ANY_KIND: list[Rule] = [
+    ("length IS NULL", "missing", "No such file or directory"),
+    ("length = 0 AND kind <> 'audio'", "empty", "empty file"),
+]
+
+OK_CODE = 0
 
 
-def _ooxml(e: Evidence) -> list[Rule]:
-    broken = ~e.starts(ZIP_START) | ~F.contains(last(e.tail, TAIL_BYTES), raw(ZIP_END))
-    return [(broken, "bad_container", "Bad ZIP container: File is not a zip file")]
+def _numbered(whole: bool) -> tuple[list[Rule], str]:
+    """All rules in code order, and the CASE that yields the code of a row."""
+    rules = list(_ANY_KIND)
+    arms = [f"WHEN {c} THEN {i}" for i, (c, _, _) in enumerate(rules, 1)]
+    for kind, own in RULES.items():
+        own = own + (WHOLE_RULES.get(kind, []) if whole else [])
+        first = len(rules) + 1
+        inner = " ".join(f"WHEN {c} THEN {i}" for i, (c, _, _) in enumerate(own, first))
+        arms.append(f"WHEN kind = '{kind}' THEN CASE {inner} ELSE {OK_CODE} END")
+        rules += own
+    return rules, f"CASE {' '.join(arms)} ELSE {OK_CODE} END"
 
 
-def _ole(e: Evidence) -> list[Rule]:
-    rules = [(~e.starts(OLE_START) | (e.size < 1536), "bad_container", "Not a valid OLE2 container")]
-    if e.has is not None:
-        for ext, stream in OLE_STREAMS.items():
-            absent = (e.ext == ext) & ~e.has(stream.encode("utf-16-le"))
-            rules.append((absent, "missing_part", f"Missing expected OLE stream: '{stream}'"))
-    return rules
+def code(whole: bool = False) -> Column:
+    """Number of the first broken rule, over columns kind, ext, head, tail, length, whole."""
+    return F.expr(_numbered(whole)[1])
 
 
-def _video(e: Evidence) -> list[Rule]:
-    signed = (
-        F.when(e.ext == ".mkv", e.starts(MKV_START))
-        .when(e.ext == ".mts", e.at(1, b"\x47") | e.at(5, b"\x47"))
-        .otherwise(F.substring(e.head, 5, 4).isin(*[raw(b) for b in MP4_BOXES]))
+def failure(code_column: str, whole: bool = False) -> Column:
+    """The verdict behind a code; null for OK_CODE."""
+    text = lambda v: "cast(NULL AS string)" if v is None else "'" + v.replace("'", "\\'") + "'"
+    verdict = lambda status, error, action: (
+        f"named_struct('status', {text(status)}, 'error', {text(error)}, 'suggested_action', {text(action)})"
     )
-    rules = [(~signed, "bad_signature", "Invalid data found when processing input")]
-    if e.has is not None:
-        absent = e.ext.isin(".mp4", ".mov", ".m4v") & ~e.has(b"moov")
-        rules.append((absent, "bad_structure", "moov atom not found"))
-    return rules
-
-
-def _audio(e: Evidence) -> list[Rule]:
-    wav, short = _riff(e, b"WAVE")
-    sync = F.substring(e.head, 1, 2).isin(*[raw(bytes([0xFF, b])) for b in (0xFB, 0xFA, 0xF3, 0xF2, 0xF1, 0xF9)])
-    known = wav | e.starts(b"fLaC", b"ID3", b"ADIF") | sync
-    return [
-        (~known, "unknown_audio", "unrecognized audio format — possibly misnamed or empty file"),
-        (wav & short, "truncated", "declared length exceeds the file"),
+    cells = [
+        verdict(REASONS[reason][0], error, REASONS[reason][1]) for _, reason, error in _numbered(whole)[0]
     ]
+    return F.expr(f"CASE WHEN {code_column} <> {OK_CODE} THEN element_at(array({', '.join(cells)}), {code_column}) END")
 
 
-RULES = {
-    "jpeg": _jpeg,
-    "png": _png,
-    "tiff": _tiff,
-    "webp": _webp,
-    "heif": _heif,
-    "raw": _raw,
-    "pdf": _pdf,
-    "ooxml": _ooxml,
-    "ole": _ole,
-    "video": _video,
-    "audio": _audio,
-}
-
-OK_CODE = 0
-
-
-class RuleSet:
-    """Rules of all kinds for one form of evidence, numbered."""
-
-    def __init__(self, e: Evidence, kind: Column):
-        self._outcomes: list[tuple[str, str] | None] = [None]
-        chain = F.when(e.size.isNull(), self._code("missing", "No such file or directory")).when(
-            (e.size == 0) & (kind != "audio"), self._code("empty", "empty file")
-        )
-        for name, rules in RULES.items():
-            first = None
-            for condition, reason, error in rules(e):
-                code = self._code(reason, error)
-                first = F.when(condition, code) if first is None else first.when(condition, code)
-            chain = chain.when(kind == name, first.otherwise(OK_CODE))
-        # First broken rule of a row's kind, or OK_CODE.
-        self.code = chain.otherwise(OK_CODE)
-
-    def _code(self, reason: str, error: str) -> Column:
-        self._outcomes.append((reason, error))
-        return F.lit(len(self._outcomes) - 1)
-
-    def failure(self, code: Column) -> Column:
-        """The verdict behind a code; null for OK_CODE."""
-        verdicts = F.array(*[ok() if o is None else because(*o) for o in self._outcomes])
-        return F.when(code != OK_CODE, F.element_at(verdicts, code + 1))
+def no_validator() -> Column:
+    """Verdict of rows whose extension no kind is registered for."""
+    status, action = REASONS["no_validator"]
+    assert action is None
+    return F.expr(
+        f"CASE WHEN kind IS NULL THEN named_struct('status', '{status}', 'error',"
+        " concat('No validator for \\'', ext, '\\''), 'suggested_action', cast(NULL AS string)) END"
+    )
 
 
-def no_validator(ext: Column, kind: Column) -> Column:
-    error = F.concat(F.lit("No validator for '"), ext, F.lit("'"))
-    return F.when(kind.isNull(), because("no_validator", error))
+def coded(payloads: DataFrame, content: str = "content", name: str = "_code") -> DataFrame:
+    """Adds the rule code of each ``(path, content, ...)`` row, with its ext and kind."""
+    c = F.col(content)
+    routed = dispatch(payloads).withColumns({"head": c, "tail": c, "whole": c, "length": F.length(c)})
+    return routed.withColumn(name, code(whole=True)).drop("head", "tail", "whole", "length", "cost_class")
 
 
 def check_content(payloads: DataFrame, content: str = "content") -> DataFrame:
     """``verdict`` for ``(path, content, ...)`` rows; no Python, no shuffle."""
-    rules = RuleSet(of_content(content), F.col("kind"))
-    coded = dispatch(payloads).withColumn("_code", rules.code).drop(content)
-    found = F.coalesce(no_validator(F.col("ext"), F.col("kind")), rules.failure(F.col("_code")), ok())
-    return coded.withColumn("verdict", found).drop("_code")
+    found = F.coalesce(no_validator(), failure("_code", whole=True), F.expr(_OK))
+    return coded(payloads, content).drop(content).withColumn("verdict", found).drop("_code")
+
+
+_OK = "named_struct('status', 'ok', 'error', cast(NULL AS string), 'suggested_action', cast(NULL AS string))"

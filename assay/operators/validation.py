@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from assay.operators.deep_checks import DeepCheck, registered
 from assay.operators.formats import dispatch
 from assay.operators.payload_checks import (
-    HEAD_BYTES, OK_CODE, TAIL_BYTES, RuleSet, no_validator, of_content, of_ends,
+    HEAD_BYTES, OK_CODE, TAIL_BYTES, code, coded, failure, no_validator,
 )
 from assay.operators.verdicts import REASONS, first_failing, rule, unstatable, verdict
 
@@ -87,12 +87,11 @@ def validate_content(
     and have a whole-payload check take their content along.
     """
     checks = _deep_kinds(depth)
-    rules = RuleSet(of_content("content"), F.col("kind"))
-    coded = dispatch(payloads).withColumn("_code", rules.code)
+    rows = coded(payloads)
     too_big = F.lit(False) if max_bytes is None else F.coalesce(F.length("content") > max_bytes, F.lit(False))
     keep = [c for c in payloads.columns if c != "content"]
     todo = (F.col("_code") == OK_CODE) & F.col("kind").isin(*checks) & ~too_big
-    narrow = coded.select(
+    narrow = rows.select(
         *keep, "ext", "kind", "_code", too_big.alias("_big"), F.when(todo, F.col("content")).alias("content")
     )
 
@@ -107,8 +106,8 @@ def validate_content(
     fields = [f for f in narrow.schema.fields if f.name != "content"]
     checked = narrow.mapInPandas(run, T.StructType(fields + _FINDING.fields))
     verdicts = first_failing(
-        no_validator(F.col("ext"), F.col("kind")),
-        rules.failure(F.col("_code")),
+        no_validator(),
+        failure("_code", whole=True),
         rule(F.col("_big"), "timed_out", f"validation timed out after {timeout_s:g}s"),
         _deep_finding(),
     )
@@ -154,7 +153,7 @@ def validate_files(
     too_big = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
     unopened = F.coalesce(
         unstatable(),
-        no_validator(F.col("ext"), F.col("kind")),
+        no_validator(),
         rule(too_big, "timed_out", f"validation timed out after {timeout_s:g}s"),
     )
     opened = routed.withColumn("_unopened", unopened).drop("cost_class")
@@ -186,8 +185,9 @@ def validate_files(
     # The verdict struct of unopened files stays out of the Arrow batches.
     carried = opened.drop("_unopened")
     read = carried.mapInPandas(run, T.StructType(carried.schema.fields + _EVIDENCE.fields + _FINDING.fields))
-    rules = RuleSet(of_ends(size="length"), F.col("kind"))
     could_not_open = F.when(F.col("open_error").isNotNull(), verdict("unreadable", F.col("open_error")))
-    coded = read.withColumn("_code", F.when(F.col("_open") & F.col("open_error").isNull(), rules.code).otherwise(OK_CODE))
-    result = first_failing(unopened, could_not_open, rules.failure(F.col("_code")), _deep_finding())
-    return coded.select(*worklist.columns, result.alias("verdict"))
+    was_read = F.col("_open") & F.col("open_error").isNull()
+    result = first_failing(unopened, could_not_open, failure("_code"), _deep_finding())
+    return read.withColumn("_code", F.when(was_read, code()).otherwise(OK_CODE)).select(
+        *worklist.columns, result.alias("verdict")
+    )

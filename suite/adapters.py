@@ -27,41 +27,27 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def log_from_events(events: DataFrame) -> DataFrame:
     """Verdict log from an events table, batch or streaming."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    unstat = F.col("seq") % 50 == 0
-    status = (
-        F.when(unstat, "unreadable")
-        .when(F.col("event_type") == "view", "ok")
-        .when(F.col("event_type") == "error", "corrupt")
-        .when(F.col("event_type") == "signup", "unreadable")
-        .when(F.col("event_type") == "purchase", "unsupported")
-        .otherwise("error")
-    )
-    suffixes = F.array(*[F.lit(e) for e in (".jpg", ".NEF", ".pdf", ".mp4", ".docx")])
-    rows = events.select(F.col("event_id").alias("seq"), "ts", "user_id", "event_type", k.alias("k"))
-    rows = rows.withColumn("status", status)
-    path = F.concat(
-        F.lit("/lib"), (F.col("user_id") % 4).cast("string"),
-        F.lit("/u"), F.col("user_id").cast("string"),
-        F.lit("/f"), F.col("k").cast("string"),
-        F.element_at(suffixes, F.col("k") % 5 + 1),
-    )
-    base = 1704067200 + F.col("user_id") * 100 + F.col("k")
-    return rows.select(
-        "seq",
-        F.date_format("ts", "yyyy-MM-dd").alias("scan_id"),
-        path.alias("path"),
-        F.when(unstat, F.lit(0.0))
-        .otherwise((base + F.when(F.col("seq") % 3 == 0, 86400).otherwise(0)).cast("double"))
-        .alias("mtime"),
-        F.when(unstat, F.lit(0).cast("long"))
-        .otherwise(((F.col("k") + 1) * 1000 + F.when(F.col("seq") % 7 == 0, 1).otherwise(0)).cast("long"))
-        .alias("size"),
-        "status",
-        F.when(unstat, "Cannot stat file")
-        .when(F.col("status") != "ok", F.concat("status", F.lit(" code "), (F.col("k") % 7).cast("string")))
-        .alias("error"),
-        F.col("ts").alias("checked_at"),
+    return (
+        events.selectExpr(
+            "event_id AS seq", "ts", "user_id", "cast(get_json_object(props, '$.k') AS int) AS k",
+            """CASE WHEN event_id % 50 = 0 THEN 'unreadable' WHEN event_type = 'view' THEN 'ok'
+                    WHEN event_type = 'error' THEN 'corrupt' WHEN event_type = 'signup' THEN 'unreadable'
+                    WHEN event_type = 'purchase' THEN 'unsupported' ELSE 'error' END AS status""",
+        )
+        .selectExpr(
+            "seq",
+            "date_format(ts, 'yyyy-MM-dd') AS scan_id",
+            """concat('/lib', user_id % 4, '/u', user_id, '/f', k,
+                      element_at(array('.jpg', '.NEF', '.pdf', '.mp4', '.docx'), k % 5 + 1)) AS path""",
+            """CASE WHEN seq % 50 = 0 THEN 0.0D ELSE cast(1704067200 + user_id * 100 + k
+                    + CASE WHEN seq % 3 = 0 THEN 86400 ELSE 0 END AS double) END AS mtime""",
+            """CASE WHEN seq % 50 = 0 THEN 0L ELSE cast((k + 1) * 1000
+                    + CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END AS bigint) END AS size""",
+            "status",
+            """CASE WHEN seq % 50 = 0 THEN 'Cannot stat file'
+                    WHEN status <> 'ok' THEN concat(status, ' code ', k % 7) END AS error""",
+            "ts AS checked_at",
+        )
     )
 
 

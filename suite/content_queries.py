@@ -8,7 +8,6 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from assay.functions.binary import raw, to_u32_le
 from assay.operators import fingerprints, table_checks
 from assay.operators.payload_checks import check_content
 from assay.operators.validation import validate_content
@@ -135,44 +134,45 @@ def payloads(docs: DataFrame) -> DataFrame:
     Damage 0 and 4 is none (4 makes a HEIF brand and a DNG variant unknown), 1 cuts the
     trailer or breaks a declared length, 2 leaves the bare text, 3 leaves nothing.
     """
-    body = F.encode("text", "UTF-8")
-    n = F.length(body)
-    damage = F.floor(F.col("doc_id") / 15) % 5
-    cut = damage == 1
-    hexed = lambda h: raw(bytes.fromhex(h))
-    text = lambda s: raw(s.encode("latin-1"))
-    none, pad = raw(b""), raw(bytes(2048))
-    unless_cut = lambda tail: F.when(cut, none).otherwise(tail)
-    longer = F.when(cut, 100).otherwise(0)
-    tiff = lambda magic, extra: F.concat(magic, to_u32_le(F.when(cut, n + 500).otherwise(F.lit(8))), extra, body, hexed("00" * 16))
-    forms = {
-        ".jpg": F.concat(hexed("ffd8ffe0"), body, unless_cut(hexed("ffd9"))),
-        ".PNG": F.concat(hexed("89504e470d0a1a0a"), body, unless_cut(hexed("0000000049454e44ae426082"))),
-        ".tif": tiff(text("II*\0"), none),
-        ".heic": F.concat(
-            hexed("00000018"), text("ftyp"), F.when(damage == 4, text("zzzz")).otherwise(text("heic")),
-            unless_cut(F.concat(body, hexed("00" * 16))),
-        ),
-        ".webp": F.concat(text("RIFF"), to_u32_le(n + 4 + longer), text("WEBP"), body),
-        ".cr2": tiff(text("II*\0"), text("CR")),
-        ".dng": tiff(F.when(damage == 4, text("II+\0")).otherwise(text("II*\0")), none),
-        ".pdf": F.concat(text("%PDF-1.4\n"), body, unless_cut(text("\nstartxref\n9\n%%EOF\n"))),
-        ".docx": F.concat(hexed("504b0304"), body, unless_cut(hexed("504b0506" + "00" * 18))),
-        ".doc": F.concat(hexed("d0cf11e0a1b11ae1"), body, unless_cut(raw("WordDocument".encode("utf-16-le"))), pad),
-        ".mp4": F.concat(hexed("00000018"), text("ftypisom"), body, unless_cut(text("moov"))),
-        ".mkv": F.concat(hexed("1a45dfa3"), body),
-        ".mp3": F.concat(text("ID3"), body),
-        ".wav": F.concat(text("RIFF"), to_u32_le(n + 4 + longer), text("WAVE"), body),
+    x = lambda b: f"X'{b.hex()}'"
+    unless_cut = lambda tail: f"CASE WHEN damage = 1 THEN X'' ELSE {tail} END"
+    le = lambda n: "concat(" + ", ".join(f"substring(unhex(lpad(hex({n}), 8, '0')), {i}, 1)" for i in (4, 3, 2, 1)) + ")"
+    first_dir = le("CASE WHEN damage = 1 THEN n + 500 ELSE 8 END")
+    declared = le("n + CASE WHEN damage = 1 THEN 104 ELSE 4 END")
+    pad16, pad2k = x(bytes(16)), "unhex(repeat('00', 2048))"
+    parts = {
+        ".jpg": [x(b"\xff\xd8\xff\xe0"), "body", unless_cut("X'ffd9'")],
+        ".PNG": [x(b"\x89PNG\r\n\x1a\n"), "body", unless_cut(x(b"\0\0\0\0IEND\xaeB`\x82"))],
+        ".tif": [x(b"II*\0"), first_dir, "body", pad16],
+        ".heic": [
+            x(b"\0\0\0\x18ftyp"), f"CASE WHEN damage = 4 THEN {x(b'zzzz')} ELSE {x(b'heic')} END",
+            unless_cut(f"concat(body, {pad16})"),
+        ],
+        ".webp": [x(b"RIFF"), declared, x(b"WEBP"), "body"],
+        ".cr2": [x(b"II*\0"), first_dir, x(b"CR"), "body", pad16],
+        ".dng": [f"CASE WHEN damage = 4 THEN {x(b'II+' + bytes(1))} ELSE {x(b'II*' + bytes(1))} END", first_dir, "body", pad16],
+        ".pdf": [x(b"%PDF-1.4\n"), "body", unless_cut(x(b"\nstartxref\n9\n%%EOF\n"))],
+        ".docx": [x(b"PK\x03\x04"), "body", unless_cut(x(b"PK\x05\x06" + bytes(18)))],
+        ".doc": [
+            x(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), "body", unless_cut(x("WordDocument".encode("utf-16-le"))), pad2k,
+        ],
+        ".mp4": [x(b"\0\0\0\x18ftypisom"), "body", unless_cut(x(b"moov"))],
+        ".mkv": [x(b"\x1aE\xdf\xa3"), "body"],
+        ".mp3": [x(b"ID3"), "body"],
+        ".wav": [x(b"RIFF"), declared, x(b"WAVE"), "body"],
     }
-    pick = (F.col("doc_id") % 15).cast("int")
-    built = body
-    for i, ext in enumerate(EXTS):
-        if ext in forms:
-            built = F.when(pick == i, forms[ext]).otherwise(built)
-    content = F.when(damage == 3, none).when(damage == 2, body).otherwise(built)
-    ext = F.element_at(F.array(*[F.lit(e) for e in EXTS]), pick + 1)
-    return docs.select(
-        "doc_id", F.concat(F.lit("/docs/d"), F.col("doc_id").cast("string"), ext).alias("path"), content.alias("content")
+    forms = " ".join(f"WHEN {i} THEN concat({', '.join(parts[e])})" for i, e in enumerate(EXTS) if e in parts)
+    exts = ", ".join(f"'{e}'" for e in EXTS)
+    return (
+        docs.selectExpr(
+            "doc_id", "encode(text, 'UTF-8') AS body", "doc_id div 15 % 5 AS damage",
+            "cast(doc_id % 15 AS int) AS form", "octet_length(text) AS n",
+        )
+        .selectExpr(
+            "doc_id",
+            f"concat('/docs/d', doc_id, element_at(array({exts}), form + 1)) AS path",
+            f"CASE damage WHEN 3 THEN X'' WHEN 2 THEN body ELSE CASE form {forms} ELSE body END END AS content",
+        )
     )
 
 
