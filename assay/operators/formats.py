@@ -58,10 +58,13 @@ def dispatch(files: DataFrame) -> DataFrame:
     )
 
 
-def spread(files: DataFrame, light: int, heavy: int) -> tuple[DataFrame, DataFrame]:
-    """The same work as two inputs: light files in a few wide tasks, heavy ones in many.
+def spread(files: DataFrame, light: int, heavy: int) -> DataFrame:
+    """Light files in ``light`` tasks and heavy ones in ``heavy`` tasks of their own.
 
-    Rows are dealt out evenly, not by a key, so a large group of one kind is no problem.
+    Rows are dealt out by path, which is unique, so many files of one kind or folder do not
+    meet in one task, and a retried task gets the same files again.
     """
-    heavy_rows = files.where(F.col("cost_class") == "high")
-    return files.where(F.col("cost_class") != "high").repartition(light), heavy_rows.repartition(heavy)
+    routed = dispatch(files)
+    is_heavy = F.col("cost_class") == "high"
+    parts = routed.where(~is_heavy).repartition(light, "path"), routed.where(is_heavy).repartition(heavy, "path")
+    return parts[0].unionByName(parts[1]).select(*files.columns)

@@ -9,6 +9,7 @@ when the check returns and the size limit keeps hopeless files out beforehand.
 from __future__ import annotations
 
 import io
+import os
 import time
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -134,6 +135,8 @@ _EVIDENCE = T.StructType(
         T.StructField("tail", T.BinaryType()),
         T.StructField("length", T.LongType()),
         T.StructField("open_error", T.StringType()),
+        T.StructField("post_mtime", T.DoubleType()),
+        T.StructField("post_size", T.LongType()),
     ]
 )
 
@@ -146,7 +149,8 @@ def validate_files(
     Files are opened by path inside the tasks, so a payload is read once, where it is
     checked, and never crosses into the JVM; only both ends of it come back for the rules.
     Files that could not be stat-ed, that have no validator, or that are too big are never
-    opened.
+    opened. Each opened file is stat-ed again right after its check: ``discarded`` marks
+    verdicts of files that changed or vanished meanwhile.
     """
     checks = _deep_kinds(depth)
     routed = dispatch(worklist)
@@ -161,12 +165,19 @@ def validate_files(
     none = (None,) * (len(_EVIDENCE) + len(_FINDING))
 
     def inspect(path: str, kind: str) -> tuple:
+        ends, error, found = (None, None, None), None, (None, None, None)
         try:
             with open(path, "rb") as f:
                 ends = _ends(f)
-                return (*ends, None, *run_check(checks.get(kind), f, timeout_s))
+                found = run_check(checks.get(kind), f, timeout_s)
         except OSError as e:
-            return (None, None, None, e.strerror or str(e), None, None, None)
+            error = e.strerror or str(e)
+        try:
+            now = os.stat(path)
+            after = (now.st_mtime, now.st_size)
+        except OSError:
+            after = (None, None)
+        return (*ends, error, *after, *found)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,7 +190,7 @@ def validate_files(
                 ]
                 found = pd.DataFrame(
                     rows, columns=_EVIDENCE.fieldNames() + _FINDING.fieldNames(), dtype=object
-                ).astype({"length": "Int64"})
+                ).astype({"length": "Int64", "post_size": "Int64", "post_mtime": "float64"})
                 yield pd.concat([pdf, found], axis=1)
 
     # The verdict struct of unopened files stays out of the Arrow batches.
@@ -188,6 +199,8 @@ def validate_files(
     could_not_open = F.when(F.col("open_error").isNotNull(), verdict("unreadable", F.col("open_error")))
     was_read = F.col("_open") & F.col("open_error").isNull()
     result = first_failing(unopened, could_not_open, failure("_code"), _deep_finding())
+    unchanged = (F.col("post_mtime") == F.col("mtime")) & (F.col("post_size") == F.col("size"))
+    discarded = F.col("_open") & ~F.coalesce(unchanged, F.lit(False))
     return read.withColumn("_code", F.when(was_read, code()).otherwise(OK_CODE)).select(
-        *worklist.columns, result.alias("verdict")
+        *worklist.columns, result.alias("verdict"), discarded.alias("discarded")
     )
