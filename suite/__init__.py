@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("report_queries", "change_queries", "history_queries", "import_queries", "content_queries")
+MODULES = ("report_queries", "change_queries", "history_queries", "import_queries", "content_queries", "stream_queries")
 
 
 def load():
