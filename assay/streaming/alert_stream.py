@@ -8,12 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from assay.operators.history import ORDER
 from assay.schemas import ISSUE_STATUSES
 from assay.streaming.sinks import drain
 
@@ -26,16 +24,17 @@ class AlertState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("last", "status string, had_issue boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(rows, ignore_index=True).sort_values(list(ORDER), ignore_index=True)
-        before, had_issue = self._state.get() if self._state.exists() else (None, False)
-        issue = pdf["status"].isin(ISSUE_STATUSES)
-        earlier = had_issue | issue.cumsum().sub(issue).gt(0)
-        relapse = (pdf["status"] == "corrupt") & (pdf["status"].shift(fill_value=before) == "ok")
-        self._state.update((pdf["status"].iloc[-1], bool(had_issue or issue.any())))
-        out = pdf[issue & (~earlier | relapse)]
-        if len(out):
-            yield out[["seq", "scan_id", "path", "status", "error", "checked_at"]]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self._state.get()
+        last, had_issue = state if state is not None else (None, False)
+        for r in sorted(rows, key=lambda r: (r.checked_at, r.seq)):
+            issue = r.status in ISSUE_STATUSES
+            if issue and (not had_issue or (r.status == "corrupt" and last == "ok")):
+                yield Row(
+                    seq=r.seq, scan_id=r.scan_id, path=r.path, status=r.status, error=r.error, checked_at=r.checked_at
+                )
+            last, had_issue = r.status, had_issue or issue
+        self._state.update((last, had_issue))
 
     def close(self) -> None:
         pass
@@ -44,7 +43,7 @@ class AlertState(StatefulProcessor):
 def alerts(log: DataFrame) -> DataFrame:
     """Streaming twin of the batch alert rule. ``checked_at`` must be a timestamp."""
     rows = log.select("seq", "scan_id", "path", "status", "error", F.col("checked_at").cast("timestamp").alias("checked_at"))
-    return rows.groupBy("path").transformWithStateInPandas(
+    return rows.groupBy("path").transformWithState(
         statefulProcessor=AlertState(), outputStructType=ALERT_SCHEMA, outputMode="Append", timeMode="None"
     )
 

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import importlib
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = ("report_queries", "change_queries", "history_queries", "import_queries", "content_queries", "stream_queries")
 
