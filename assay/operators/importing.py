@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.paths import remap_prefix
+from assay.functions.paths import ancestors, remap_prefix
+from assay.operators.skew import join_facts
 
 
 def prepare(records: DataFrame, path_map: Mapping[str, str] | None = None) -> DataFrame:
@@ -23,8 +24,24 @@ def prepare(records: DataFrame, path_map: Mapping[str, str] | None = None) -> Da
     )
 
 
-def _present(df: DataFrame, name: str) -> DataFrame:
-    return df.select("path").distinct().withColumn(name, F.lit(True))
+def _facts(keyed: DataFrame, catalog: DataFrame, existing: DataFrame) -> DataFrame:
+    """One row per path: is it stored, does it exist, its first record, its record count."""
+    none, yes = F.lit(None).cast("boolean"), F.lit(True)
+    no_ordinal = F.lit(None).cast("long")
+    side = lambda df, path, stored, exists, ordinal: df.select(
+        path.alias("_key"), stored.alias("_stored"), exists.alias("_exists"), ordinal.alias("_ordinal")
+    )
+    sides = (
+        side(keyed.where(F.col("_key").isNotNull()), F.col("_key"), none, none, F.col("ordinal").cast("long"))
+        .unionByName(side(catalog, F.col("path"), yes, none, no_ordinal))
+        .unionByName(side(existing, F.col("path"), none, yes, no_ordinal))
+    )
+    return sides.groupBy("_key").agg(
+        F.max("_stored").alias("_stored"),
+        F.max("_exists").alias("_exists"),
+        F.min("_ordinal").alias("_first"),
+        F.count("_ordinal").alias("_records"),
+    ).where(F.col("_records") > 0)
 
 
 def actions(records: DataFrame, catalog: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
@@ -32,28 +49,17 @@ def actions(records: DataFrame, catalog: DataFrame, existing: DataFrame, force:
 
     ``inserted``, ``skipped_empty``, ``skipped_missing`` (not in the ``existing`` inventory)
     or ``skipped_existing``. Without ``force`` only the first record of a new path is
-    inserted. Rows without a path never reach the joins' shuffle as one key: they are null
-    there.
+    inserted. All that matters about a path is gathered in one aggregate, so records are
+    joined once, and a path with very many records is split.
     """
     keyed = records.withColumn("_key", F.when(F.col("path") != "", F.col("path")))
-    joined = keyed.join(
-        _present(existing, "_exists").withColumnRenamed("path", "_key"), "_key", "left"
-    )
+    joined = join_facts(keyed, _facts(keyed, catalog, existing), "_key", "_records")
     action = F.when(F.col("_key").isNull(), "skipped_empty").when(F.col("_exists").isNull(), "skipped_missing")
-    if force:
-        return joined.withColumn("action", action.otherwise("inserted")).drop("_key", "_exists")
-    first = (
-        keyed.where(F.col("_key").isNotNull())
-        .groupBy("_key")
-        .agg(F.min("ordinal").alias("_first"))
-    )
-    stored = _present(catalog, "_stored").withColumnRenamed("path", "_key")
-    taken = F.col("_stored").isNotNull() | (F.col("ordinal") != F.col("_first"))
-    return (
-        joined.join(stored, "_key", "left")
-        .join(first, "_key", "left")
-        .withColumn("action", action.when(taken, "skipped_existing").otherwise("inserted"))
-        .drop("_key", "_exists", "_stored", "_first")
+    if not force:
+        taken = F.col("_stored").isNotNull() | (F.col("ordinal") != F.col("_first"))
+        action = action.when(taken, "skipped_existing")
+    return joined.withColumn("action", action.otherwise("inserted")).drop(
+        "_key", "_exists", "_stored", "_first", "_records"
     )
 
 
@@ -85,3 +91,25 @@ def apply_import(catalog: DataFrame, records: DataFrame, existing: DataFrame, fo
     else:
         kept, added = catalog, new.join(catalog.select("path"), "path", "left_anti")
     return kept.unionByName(added.select(*catalog.columns))
+
+
+def remap_by_table(df: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``remap_prefix`` for many mappings: ``mapping(ordinal, old, new)``.
+
+    An equi-join on the path's own ancestors replaces a row-by-mapping comparison; the
+    lowest ordinal wins, by an aggregate that combines on the map side.
+    """
+    prefixes = mapping.select(
+        F.rtrim(F.col("old"), F.lit("/")).alias("prefix"), "ordinal", F.rtrim(F.col("new"), F.lit("/")).alias("new")
+    )
+    best = (
+        df.groupBy("path")
+        .agg(F.count("*").alias("_rows"))
+        .select("path", "_rows", F.explode(ancestors("path")).alias("prefix"))
+        .join(prefixes, "prefix")
+        .groupBy("path")
+        .agg(F.min(F.struct("ordinal", "new", "prefix")).alias("_hit"), F.max("_rows").alias("_rows"))
+    )
+    tail = F.substring(F.col("path"), F.length("_hit.prefix") + 1, F.length("path"))
+    moved = F.when(F.col("_hit").isNull(), F.col("path")).otherwise(F.concat("_hit.new", tail))
+    return join_facts(df, best, "path", "_rows").withColumn("path", moved).drop("_hit", "_rows")

@@ -120,18 +120,18 @@ def stored_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 def import_records(spark: SparkSession, sf: str) -> DataFrame:
     """/lib0 below an old mount, /lib1 with status ok twice, and records without a path."""
-    base = catalog(spark, sf)
-    cols = ["mtime", "size", "error", "checked_at", "scan_id"]
-    moved = base.where(F.startswith("path", F.lit("/lib0/"))).select(
-        (F.col("seq") * 4).alias("ordinal"), F.concat(F.lit("/old"), "path").alias("path"), "status", *cols
+    forms = F.expr(
+        """CASE WHEN path LIKE '/lib0/%' THEN array(struct(seq * 4 AS ordinal, concat('/old', path) AS path, status))
+                WHEN path LIKE '/lib1/%' THEN array(
+                  struct(seq * 4 + 1 AS ordinal, path, 'ok' AS status),
+                  struct(seq * 4 + 2 AS ordinal, path, cast(NULL AS string) AS status),
+                  struct(seq * 4 + 3 AS ordinal, '' AS path, status)) END"""
     )
-    lib1 = base.where(F.startswith("path", F.lit("/lib1/")))
-    healed = lib1.select((F.col("seq") * 4 + 1).alias("ordinal"), "path", F.lit("ok").alias("status"), *cols)
-    again = lib1.select(
-        (F.col("seq") * 4 + 2).alias("ordinal"), "path", F.lit(None).cast("string").alias("status"), *cols
+    return (
+        catalog(spark, sf)
+        .withColumn("form", F.explode(forms))
+        .select("form.ordinal", "form.path", "form.status", "mtime", "size", "error", "checked_at", "scan_id")
     )
-    empty = lib1.select((F.col("seq") * 4 + 3).alias("ordinal"), F.lit("").alias("path"), "status", *cols)
-    return moved.unionByName(healed).unionByName(again).unionByName(empty)
 
 
 # --- the same views for the oracle -------------------------------------------------

@@ -249,7 +249,10 @@ def packages(docs: DataFrame) -> DataFrame:
                 blobs.append(blob)
             yield pd.DataFrame({"path": paths, "content": blobs})
 
-    return docs.select("doc_id", "text").mapInPandas(build, "path string, content binary")
+    # Building and checking packages is heavy, and a small table is one unsplittable file.
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    spread = docs.select("doc_id", "text").repartition(tasks, "doc_id")
+    return spread.mapInPandas(build, "path string, content binary")
 
 
 @query(f"""WITH p AS (SELECT doc_id, doc_id % 6 AS damage FROM documents),

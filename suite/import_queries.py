@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.functions.paths import remap_by_table
 from assay.operators import importing, queue as queue_ops
 from suite.adapters import (
     AS_OF, RECHECK_DAYS, catalog, catalog_before, import_records, observed, scan_queue, scans, ts, verdict_log,
@@ -96,7 +95,7 @@ def path_remap_table(spark, sf):
         "AS m(ordinal, old, new)"
     )
     files = catalog(spark, sf).select("path", F.col("path").alias("old_path"))
-    return remap_by_table(files, mapping)
+    return importing.remap_by_table(files, mapping)
 
 
 @query(with_views("catalog before", """
