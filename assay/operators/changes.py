@@ -69,11 +69,9 @@ def estimate(classified: DataFrame) -> DataFrame:
 
 def dry_run(inventory: DataFrame) -> DataFrame:
     """Inventory count per extension, and the total in the row with a null extension."""
-    return (
-        inventory.select(scan_ext("path").alias("ext"))
-        .rollup("ext")
-        .agg(F.count("*").alias("files"))
-    )
+    per_ext = inventory.groupBy(scan_ext("path").alias("ext")).agg(F.count("*").alias("files"))
+    total = per_ext.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
+    return per_ext.unionByName(total.select(F.lit(None).cast("string").alias("ext"), "files"))
 
 
 def guard_changes(verdicts: DataFrame, post: DataFrame) -> DataFrame:

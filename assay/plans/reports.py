@@ -263,18 +263,17 @@ def health_state(
 
 
 def metrics(catalog: DataFrame, scans: DataFrame) -> DataFrame:
-    """Gauge rows ``(name, labels, value)``; one pass over the catalog by a rollup."""
+    """Gauge rows ``(name, labels, value)``; the total is summed from the status counts, so
+    the catalog is read once."""
     no_labels = F.create_map().cast("map<string,string>")
-    files = (
-        catalog.rollup("status")
-        .agg(F.count("*").alias("n"), F.grouping("status").alias("all"))
-        .select(
-            F.when(F.col("all") == 1, "files_indexed_total").otherwise("files_total").alias("name"),
-            F.when(F.col("all") == 1, no_labels)
-            .otherwise(F.create_map(F.lit("status"), F.col("status")))
-            .alias("labels"),
-            F.col("n").cast("double").alias("value"),
-        )
+    per_status = status_counts(catalog)
+    files = per_status.select(
+        F.lit("files_total").alias("name"),
+        F.create_map(F.lit("status"), F.col("status")).alias("labels"),
+        F.col("cnt").cast("double").alias("value"),
+    )
+    indexed = per_status.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("double").alias("value")).select(
+        F.lit("files_indexed_total").alias("name"), no_labels.alias("labels"), "value"
     )
     rate = (
         scan_ops.last_rate(scans)
@@ -294,7 +293,7 @@ def metrics(catalog: DataFrame, scans: DataFrame) -> DataFrame:
             F.lit(1.0).alias("value"),
         )
     )
-    return files.unionByName(rate).unionByName(last)
+    return files.unionByName(indexed).unionByName(rate).unionByName(last)
 
 
 def exposition(metric_rows: DataFrame) -> DataFrame:
@@ -311,39 +310,26 @@ def exposition(metric_rows: DataFrame) -> DataFrame:
 def health_report(catalog: DataFrame, scans: DataFrame, as_of: Column, stale_days: int) -> DataFrame:
     """The dashboard as ``(section, key, value)`` rows.
 
-    Status, format, size and staleness come from one grouped pass over the catalog.
+    Status, format, size and staleness are summed from one grouped pass over the catalog.
     """
-    base = (
-        catalog.groupBy("status", report_ext("path").alias("ext"))
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("size").alias("bytes"),
-            F.count_if(F.col("checked_at") < as_of - F.make_dt_interval(F.lit(stale_days))).alias("stale"),
-        )
-        .groupingSets([["status"], ["ext"], []], F.col("status"), F.col("ext"))
-        .agg(
-            F.grouping_id().alias("level"),
-            F.sum("n").alias("n"),
-            F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-            F.coalesce(F.sum("stale"), F.lit(0)).alias("stale"),
-        )
+    base = catalog.groupBy("status", report_ext("path").alias("ext")).agg(
+        F.count("*").alias("n"),
+        F.sum("size").alias("bytes"),
+        F.count_if(F.col("checked_at") < as_of - F.make_dt_interval(F.lit(stale_days))).alias("stale"),
+    )
+    section = lambda name, key, value: [
+        F.lit(name).alias("section"), key.alias("key"), value.cast("string").alias("value")
+    ]
+    per_status = base.groupBy("status").agg(F.sum("n").alias("n")).select(section("status", F.col("status"), F.col("n")))
+    per_format = base.groupBy("ext").agg(F.sum("n").alias("n")).select(section("format", F.col("ext"), F.col("n")))
+    whole = base.agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("stale"), F.lit(0)).alias("stale")
     )
-    per_status, per_format = F.col("level") == 1, F.col("level") == 2
-    entry = lambda section, key, value: F.struct(
-        F.lit(section).alias("section"), key.alias("key"), value.cast("string").alias("value")
+    figures = F.array(
+        F.struct(*section("size", F.lit("total size"), text.byte_size("bytes"))),
+        F.struct(*section("stale", F.lit(f">{stale_days} days"), F.col("stale"))),
     )
-    cells = base.select(
-        F.explode(
-            F.when(per_status, F.array(entry("status", F.col("status"), F.col("n"))))
-            .when(per_format, F.array(entry("format", F.col("ext"), F.col("n"))))
-            .otherwise(
-                F.array(
-                    entry("size", F.lit("total size"), text.byte_size("bytes")),
-                    entry("stale", F.lit(f">{stale_days} days"), F.col("stale")),
-                )
-            )
-        ).alias("c")
-    ).select("c.*")
+    cells = per_status.unionByName(per_format).unionByName(whole.select(F.inline(figures)))
     trend = health_trend(scans).select(
         F.lit("trend").alias("section"),
         F.col("id").alias("key"),

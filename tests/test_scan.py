@@ -156,13 +156,13 @@ def test_registration_moves_an_extension(spark):
 
 def test_second_scan_skips_and_changes_are_found(spark, library, tmp_path):
     log = str(tmp_path / "log")
-    first = run_scan(spark, [str(library)], log).collect()[0]
+    first = run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2)).collect()[0]
     assert first.total == len(CASES) + 2 and first.skipped == 0
-    again = run_scan(spark, [str(library)], log)
+    again = run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2))
     assert again.count() == 0  # nothing checked, nothing to close
     target = library / "ok.jpg"
     target.write_bytes(b"now it is broken")
-    third = run_scan(spark, [str(library)], log).collect()[0]
+    third = run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2)).collect()[0]
     assert (third.processed - third.skipped, third.corrupt) == (1, 1)
     rows = {r.path: r for r in known_catalog(spark, log).collect()}
     assert rows[str(target)].status == "corrupt" and len(rows) == len(CASES) + 2
@@ -170,8 +170,8 @@ def test_second_scan_skips_and_changes_are_found(spark, library, tmp_path):
 
 def test_forced_recheck(spark, library, tmp_path):
     log = str(tmp_path / "log")
-    run_scan(spark, [str(library)], log).collect()
-    same_day = run_scan(spark, [str(library)], log, options=ScanOptions(force_recheck_days=1))
+    run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2)).collect()
+    same_day = run_scan(spark, [str(library)], log, options=ScanOptions(force_recheck_days=1, tasks=2))
     assert same_day.count() == 0
 
 
@@ -186,7 +186,7 @@ def test_resume_goes_on_where_it_stopped(spark, library, tmp_path):
     log = str(tmp_path / "log")
     paths = sorted(r.path for r in read_inventory(spark, [str(library)]).collect())
     queue = spark.createDataFrame([("s", p, i % 2 == 0) for i, p in enumerate(paths)], "scan_id string, path string, done boolean")
-    out = resume_scan(spark, queue, "s", log).collect()[0]
+    out = resume_scan(spark, queue, "s", log, options=ScanOptions(tasks=2)).collect()[0]
     assert out.total == len(paths) // 2
     assert {r.path for r in known_catalog(spark, log).collect()} == set(paths[1::2])
 
