@@ -1,7 +1,8 @@
 """Checks that need a whole payload: checksums, segment chains and package parts.
 
-Small helpers for use inside ``mapInPandas``. Each takes a seekable binary file and returns
-``None`` or ``(reason, error)``. Spark decides what is checked, where, and how often.
+Small helpers for use inside ``mapInPandas``. Each takes a seekable binary file and the
+extension, and returns ``None`` or ``(reason, error)``. Spark decides what is checked, where,
+and how often.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import zlib
 from collections.abc import Callable
 from typing import BinaryIO
 
+from assay.operators.payload_checks import OLE_STREAMS
+
 Finding = tuple[str, str] | None
-DeepCheck = Callable[[BinaryIO], Finding]
+DeepCheck = Callable[[BinaryIO, str], Finding]
 
 # Parts an office package must contain as well-formed XML.
 REQUIRED_PARTS = ("[Content_Types].xml", "_rels/.rels")
@@ -37,7 +40,7 @@ def registered() -> dict[str, DeepCheck]:
 
 
 @deep_check("ooxml")
-def package_parts(f: BinaryIO) -> Finding:
+def package_parts(f: BinaryIO, ext: str) -> Finding:
     try:
         package = zipfile.ZipFile(f)
         damaged = package.testzip()
@@ -56,7 +59,7 @@ def package_parts(f: BinaryIO) -> Finding:
 
 
 @deep_check("png")
-def png_chunks(f: BinaryIO) -> Finding:
+def png_chunks(f: BinaryIO, ext: str) -> Finding:
     f.seek(8)
     while True:
         head = f.read(8)
@@ -73,7 +76,7 @@ def png_chunks(f: BinaryIO) -> Finding:
 
 
 @deep_check("jpeg")
-def jpeg_segments(f: BinaryIO) -> Finding:
+def jpeg_segments(f: BinaryIO, ext: str) -> Finding:
     """Every segment up to the scan data chains to the next one, and a frame comes first."""
     f.seek(2)
     framed = False
@@ -96,7 +99,7 @@ def jpeg_segments(f: BinaryIO) -> Finding:
 
 
 @deep_check("tiff")
-def tiff_directories(f: BinaryIO) -> Finding:
+def tiff_directories(f: BinaryIO, ext: str) -> Finding:
     """Follows the directory chain and requires all strips of the first image to exist."""
     head = f.read(8)
     if head[2:4] not in (b"*\x00", b"\x00*"):
@@ -125,6 +128,21 @@ def tiff_directories(f: BinaryIO) -> Finding:
     return None
 
 
+@deep_check("video")
+def movie_box(f: BinaryIO, ext: str) -> Finding:
+    if ext not in (".mp4", ".mov", ".m4v") or _contains(f, b"moov"):
+        return None
+    return "bad_structure", "moov atom not found"
+
+
+@deep_check("ole")
+def office_stream(f: BinaryIO, ext: str) -> Finding:
+    stream = OLE_STREAMS.get(ext)
+    if stream is None or _contains(f, stream.encode("utf-16-le")):
+        return None
+    return "missing_part", f"Missing expected OLE stream: '{stream}'"
+
+
 def _contains(f: BinaryIO, needle: bytes, step: int = 1 << 20) -> bool:
     keep = b""
     while chunk := f.read(step):
@@ -132,12 +150,3 @@ def _contains(f: BinaryIO, needle: bytes, step: int = 1 << 20) -> bool:
             return True
         keep = chunk[-len(needle) :]
     return False
-
-
-@deep_check("video")
-def movie_box(f: BinaryIO) -> Finding:
-    head = f.read(8)
-    if head[4:8] not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"pnot"):
-        return None
-    f.seek(0)
-    return None if _contains(f, b"moov") else ("bad_structure", "moov atom not found")

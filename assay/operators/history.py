@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.operators.skew import join_facts
 from assay.schemas import ISSUE_STATUSES
 from assay.session import ensure_checkpoint_dir
 
@@ -63,13 +64,51 @@ def transitions(log: DataFrame, before: str = "ok", after: str = "corrupt") -> D
     return with_history(log).where((F.col("status") == after) & (F.col("prev_status") == before))
 
 
+def _raises_alert(prev_status: Column, had_issue: Column) -> Column:
+    relapse = (F.col("status") == "corrupt") & F.coalesce(prev_status == "ok", F.lit(False))
+    return is_issue() & (~had_issue | relapse)
+
+
 def alerts(log: DataFrame) -> DataFrame:
     """Rows that raise an alert when every alert is delivered.
 
     A path alerts on its first issue and again only when it is corrupt right after ok.
     """
-    relapse = (F.col("status") == "corrupt") & F.coalesce(F.col("prev_status") == "ok", F.lit(False))
-    return with_history(log).where(is_issue() & (~F.col("had_issue") | relapse))
+    return with_history(log).where(_raises_alert(F.col("prev_status"), F.col("had_issue")))
+
+
+def alert_state(log: DataFrame) -> DataFrame:
+    """What the alert rule has to remember of a log: last status and any issue, per path."""
+    return log.groupBy("path").agg(
+        F.max_by("status", F.struct(*ORDER)).alias("status"), F.max(is_issue()).alias("had_issue")
+    )
+
+
+def advance_state(new: DataFrame, known: DataFrame) -> DataFrame:
+    """State of the paths in ``new`` after its rows."""
+    before = known.select("path", F.col("had_issue").alias("_had"))
+    return (
+        alert_state(new)
+        .join(before, "path", "left")
+        .select("path", "status", (F.col("had_issue") | F.coalesce("_had", F.lit(False))).alias("had_issue"))
+    )
+
+
+def alerts_since(new: DataFrame, known: DataFrame) -> DataFrame:
+    """Alerts of later verdicts, given the state of the earlier ones.
+
+    The old log is not read. What is known of a path is joined once to its new rows, and a
+    path with very many of them is split.
+    """
+    facts = (
+        new.groupBy("path")
+        .agg(F.count("*").alias("_rows"))
+        .join(known.select("path", F.col("status").alias("_was"), F.col("had_issue").alias("_had")), "path", "left")
+    )
+    rows = join_facts(with_history(new), facts, "path", "_rows")
+    prev = F.coalesce("prev_status", "_was")
+    had = F.col("had_issue") | F.coalesce("_had", F.lit(False))
+    return rows.where(_raises_alert(prev, had)).select(*new.columns)
 
 
 def group_positions(

@@ -38,13 +38,13 @@ _FINDING = T.StructType(
 )
 
 
-def run_check(check: DeepCheck | None, source: BinaryIO, timeout_s: float) -> tuple:
+def run_check(check: DeepCheck | None, source: BinaryIO, ext: str, timeout_s: float) -> tuple:
     """(status, error, action) of one check; nulls when it found nothing."""
     if check is None:
         return None, None, None
     started = time.monotonic()
     try:
-        found = check(source)
+        found = check(source, ext)
         if time.monotonic() - started > timeout_s:
             found = ("timed_out", f"validation timed out after {timeout_s:g}s")
     except Exception as e:  # any failure of a check is that row's verdict
@@ -69,7 +69,8 @@ def _deep_kinds(depth: str) -> dict[str, DeepCheck]:
     """``structure`` leaves RAW files to the structural rules; ``full`` walks them as TIFF."""
     checks = registered()
     if depth == "full" and "raw" not in checks:
-        checks["raw"] = lambda f: _as_raw(checks["tiff"](f))
+        tiff = checks["tiff"]
+        checks["raw"] = lambda f, ext: _as_raw(tiff(f, ext))
     elif depth != "full":
         checks.pop("raw", None)
     return checks
@@ -99,8 +100,8 @@ def validate_content(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [
-                (None, None, None) if c is None else run_check(checks[k], io.BytesIO(c), timeout_s)
-                for k, c in zip(pdf["kind"], pdf["content"])
+                (None, None, None) if c is None else run_check(checks[k], io.BytesIO(c), e, timeout_s)
+                for k, e, c in zip(pdf["kind"], pdf["ext"], pdf["content"])
             ]
             yield pd.concat([pdf.drop(columns="content"), _findings(found, pdf.index)], axis=1)
 
@@ -164,12 +165,12 @@ def validate_files(
     opened = opened.withColumn("_open", F.col("_unopened").isNull())
     none = (None,) * (len(_EVIDENCE) + len(_FINDING))
 
-    def inspect(path: str, kind: str) -> tuple:
+    def inspect(path: str, kind: str, ext: str) -> tuple:
         ends, error, found = (None, None, None), None, (None, None, None)
         try:
             with open(path, "rb") as f:
                 ends = _ends(f)
-                found = run_check(checks.get(kind), f, timeout_s)
+                found = run_check(checks.get(kind), f, ext, timeout_s)
         except OSError as e:
             error = e.strerror or str(e)
         try:
@@ -185,8 +186,8 @@ def validate_files(
             for start in range(0, len(batch), 64):
                 pdf = batch.iloc[start : start + 64].reset_index(drop=True)
                 rows = [
-                    inspect(p, k) if wanted else none
-                    for p, k, wanted in zip(pdf["path"], pdf["kind"], pdf["_open"])
+                    inspect(p, k, e) if wanted else none
+                    for p, k, e, wanted in zip(pdf["path"], pdf["kind"], pdf["ext"], pdf["_open"])
                 ]
                 found = pd.DataFrame(
                     rows, columns=_EVIDENCE.fieldNames() + _FINDING.fieldNames(), dtype=object

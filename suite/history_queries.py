@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assay.functions import text
 from assay.operators import history, scans as scan_ops
 from assay.plans import alerting, reports
-from suite.adapters import AS_OF, catalog, scans, ts, verdict_log, with_views
+from suite.adapters import AS_OF, CUT, catalog, scans, ts, verdict_log, with_views
 from suite.registry import query
 
 _COUNTS = """SELECT scan_id, count(*) AS total, count(*) FILTER (status = 'ok') AS ok,
@@ -175,6 +175,14 @@ def alert_once(spark, sf):
     return history.alerts(verdict_log(spark, sf)).select("seq", "scan_id", "path", "status", "error")
 
 
+@query(with_views("", f", {ALERTS} SELECT seq, path, status FROM alerts WHERE checked_at >= TIMESTAMP '{CUT}'"))
+def alerts_since_cut(spark, sf):
+    """Alerts after the cut from the later verdicts and the state at the cut."""
+    log = verdict_log(spark, sf)
+    known = history.alert_state(log.where(F.col("checked_at") < ts(CUT)))
+    return history.alerts_since(log.where(F.col("checked_at") >= ts(CUT)), known).select("seq", "path", "status")
+
+
 DIGEST = f""", {ALERTS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY scan_id, status ORDER BY checked_at DESC, path, seq DESC) AS rk
            FROM alerts),

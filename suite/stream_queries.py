@@ -40,6 +40,15 @@ def alert_stream(spark, sf):
     return spark.read.parquet(f"{folder}/alerts").drop("batch", "checked_at")
 
 
+@query(with_views("", f", {ALERTS} SELECT seq, scan_id, path, status, error FROM alerts"))
+def alert_batch_stream(spark, sf):
+    """The same alerts by windows and a state table instead of a stateful processor."""
+    folder = _folder(spark, "alert-batches")
+    rows = _log_stream(spark, sf)
+    alerting.alert_batches(rows, folder, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/alerts").select("seq", "scan_id", "path", "status", "error")
+
+
 @query(with_views("catalog", "SELECT path, mtime, size, status, error, scan_id, seq FROM catalog"))
 def catalog_stream_fold(spark, sf):
     folder = _folder(spark, "catalog")

@@ -36,6 +36,7 @@ CASES = {
     "cut.docx": (files.docx()[:100], "corrupt"),
     "zip.doc": (files.docx(), "corrupt"),
     "ok.doc": (files.ole(), "ok"),
+    "wrong.xls": (files.ole(), "corrupt"),
     "ok.mp4": (files.mp4(), "ok"),
     "nomoov.mp4": (files.mp4().replace(b"moov", b"free"), "corrupt"),
     "ok.wav": (files.wav(), "ok"),
@@ -132,7 +133,7 @@ def test_a_check_that_raises_is_an_error_of_its_row(spark):
     before = registered()["webp"] if "webp" in registered() else None
 
     @deep_check("webp")
-    def broken(f):
+    def broken(f, ext):
         raise RuntimeError("boom")
 
     try:
@@ -140,7 +141,7 @@ def test_a_check_that_raises_is_an_error_of_its_row(spark):
         v = _verdicts(validate_content(df))["a.webp"]
         assert (v.status, v.error) == ("error", "boom")
     finally:
-        deep_check("webp")(before or (lambda f: None))
+        deep_check("webp")(before or (lambda f, ext: None))
 
 
 def test_registration_moves_an_extension(spark):

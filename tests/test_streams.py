@@ -43,6 +43,10 @@ def test_streams_equal_batch(spark, tmp_path):
     assert got == sorted(r.seq for r in batch_alerts(whole).collect())
     assert sum(sent) == len(got) and len(sent) == 3
 
+    again = str(tmp_path / "again")
+    alert_stream.alert_batches(_stream(spark, folder), again, again + "/cp").awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(again + "/alerts").collect()) == got
+
     cat = str(tmp_path / "catalog")
     catalog_stream.maintain(_stream(spark, folder), cat, cat + "/cp", compact_every=2).awaitTermination()
     cols = ["path", "seq", "status"]
