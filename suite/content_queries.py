@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import io
+import os
+import struct
 import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from assay.operators import fingerprints, table_checks
+from assay.operators.changes import classify
+from assay.operators.formats import spread
 from assay.operators.payload_checks import check_content
-from assay.operators.validation import validate_content
+from assay.operators.validation import validate_content, validate_files
 from assay.operators.verdicts import flat
-from suite.adapters import table
+from assay.session import run_dir
+from assay.sources.inventory import read_inventory
+from suite.adapters import AS_OF, table
 from suite.registry import query
 
 RESTORE = "'Restore from backup or re-download'"
@@ -251,8 +257,8 @@ def packages(docs: DataFrame) -> DataFrame:
 
     # Building and checking packages is heavy, and a small table is one unsplittable file.
     tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    spread = docs.select("doc_id", "text").repartition(tasks, "doc_id")
-    return spread.mapInPandas(build, "path string, content binary")
+    dealt = docs.select("doc_id", "text").repartition(tasks, "doc_id")
+    return dealt.mapInPandas(build, "path string, content binary")
 
 
 @query(f"""WITH p AS (SELECT doc_id, doc_id % 6 AS damage FROM documents),
@@ -269,6 +275,118 @@ def package_verdicts(spark, sf):
     return out.withColumn("error", F.regexp_replace("error", r"(Bad XML in [^:]*):.*", "$1"))
 
 
+# --- the same texts as files ------------------------------------------------------------
+
+FILE_EXTS = (".webp", ".heic", ".cr2", ".pdf", ".docx", ".doc", ".mp4", ".mp3", ".wav", ".txt")
+
+
+def write_library(docs: DataFrame, folder: str) -> DataFrame:
+    """One file per document below ``folder``; returns how many each task wrote.
+
+    Format by doc_id % 10, folder by source. Damage by (doc_id // 10) % 4: 1 cuts the file in
+    the middle, 2 leaves no byte, the others none.
+    """
+
+    def build(ext: str, body: bytes) -> bytes:
+        size = len(body)
+        if ext in (".webp", ".wav"):
+            return b"RIFF" + struct.pack("<I", size + 4) + (b"WEBP" if ext == ".webp" else b"WAVE") + body
+        if ext == ".docx":
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as z:
+                z.writestr("[Content_Types].xml", "<Types/>")
+                z.writestr("_rels/.rels", "<Relationships/>")
+                z.writestr("word/document.xml", body)
+            return buffer.getvalue()
+        head, tail = {
+            ".heic": (b"\0\0\0\x18ftypheic" + bytes(12), b""),
+            ".cr2": (b"II*\0" + struct.pack("<I", size + 8), bytes(16)),
+            ".pdf": (b"%PDF-1.4\n", b"\nstartxref\n9\n%%EOF\n"),
+            ".doc": (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", bytes(2048) + "WordDocument".encode("utf-16-le")),
+            ".mp4": (b"\0\0\0\x18ftypisom" + bytes(12), b"moov"),
+            ".mp3": (b"ID3", b""),
+            ".txt": (b"", b""),
+        }[ext]
+        return head + body + tail
+
+    def run(batches):
+        for pdf in batches:
+            for doc_id, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
+                ext = FILE_EXTS[doc_id % 10]
+                content = build(ext, text.encode())
+                damage = doc_id // 10 % 4
+                content = content[: len(content) // 2] if damage == 1 else b"" if damage == 2 else content
+                os.makedirs(f"{folder}/{source}", exist_ok=True)
+                with open(f"{folder}/{source}/d{doc_id}{ext}", "wb") as f:
+                    f.write(content)
+            yield pd.DataFrame({"files": [len(pdf)]})
+
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    dealt = docs.select("doc_id", "source", "text").repartition(tasks, "doc_id")
+    return dealt.mapInPandas(run, "files long")
+
+
+def _posix(folder: str) -> str:
+    path = folder.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise RuntimeError("a file library needs spark.checkpoint.dir on a mounted file system")
+    return path
+
+
+_LIBRARY = f"""WITH d AS (SELECT source, doc_id, doc_id % 10 AS f, (doc_id // 10) % 4 AS damage,
+  ([{", ".join(repr(e) for e in FILE_EXTS)}])[doc_id % 10 + 1] AS ext FROM documents WHERE doc_id % 10 <> 9),
+v AS (SELECT '/' || source || '/d' || doc_id || ext AS path, f, damage, CASE
+   WHEN damage = 2 AND f IN (7, 8) THEN 'unsupported' WHEN damage = 2 THEN 'corrupt'
+   WHEN damage = 1 AND f IN (0, 2, 3, 4, 5, 6, 8) THEN 'corrupt' ELSE 'ok' END AS status FROM d)
+SELECT path, status, CASE WHEN status = 'ok' THEN NULL WHEN damage = 2 AND f IN (7, 8) THEN
+     'unrecognized audio format — possibly misnamed or empty file'
+   WHEN damage = 2 THEN 'empty file' WHEN f IN (0, 8) THEN 'declared length exceeds the file'
+   WHEN f = 2 THEN 'first directory lies outside the file' WHEN f = 3 THEN 'EOF marker not found'
+   WHEN f = 4 THEN 'Bad ZIP container: File is not a zip file'
+   WHEN f = 5 THEN 'not a sound OLE file' ELSE 'moov atom not found' END AS error FROM v"""
+
+
+@query(_LIBRARY)
+def library_scan(spark, sf):
+    """The documents written as files, inventoried, checked and stat-ed again."""
+    root = _posix(run_dir(spark, "library"))
+    written = write_library(table(spark, sf, "documents"), root).agg(F.sum("files")).collect()
+    assert written
+    files = read_inventory(spark, [root, root])
+    tasks = spark.sparkContext.defaultParallelism
+    out = flat(validate_files(spread(files, tasks, tasks)).where(~F.col("discarded")))
+    ole = F.col("error").like("%OLE%")
+    return out.select(
+        F.expr(f"substring(path, {len(root) + 1})").alias("path"),
+        "status",
+        F.when(ole, "not a sound OLE file").otherwise(F.col("error")).alias("error"),
+    )
+
+
+@query("""SELECT 'new' AS reason, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes
+FROM documents WHERE doc_id % 2 = 1
+UNION ALL SELECT 'fresh', count(*), sum(octet_length(encode(text)))::BIGINT FROM documents WHERE doc_id % 2 = 0""")
+def library_diff(spark, sf):
+    """A library of text files, half of it known from an earlier inventory."""
+    root = _posix(run_dir(spark, "texts"))
+
+    def run(batches):
+        for pdf in batches:
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                os.makedirs(f"{root}/{doc_id % 7}", exist_ok=True)
+                with open(f"{root}/{doc_id % 7}/{doc_id}.pdf", "wb") as f:
+                    f.write(text.encode())
+            yield pd.DataFrame({"files": [len(pdf)]})
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs.repartition(spark.sparkContext.defaultParallelism, "doc_id").mapInPandas(run, "files long").agg(F.sum("files")).collect()
+    files = read_inventory(spark, [root])
+    doc_id = F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long")
+    known = files.where(doc_id % 2 == 0).withColumn("checked_at", F.lit(AS_OF).cast("timestamp"))
+    classed = classify(files, known, F.lit(AS_OF).cast("timestamp"))
+    return classed.groupBy("reason").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
 # --- fingerprints -------------------------------------------------------------------
 
 
