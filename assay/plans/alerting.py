@@ -29,7 +29,8 @@ def digest(alerts: DataFrame, scans: DataFrame, listed: int = LISTED) -> DataFra
     """One row per scan with alerts: counts, the newest ``listed`` files and the remainder.
 
     The rank limit is applied before the shuffle, so a scan with most of the alerts sends
-    ``listed`` rows per task and category, and no list grows with the data.
+    ``listed`` rows per task and category, and no list grows with the data. Counts and
+    lists each read ``alerts``: pass a stored table, not a plan that is costly to repeat.
     """
     counts = alerts.groupBy("scan_id").agg(
         *[F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ISSUE_STATUSES]

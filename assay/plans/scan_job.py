@@ -16,9 +16,8 @@ from assay.operators.formats import spread
 from assay.operators.scans import close_out
 from assay.operators.validation import TIMEOUT_S, validate_files
 from assay.schemas import VERDICT_LOG
-from assay.session import run_dir
 from assay.sources.inventory import read_inventory, restat
-from assay.sources.tables import append_log, read_log, read_snapshot
+from assay.sources.tables import append_log, read_log, read_snapshot, stage
 
 
 @dataclass
@@ -60,8 +59,7 @@ def check(spark: SparkSession, todo: DataFrame, scan_id: str, options: ScanOptio
     checked = validate_files(
         spread(todo.select("path", "mtime", "size"), tasks, 2 * tasks), options.depth, options.timeout_s, options.max_bytes
     )
-    staged = run_dir(spark, "checked")
-    checked.select(
+    rows = checked.select(
         F.monotonically_increasing_id().alias("seq"),
         F.lit(scan_id).alias("scan_id"),
         "path",
@@ -72,8 +70,8 @@ def check(spark: SparkSession, todo: DataFrame, scan_id: str, options: ScanOptio
         "verdict.suggested_action",
         F.current_timestamp().alias("checked_at"),
         "discarded",
-    ).write.parquet(staged)
-    return spark.read.parquet(staged)
+    )
+    return stage(rows, "checked")
 
 
 def run_scan(
@@ -112,9 +110,7 @@ def resume_scan(
 
 
 def _finish(spark: SparkSession, work: DataFrame, scan_id: str, log_dir: str, options: ScanOptions) -> DataFrame:
-    listed = run_dir(spark, "work")
-    work.write.parquet(listed)
-    work = spark.read.parquet(listed)
+    work = stage(work, "work")
     checked = check(spark, work.where("needs_check"), scan_id, options)
     kept = checked.where(~F.col("discarded"))
     if not kept.isEmpty():

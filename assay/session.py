@@ -12,6 +12,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Call sites of expressions cost a round trip to the JVM each.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Batches with payloads are cut by size, not only by rows.

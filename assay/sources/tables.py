@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.text import parse_iso_utc
 from assay.schemas import CATALOG, PORTABLE_RECORD, VERDICT_LOG
+from assay.session import run_dir
 
 
 def append_log(verdicts: DataFrame, folder: str) -> None:
@@ -50,6 +51,16 @@ def read_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
     return None if version is None else spark.read.parquet(f"{folder}/v={version}")
 
 
+def stage(df: DataFrame, purpose: str) -> DataFrame:
+    """Writes a result that several consumers read, so that it is computed once.
+
+    The table lies in the shared folder and survives the loss of executors.
+    """
+    folder = run_dir(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def iso_text(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 

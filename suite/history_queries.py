@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assay.functions import text
 from assay.operators import history, scans as scan_ops
 from assay.plans import alerting, reports
+from assay.sources.tables import stage
 from suite.adapters import AS_OF, CUT, catalog, scans, ts, verdict_log, with_views
 from suite.registry import query
 
@@ -194,6 +195,12 @@ digest AS (
   FROM ranked GROUP BY scan_id)"""
 
 
+def _stored_alerts(spark, sf):
+    """Alerts as a job stores them before it reports; counts and lists both read them."""
+    rows = history.alerts(verdict_log(spark, sf))
+    return stage(rows.select("seq", "scan_id", "path", "status", "error", "checked_at"), "alerts")
+
+
 @query(with_views("scans", DIGEST.format(cap=50) + """
 SELECT d.*, s.scope, s.total AS total_checked,
        CASE WHEN s.finished_at IS NULL THEN 0.0
@@ -201,7 +208,7 @@ SELECT d.*, s.scope, s.total AS total_checked,
        greatest(corrupt_count - 50, 0) AS corrupt_more, greatest(unreadable_count - 50, 0) AS unreadable_more
 FROM digest d LEFT JOIN scans s ON d.scan_id = s.id"""))
 def alert_digest(spark, sf):
-    out = alerting.digest(history.alerts(verdict_log(spark, sf)), scans(spark, sf))
+    out = alerting.digest(_stored_alerts(spark, sf), scans(spark, sf))
     listing = lambda c: F.array_join(F.transform(c, lambda r: F.concat(r["path"], F.lit("="), r["error"])), "|")
     return out.withColumn("corrupt", listing("corrupt")).withColumn("unreadable", listing("unreadable"))
 
@@ -231,7 +238,7 @@ SELECT scan_id,
      ELSE '' END AS message
 FROM joined"""))
 def alert_messages(spark, sf):
-    digests = alerting.digest(history.alerts(verdict_log(spark, sf)), scans(spark, sf), listed=3)
+    digests = alerting.digest(_stored_alerts(spark, sf), scans(spark, sf), listed=3)
     return alerting.messages(digests, threshold=0.1).drop("payload")
 
 
