@@ -302,8 +302,8 @@ def exposition(metric_rows: DataFrame) -> DataFrame:
         F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))
     )
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
-    whole = F.col("value") == F.floor("value")
-    value = F.when(whole, F.col("value").cast("long").cast("string")).otherwise(F.format_string("%.3f", "value"))
+    is_rate = F.endswith("name", F.lit("_per_second"))
+    value = F.when(is_rate, F.format_string("%.3f", "value")).otherwise(F.col("value").cast("long").cast("string"))
     return metric_rows.select(F.concat("name", labels, F.lit(" "), value).alias("line"))
 
 
