@@ -100,12 +100,9 @@ def alerts_since(new: DataFrame, known: DataFrame) -> DataFrame:
     The old log is not read. What is known of a path is joined once to its new rows, and a
     path with very many of them is split.
     """
-    facts = (
-        new.groupBy("path")
-        .agg(F.count("*").alias("_rows"))
-        .join(known.select("path", F.col("status").alias("_was"), F.col("had_issue").alias("_had")), "path", "left")
-    )
-    rows = join_facts(with_history(new), facts, "path", "_rows")
+    before = known.select("path", F.col("status").alias("_was"), F.col("had_issue").alias("_had"))
+    counts = new.groupBy("path").agg(F.count("*").alias("n"))
+    rows = join_facts(with_history(new), before, "path", counts)
     prev = F.coalesce("prev_status", "_was")
     had = F.col("had_issue") | F.coalesce("_had", F.lit(False))
     return rows.where(_raises_alert(prev, had)).select(*new.columns)

@@ -25,7 +25,7 @@ def prepare(records: DataFrame, path_map: Mapping[str, str] | None = None) -> Da
 
 
 def _facts(keyed: DataFrame, catalog: DataFrame, existing: DataFrame) -> DataFrame:
-    """One row per path: is it stored, does it exist, its first record, its record count."""
+    """One row per imported path: is it stored, does it exist, its first record."""
     none, yes = F.lit(None).cast("boolean"), F.lit(True)
     no_ordinal = F.lit(None).cast("long")
     side = lambda df, path, stored, exists, ordinal: df.select(
@@ -40,8 +40,7 @@ def _facts(keyed: DataFrame, catalog: DataFrame, existing: DataFrame) -> DataFra
         F.max("_stored").alias("_stored"),
         F.max("_exists").alias("_exists"),
         F.min("_ordinal").alias("_first"),
-        F.count("_ordinal").alias("_records"),
-    ).where(F.col("_records") > 0)
+    ).where(F.col("_first").isNotNull())
 
 
 def actions(records: DataFrame, catalog: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
@@ -53,14 +52,12 @@ def actions(records: DataFrame, catalog: DataFrame, existing: DataFrame, force:
     joined once, and a path with very many records is split.
     """
     keyed = records.withColumn("_key", F.when(F.col("path") != "", F.col("path")))
-    joined = join_facts(keyed, _facts(keyed, catalog, existing), "_key", "_records")
+    joined = join_facts(keyed, _facts(keyed, catalog, existing), "_key")
     action = F.when(F.col("_key").isNull(), "skipped_empty").when(F.col("_exists").isNull(), "skipped_missing")
     if not force:
         taken = F.col("_stored").isNotNull() | (F.col("ordinal") != F.col("_first"))
         action = action.when(taken, "skipped_existing")
-    return joined.withColumn("action", action.otherwise("inserted")).drop(
-        "_key", "_exists", "_stored", "_first", "_records"
-    )
+    return joined.withColumn("action", action.otherwise("inserted")).drop("_key", "_exists", "_stored", "_first")
 
 
 def result_counts(with_actions: DataFrame) -> DataFrame:
@@ -103,13 +100,13 @@ def remap_by_table(df: DataFrame, mapping: DataFrame) -> DataFrame:
         F.rtrim(F.col("old"), F.lit("/")).alias("prefix"), "ordinal", F.rtrim(F.col("new"), F.lit("/")).alias("new")
     )
     best = (
-        df.groupBy("path")
-        .agg(F.count("*").alias("_rows"))
-        .select("path", "_rows", F.explode(ancestors("path")).alias("prefix"))
+        df.select("path")
+        .distinct()
+        .select("path", F.explode(ancestors("path")).alias("prefix"))
         .join(prefixes, "prefix")
         .groupBy("path")
-        .agg(F.min(F.struct("ordinal", "new", "prefix")).alias("_hit"), F.max("_rows").alias("_rows"))
+        .agg(F.min(F.struct("ordinal", "new", "prefix")).alias("_hit"))
     )
     tail = F.substring(F.col("path"), F.length("_hit.prefix") + 1, F.length("path"))
     moved = F.when(F.col("_hit").isNull(), F.col("path")).otherwise(F.concat("_hit.new", tail))
-    return join_facts(df, best, "path", "_rows").withColumn("path", moved).drop("_hit", "_rows")
+    return join_facts(df, best, "path").withColumn("path", moved).drop("_hit")

@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 ROWS_PER_TASK = 1_000_000
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, per_task: int = ROWS_PER_TASK) -> DataFrame:
+def join_facts(
+    rows: DataFrame, facts: DataFrame, key: str, counts: DataFrame | None = None, per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Left join of ``rows`` to ``facts``, which has one row per key.
 
-    ``weight`` is the number of rows of the key. Keys above ``per_task`` get several copies
-    of their fact, and their rows are dealt out over the copies. There are at most
-    rows / per_task such keys, which bounds the broadcast list of them.
+    Keys with more than ``per_task`` rows get several copies of their fact, and their rows
+    are dealt out over the copies. ``counts(key, n)`` is the number of rows per key where a
+    cheaper way than counting ``rows`` exists. At most rows / per_task keys are above the
+    limit, which bounds the broadcast list of them.
     """
-    copies = F.ceil(F.col(weight) / per_task).cast("int")
-    hot = facts.where(F.col(weight) > per_task).select(key, copies.alias("_copies"))
-    dealt = F.when(F.col("_copies").isNull(), 0).otherwise(
-        F.pmod(F.xxhash64(*rows.columns), F.col("_copies")).cast("int")
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    hot = F.broadcast(
+        counts.where(F.col(key).isNotNull() & (F.col("n") > per_task)).select(
+            key, F.ceil(F.col("n") / per_task).cast("int").alias("_copies")
+        )
     )
-    salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", dealt).drop("_copies")
-    last = F.greatest(copies, F.lit(1)) - 1
-    copied = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    dealt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_copies")).cast("int"), F.lit(0))
+    salted = rows.join(hot, key, "left").withColumn("_salt", dealt).drop("_copies")
+    all_copies = F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
+    copied = facts.join(hot, key, "left").withColumn("_salt", all_copies).drop("_copies")
     return salted.join(copied, [key, "_salt"], "left").drop("_salt")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -203,9 +204,10 @@ def test_positions_of_one_huge_group(spark):
 def test_join_facts_splits_hot_keys(spark):
     rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)], "k string, i long")
     facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
-    got = skew.join_facts(rows.unionByName(spark.createDataFrame([("lonely", 999)], "k string, i long")), facts, "k", "n", per_task=20)
+    more = spark.createDataFrame([("lonely", 999), (None, 998)], "k string, i long")
+    got = skew.join_facts(rows.unionByName(more), facts, "k", per_task=20)
     out = {r.i: r.top for r in got.collect()}
-    assert len(out) == 301 and out[999] is None and out[1] == 299 and out[3] == 3
+    assert got.count() == len(out) == 302 and out[999] is out[998] is None and out[1] == 299 and out[3] == 3
 
 
 # --- changes ---------------------------------------------------------------------------
@@ -353,6 +355,8 @@ def test_digest_caps_lists_but_not_counts(spark):
     assert row.corrupt[0].path == "/c059" and len(row.unreadable) == 5
     m = alerting.messages(d).collect()[0]
     assert m.subject == "[Library] 60 corrupt, 5 unreadable — /lib"
+    sent = json.loads(m.payload)
+    assert sent == {"title": "Library: 60 corrupt", "message": m.message, "scan_id": "s"}
     assert "  ... and 10 more" in m.message and "Suspected mount" not in m.message and "Duration: 90.0s" in m.message
     assert "Suspected mount/network failure on /lib — 5/100" in alerting.messages(d, threshold=0.05).collect()[0].message
 
