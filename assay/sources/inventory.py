@@ -1,5 +1,8 @@
 """File inventory as a Python data source: ``(path, mtime, size)``.
 
+The source lists names, which is fast; files are stat-ed after the rows have been dealt out
+by path. So one huge folder costs one listing task, but its files are stat-ed by all tasks.
+
 Spark's own ``binaryFile`` listing leaves out empty files and names that begin with ``_`` or
 ``.``, which a library contains and which must be judged; hence a source of its own.
 """
@@ -51,6 +54,7 @@ class InventoryReader(DataSourceReader):
         self.excludes = [glob_regex(g) for g in json.loads(options.get("exclude", "[]"))]
         self.follow = options.get("followsymlinks", "false") == "true"
         self.tasks = int(options.get("tasks", "64"))
+        self.stat = options.get("stat", "true") == "true"
 
     def partitions(self) -> list[_Folder]:
         """Opens folders level by level until there are enough of them to keep all tasks busy.
@@ -101,7 +105,7 @@ class InventoryReader(DataSourceReader):
                     continue
                 if any(p.fullmatch(path) for p in patterns):
                     continue
-                yield (path, *_stat(path))
+                yield (path, *_stat(path)) if self.stat else (path, None, None)
 
 
 class InventorySource(DataSource):
@@ -129,16 +133,19 @@ def read_inventory(
     Extension and exclusion are tested before a file is stat-ed.
     """
     spark.dataSource.register(InventorySource)
-    return (
+    names = (
         spark.read.format(FORMAT)
         .option("roots", json.dumps(roots))
         .option("extensions", json.dumps(extensions() if exts is None else exts))
         .option("exclude", json.dumps(exclude or []))
         .option("followSymlinks", str(follow_symlinks).lower())
         .option("tasks", str(tasks or 4 * spark.sparkContext.defaultParallelism))
+        .option("stat", "false")
         .load()
-        .dropDuplicates(["path"])
+        .select("path")
+        .distinct()
     )
+    return restat(names)
 
 
 def restat(paths: DataFrame, mtime: str = "mtime", size: str = "size") -> DataFrame:

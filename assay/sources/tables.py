@@ -35,9 +35,11 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
 
 
 def write_snapshot(catalog: DataFrame, folder: str, version: int) -> str:
-    """Writes one snapshot version; files are sorted for pruning on status and time."""
+    """Writes one snapshot version; files are sorted by what the table has of status and time,
+    so that reports on them skip row groups."""
     target = f"{folder}/v={version}"
-    catalog.sortWithinPartitions("status", "checked_at").write.mode("overwrite").parquet(target)
+    order = [c for c in ("status", "checked_at") if c in catalog.columns]
+    catalog.sortWithinPartitions(*order).write.mode("overwrite").parquet(target)
     return target
 
 
@@ -61,6 +63,24 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def read_payloads(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
+    """``(path, mtime, size, content)`` of the visible, non-empty files below a folder.
+
+    For object stores, where files can not be opened by path in the tasks. Spark skips empty
+    files and names with a leading ``_`` or ``.``; the size limit reaches the listing, so a
+    larger file is not read.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    if max_bytes is not None:
+        rows = rows.where(F.col("length") <= max_bytes)
+    return rows.select(
+        "path",
+        (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime"),
+        F.col("length").alias("size"),
+        "content",
+    )
+
+
 def iso_text(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from assay.operators.history import advance_state, alerts_since, latest
 from assay.schemas import ISSUE_STATUSES
 from assay.streaming.sinks import drain
+from assay.streaming.state_table import add_delta, compact, read_rows
 
 ALERT_SCHEMA = "seq long, scan_id string, path string, status string, error string, checked_at timestamp"
 
@@ -72,24 +73,23 @@ def deliver(
 STATE_SCHEMA = "path string, status string, had_issue boolean, batch long"
 
 
-def alert_batches(log: DataFrame, folder: str, checkpoint: str):
+def alert_batches(log: DataFrame, folder: str, checkpoint: str, compact_every: int = 20):
     """The alert rule batch by batch without Python workers, for large batches.
 
     A path that owns most of a batch is spread over many tasks. Each batch writes its alerts
-    and the new state of its paths to folders of its own; the state before a batch is the
-    last row per path of earlier batches, so a batch that is run again gives the same rows.
+    and the new state of its paths; the state before a batch is the last row per path of
+    earlier batches, so a batch that is run again gives the same rows.
     """
+    newest = lambda rows: latest(rows, ["path"], ["batch"])
 
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = f"{folder}/state"
-        path = spark._jvm.org.apache.hadoop.fs.Path(state)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            rows = spark.read.schema(STATE_SCHEMA).parquet(state)
-        else:
-            rows = spark.createDataFrame([], STATE_SCHEMA)
-        known = latest(rows.where(F.col("batch") < batch_id), ["path"], ["batch"]).drop("batch")
+        rows = read_rows(spark, state, before=batch_id)
+        known = spark.createDataFrame([], STATE_SCHEMA) if rows is None else newest(rows)
         alerts_since(batch, known).write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
-        advance_state(batch, known).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        add_delta(advance_state(batch, known), state, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            compact(spark, state, batch_id, newest)
 
     return drain(log, fn, checkpoint).start()

@@ -1,49 +1,28 @@
 """Continuous catalog maintenance.
 
-Each batch is folded to one row per path and written as a delta. Readers fold snapshot and
-deltas; compaction writes a new snapshot now and then, so a batch costs its own size and
-not the catalog's.
+Each batch is folded to one row per path and kept as a delta; readers fold the snapshot and
+the deltas after it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from assay.operators.catalog import fold, merge
-from assay.sources.tables import latest_version, read_snapshot, write_snapshot
+from assay.operators.catalog import fold
 from assay.streaming.sinks import drain
+from assay.streaming.state_table import add_delta, compact, read_rows
 
 
-def _deltas(spark: SparkSession, folder: str, after: int) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/deltas")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.parquet(f"{folder}/deltas").where(F.col("batch") > after).drop("batch")
-
-
-def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The catalog as of the last finished batch."""
-    version = latest_version(spark, f"{folder}/snapshots")
-    deltas = _deltas(spark, folder, -1 if version is None else version)
-    if version is None:
-        return fold(deltas)
-    snapshot = read_snapshot(spark, f"{folder}/snapshots")
-    return snapshot if deltas is None else merge(snapshot, deltas)
-
-
-def compact(spark: SparkSession, folder: str, upto: int) -> None:
-    """Snapshot ``upto`` holds the effect of every batch with that number or a lower one."""
-    version = latest_version(spark, f"{folder}/snapshots")
-    deltas = _deltas(spark, folder, -1 if version is None else version).where("true")
-    base = deltas if version is None else read_snapshot(spark, f"{folder}/snapshots").unionByName(deltas)
-    write_snapshot(fold(base), f"{folder}/snapshots", upto)
+def current(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The catalog as of the last finished batch; None before the first one."""
+    rows = read_rows(spark, folder)
+    return None if rows is None else fold(rows.drop("batch"))
 
 
 def maintain(log: DataFrame, folder: str, checkpoint: str, compact_every: int = 20):
     def fn(batch: DataFrame, batch_id: int) -> None:
-        fold(batch).write.mode("overwrite").parquet(f"{folder}/deltas/batch={batch_id}")
+        add_delta(fold(batch), folder, batch_id)
         if batch_id % compact_every == compact_every - 1:
-            compact(batch.sparkSession, folder, batch_id)
+            compact(batch.sparkSession, folder, batch_id, fold)
 
     return drain(log, fn, checkpoint).start()

@@ -14,6 +14,7 @@ from assay.operators.payload_checks import check_content
 from assay.operators.validation import validate_content, validate_files
 from assay.plans.scan_job import ScanOptions, known_catalog, resume_scan, run_scan
 from assay.sources.inventory import read_inventory, restat
+from assay.sources.tables import read_payloads
 
 CASES = {
     "ok.jpg": (files.jpeg(), "ok"),
@@ -196,3 +197,12 @@ def test_restat(spark, library):
     df = spark.createDataFrame([(str(library / "ok.jpg"),), ("/nowhere/x.jpg",)], "path string")
     got = {os.path.basename(r.path): (r.mtime, r.size) for r in restat(df).collect()}
     assert got["x.jpg"] == (0.0, 0) and got["ok.jpg"][1] == len(files.jpeg())
+
+
+def test_payload_reader(spark, library):
+    df = read_payloads(spark, str(library), max_bytes=2000)
+    rows = {os.path.basename(r.path): r for r in df.where("path not like '%.txt'").collect()}
+    assert rows["ok.png"].content == files.png() and rows["ok.png"].size == len(files.png())
+    assert "empty.png" not in rows and "_DSC0001.NEF" not in rows  # what the inventory source is for
+    got = _verdicts(validate_content(df))
+    assert got["ok.pdf"].status == "ok" and got["cut.png"].status == "corrupt"

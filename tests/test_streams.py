@@ -44,7 +44,7 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sum(sent) == len(got) and len(sent) == 3
 
     again = str(tmp_path / "again")
-    alert_stream.alert_batches(_stream(spark, folder), again, again + "/cp").awaitTermination()
+    alert_stream.alert_batches(_stream(spark, folder), again, again + "/cp", compact_every=2).awaitTermination()
     assert sorted(r.seq for r in spark.read.parquet(again + "/alerts").collect()) == got
 
     cat = str(tmp_path / "catalog")
@@ -54,9 +54,18 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(catalog_stream.current(spark, cat).select(*cols).collect()) == want
     assert os.path.isdir(cat + "/snapshots/v=1")
 
+    seen = []
+    listener = live.ProgressListener(lambda state, detail: seen.append(state))
+    spark.streams.addListener(listener)
     counts = str(tmp_path / "counts")
     live.publish_counts(_stream(spark, folder), counts, counts + "/cp").awaitTermination()
     assert sum(r.cnt for r in spark.read.parquet(counts + "/v=2").collect()) == 90
+    for _ in range(50):
+        if seen[-1:] == ["completed"]:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert seen[0] == "started" and seen[-1] == "completed" and seen.count("running") >= 3
 
 
 def test_checking_resumes_and_does_nothing_twice(spark, tmp_path):
