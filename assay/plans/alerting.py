@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.text import seconds_between
+from assay.operators.history import alert_state, alerts_since
 from assay.schemas import ISSUE_STATUSES
 
 # Paths listed per category, and the ratio that hints at a mount failure.
@@ -25,6 +26,16 @@ def systemic(log: DataFrame, threshold: float = SYSTEMIC_RATIO) -> DataFrame:
     )
 
 
+def alerts_of_scan(log: DataFrame, scan_id: str) -> DataFrame:
+    """Alerts the latest scan raises, given what earlier scans found.
+
+    The log is partitioned by scan, so the first part reads that scan only; of the rest two
+    columns per path are kept.
+    """
+    own = F.col("scan_id") == scan_id
+    return alerts_since(log.where(own), alert_state(log.where(~own)))
+
+
 def digest(alerts: DataFrame, scans: DataFrame, listed: int = LISTED) -> DataFrame:
     """One row per scan with alerts: counts, the newest ``listed`` files and the remainder.
 

@@ -184,6 +184,12 @@ def alerts_since_cut(spark, sf):
     return history.alerts_since(log.where(F.col("checked_at") >= ts(CUT)), known).select("seq", "path", "status")
 
 
+@query(with_views("", f", {ALERTS} SELECT seq, path, status FROM alerts WHERE scan_id = '2024-01-30'"))
+def alerts_of_last_scan(spark, sf):
+    rows = alerting.alerts_of_scan(verdict_log(spark, sf), "2024-01-30")
+    return rows.select("seq", "path", "status")
+
+
 DIGEST = f""", {ALERTS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY scan_id, status ORDER BY checked_at DESC, path, seq DESC) AS rk
            FROM alerts),

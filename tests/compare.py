@@ -27,7 +27,7 @@ def connect(sf_dir: str):
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.9g}")
+        return "nan" if math.isnan(value) else value
     if isinstance(value, bool) or value is None:
         return value
     if isinstance(value, int):

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 import files
 from assay.operators import formats
+from assay.operators.catalog import complete
 from assay.operators.deep_checks import deep_check, registered
+from assay.operators.importing import apply_import, prepare
 from assay.operators.payload_checks import check_content
 from assay.operators.validation import validate_content, validate_files
+from assay.plans import alerting
 from assay.plans.scan_job import ScanOptions, known_catalog, resume_scan, run_scan
 from assay.sources.inventory import read_inventory, restat
-from assay.sources.tables import read_payloads
+from assay.sources.tables import export_catalog, read_log, read_payloads, read_portable, typed_times
 
 CASES = {
     "ok.jpg": (files.jpeg(), "ok"),
@@ -168,6 +171,21 @@ def test_second_scan_skips_and_changes_are_found(spark, library, tmp_path):
     assert (third.processed - third.skipped, third.corrupt) == (1, 1)
     rows = {r.path: r for r in known_catalog(spark, log).collect()}
     assert rows[str(target)].status == "corrupt" and len(rows) == len(CASES) + 2
+    raised = alerting.alerts_of_scan(read_log(spark, log), rows[str(target)].scan_id).collect()
+    assert [(r.path, r.status) for r in raised] == [(str(target), "corrupt")]
+
+
+def test_export_and_import_into_an_empty_catalog(spark, library, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "export")
+    run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2)).collect()
+    catalog = complete(known_catalog(spark, log))
+    export_catalog(catalog, out)
+    records = prepare(read_portable(spark, out))
+    inserted = apply_import(records.drop("ordinal").limit(0), records, read_inventory(spark, [str(library)]))
+    want = sorted((r.path, r.status, r.size) for r in catalog.collect() if not r.path.endswith("broken.jpg"))
+    got = sorted((r.path, r.status, r.size) for r in inserted.collect() if not r.path.endswith("broken.jpg"))
+    assert got == want
+    assert typed_times(inserted).where("checked_at IS NULL").count() == 0
 
 
 def test_forced_recheck(spark, library, tmp_path):
