@@ -17,9 +17,6 @@ DEFAULTS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Batches with payloads are cut by size, not only by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
 }
 
 

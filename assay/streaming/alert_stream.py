@@ -17,6 +17,7 @@ from assay.schemas import ISSUE_STATUSES
 from assay.streaming.sinks import drain
 from assay.streaming.state_table import add_delta, compact, read_rows
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ALERT_SCHEMA = "seq long, scan_id string, path string, status string, error string, checked_at timestamp"
 
 
@@ -43,7 +44,11 @@ class AlertState(StatefulProcessor):
 
 
 def alerts(log: DataFrame) -> DataFrame:
-    """Streaming twin of the batch alert rule. ``checked_at`` must be a timestamp."""
+    """Streaming twin of the batch alert rule. ``checked_at`` must be a timestamp.
+
+    Stateful processors need the RocksDB store, which is set on the session here.
+    """
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = log.select("seq", "scan_id", "path", "status", "error", F.col("checked_at").cast("timestamp").alias("checked_at"))
     return rows.groupBy("path").transformWithState(
         statefulProcessor=AlertState(), outputStructType=ALERT_SCHEMA, outputMode="Append", timeMode="None"
