@@ -37,10 +37,6 @@ def extensions() -> list[str]:
     return sorted(_registry)
 
 
-def kind_of(ext: Column) -> Column:
-    return F.element_at(_lookup(0), ext)
-
-
 def _lookup(part: int) -> Column:
     cells = [F.lit(v) for ext in sorted(_registry) for v in (ext, _registry[ext][part])]
     return F.create_map(*cells)

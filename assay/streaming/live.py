@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from assay.sources.tables import write_snapshot
 from assay.streaming.sinks import drain
 
 
@@ -18,12 +17,11 @@ def counts(log: DataFrame) -> DataFrame:
 
 def publish_counts(log: DataFrame, folder: str, checkpoint: str):
     """Each batch publishes the counts so far as a snapshot version."""
-    fn = lambda batch, batch_id: write_snapshot_of_counts(batch, folder, batch_id)
-    return drain(counts(log), fn, checkpoint, mode="complete").start()
 
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
 
-def write_snapshot_of_counts(batch: DataFrame, folder: str, batch_id: int) -> None:
-    batch.coalesce(1).write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+    return drain(counts(log), fn, checkpoint, mode="complete").start()
 
 
 class ProgressListener(StreamingQueryListener):

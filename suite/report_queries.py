@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import text
 from assay.plans import reports
-from suite.adapters import AS_OF, catalog, scans, ts, verdict_log, with_views
+from suite.adapters import AS_OF, catalog, scans, ts, with_views
 from suite.registry import query
 
 # Report-time extension, as SQL.
