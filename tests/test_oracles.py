@@ -20,11 +20,13 @@ def con():
     return connect(SF)
 
 
-def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+def test_every_library_query_has_an_oracle():
+    from suite import load
 
+    assert set(load().QUERIES) == set(load().ORACLES)
 
-@pytest.mark.parametrize("name", list(ORACLES))
+
+@pytest.mark.parametrize("name", [n for n in ORACLES if not n.startswith("op") and n != "pipeline"])
 def test_query(spark, con, name):
     assert compare(spark, con, QUERIES[name], ORACLES[name], SF) is None
 
