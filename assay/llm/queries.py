@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import pii, simhash
+from assay.llm import pii, simhash, substrings
 from assay.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query()
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that are left without passages of earlier documents."""
+    found = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
