@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import pii, simhash, substrings
+from assay.llm import encoding, packing, pii, shards, simhash, substrings
 from assay.llm.common import table
+from assay.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +124,27 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are left without passages of earlier documents."""
     found = substrings.without_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded by the tokenization automaton."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = encoding.round_trip(table(spark, sf_dir, "documents"), path)
+    return found.withColumnRenamed("key", "doc_id")
+
+
+@query()
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids packed into sequences of 2048."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = packing.packed(table(spark, sf_dir, "documents"), path, with_ids=False)
+    return found.withColumnRenamed("key", "doc_id")
+
+
+@query()
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to binary shards and read back through their index."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = shards.write_shards(table(spark, sf_dir, "documents"), run_dir(spark, "shards"), path)
+    return shards.read_shards(manifest).withColumnRenamed("key", "doc_id")
