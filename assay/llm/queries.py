@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import encoding, packing, pii, shards, simhash, substrings
+from assay.llm import encoding, language, packing, pii, shards, simhash, substrings
 from assay.llm.common import table
 from assay.session import run_dir
 
@@ -148,3 +148,13 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     manifest = shards.write_shards(table(spark, sf_dir, "documents"), run_dir(spark, "shards"), path)
     return shards.read_shards(manifest).withColumnRenamed("key", "doc_id")
+
+
+@query()
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.held_out("doc_id")))
+    # the label does not travel with the rows that are predicted
+    rows = docs.select("doc_id", "text", language.held_out("doc_id").alias("held_out"))
+    return language.predicted(rows, model).select("doc_id", "held_out", "lang_pred", "score")
