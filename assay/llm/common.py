@@ -7,6 +7,7 @@ import types
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,42 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 4_000_00
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key in turn, from batches sorted by whole-number keys without nulls.
+    A group is held in memory: keys must name blocks of bounded size."""
+    kept: list[pa.RecordBatch] = []
+    last: tuple | None = None
+
+    def whole() -> pa.RecordBatch:
+        return kept[0] if len(kept) == 1 else pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(at[a])
+            if kept and key != last:
+                yield whole()
+                kept = []
+            kept.append(batch.slice(a, b - a))
+            last = key
+    if kept:
+        yield whole()
+
+
+def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the groups of each ``a`` and ``b`` were joined; a label is its group's
+    smallest member."""
+    while True:
+        x, y = labels[a], labels[b]
+        apart = x != y
+        if not apart.any():
+            return labels
+        low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        np.minimum.at(labels, high, low)
+        while (labels[labels] != labels).any():
+            labels = labels[labels]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import encoding, language, packing, pii, shards, simhash, substrings
+from assay.llm import encoding, language, near_vectors, neighbours, packing, pii, shards, simhash, substrings
 from assay.llm.common import table
 from assay.session import run_dir
 
@@ -158,3 +158,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the label does not travel with the rows that are predicted
     rows = docs.select("doc_id", "text", language.held_out("doc_id").alias("held_out"))
     return language.predicted(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of embeddings with a cosine of at least 0.95."""
+    found = near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query()
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every twentieth one."""
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.withColumnRenamed("id", "vec_id")

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import slices, texts
+from assay.llm.common import groups as grouped
+from assay.llm.common import merged, slices, texts
 from assay.llm.components import components
 from assay.sources.tables import stage
 
@@ -176,20 +177,6 @@ def thresholds(values: np.ndarray, cost: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after the groups of each ``a`` and ``b`` were joined; a label is its group's
-    smallest member."""
-    while True:
-        x, y = labels[a], labels[b]
-        apart = x != y
-        if not apart.any():
-            return labels
-        low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
-        np.minimum.at(labels, high, low)
-        while (labels[labels] != labels).any():
-            labels = labels[labels]
-
-
 def chains(fp: np.ndarray, probes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join whatever is joined by the pairs of a block: every probe is compared with
     every fingerprint, but each of them is linked once at most."""
@@ -210,27 +197,6 @@ def chains(fp: np.ndarray, probes: np.ndarray, most: int) -> tuple[np.ndarray, n
     return np.concatenate(starts), np.concatenate(ends)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of each key in turn, from batches that are sorted by the keys."""
-    kept: list[pd.DataFrame] = []
-    for batch in batches:
-        rows = batch.to_pandas()
-        if not len(rows):
-            continue
-        at = rows[keys].to_numpy()
-        cuts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
-        if kept and tuple(kept[-1][keys].iloc[-1]) != tuple(at[0]):
-            yield pd.concat(kept)
-            kept = []
-        for a, b in zip([0, *cuts], [*cuts, len(rows)]):
-            kept.append(rows.iloc[a:b])
-            if b < len(rows):
-                yield pd.concat(kept)
-                kept = []
-    if kept:
-        yield pd.concat(kept)
-
-
 def links(prints: DataFrame, most: int = 3, light: int = 64) -> DataFrame:
     """``(a, b)`` of distinct fingerprints that join all that differ by ``most`` bits at most.
 
@@ -259,14 +225,15 @@ def links(prints: DataFrame, most: int = 3, light: int = 64) -> DataFrame:
                         use = counts[p][to] > (1 if t == 0 else 0)
                         out.append((np.ones(use.sum(), bool), to[use], who[use]))
                     probe, value, who = (np.concatenate(x) for x in zip(*out))
-                    blocks = -(-counts[p][value] // BLOCK)
+                    # a heavy value is cut into blocks by probes and by what they are compared
+                    # with; a row is in one block of its own side and all of the other's
+                    blocks = np.maximum(-(-counts[p][value] // BLOCK), 1)
                     heavy = counts[p][value] > light
-                    one = np.ones(len(value), np.int64)
-                    times = np.where(probe & heavy, blocks, one)
-                    own = (who % np.maximum(blocks, 1).astype(np.uint64)).astype(np.int64)
+                    times = np.where(heavy, blocks, 1)
+                    own = (who % blocks.astype(np.uint64)).astype(np.int64)
                     at = np.repeat(np.arange(len(value)), times)
                     nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                    block = np.where(probe[at], nth, own[at])
+                    block = np.where(probe[at], nth * blocks[at] + own[at], own[at] * blocks[at] + nth)
                     block[~heavy[at]] = -1
                     yield pd.DataFrame(
                         {
@@ -286,9 +253,9 @@ def links(prints: DataFrame, most: int = 3, light: int = 64) -> DataFrame:
     single = index.join(probes, same & near).select("a", "b")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ["part", "value", "block"]):
-            probe = rows["probe"].to_numpy().astype(bool)
-            fp = rows["fp"].to_numpy().view(np.uint64)
+        for rows in grouped(batches, ["part", "value", "block"]):
+            probe = rows.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+            fp = rows.column("fp").to_numpy().view(np.uint64)
             a, b = chains(fp[~probe], fp[probe], most) if probe.any() and not probe.all() else (fp[:0], fp[:0])
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
