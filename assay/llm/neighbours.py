@@ -30,9 +30,11 @@ from assay.sources.tables import stage
 SAMPLE, LISTS = 8192, 96
 #: Distance ratio up to which a vector stands in further lists, and in how many at most.
 BOUNDARY, REPLICAS = 1.03, 3
-AIM = 0.97
+AIM = 0.98
 #: Neighbours of a centroid in the graph.
 DEGREE = 12
+#: Centroids out of reach that a search visits in a row before it ends.
+PATIENCE = 12
 BLOCK = 4096
 BROADCAST_ROWS = 100_000
 
@@ -48,7 +50,7 @@ class Index:
     length of an indexed vector."""
 
     centroids: np.ndarray
-    graph: np.ndarray
+    graph: list[list[int]]
     reach: float
     ratio: float
 
@@ -67,9 +69,10 @@ class Index:
         near = np.take_along_axis(d, order, axis=1)
         return [o[n <= max(n[0] * BOUNDARY, 0.0)] for o, n in zip(order, near)]
 
-    def search(self, q: np.ndarray) -> np.ndarray:
+    def search(self, q: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
         """Lists for one query, closest first: the graph is walked from the closest known
-        centroid on, as long as what comes next can be within the ratio."""
+        centroid on, as long as what comes next can be within the ratio. The lists hold at
+        least ``least`` of ``counts`` vectors, if there are so many."""
         dist: dict[int, float] = {}
 
         def see(nodes) -> None:
@@ -80,19 +83,38 @@ class Index:
 
         see(range(0, len(self.centroids), max(1, len(self.centroids) // 8)))
         done: set[int] = set()
-        while True:
-            limit = min(dist.values()) * self.ratio
-            ahead = [n for n in dist if n not in done and dist[n] <= limit * 1.05]
-            if not ahead:
-                break
-            node = min(ahead, key=lambda n: (dist[n], n))
+        beyond = 0  # nodes in a row that were out of reach
+        while beyond < PATIENCE and len(done) < len(dist):
+            node = min((n for n in dist if n not in done), key=lambda n: (dist[n], n))
             done.add(node)
+            beyond = beyond + 1 if dist[node] > min(dist.values()) * self.ratio else 0
             see(self.graph[node])
-        return np.array(sorted((n for n in dist if dist[n] <= limit), key=lambda n: (dist[n], n)))
+        limit = min(dist.values()) * self.ratio
+        found = np.array(sorted((n for n in dist if dist[n] <= limit), key=lambda n: (dist[n], n)))
+        if counts[found].sum() < least:  # short lists: all centroids in order, until there is enough
+            order = np.argsort(((self.centroids - q) ** 2).sum(axis=1), kind="stable")
+            found = order[: int(np.searchsorted(np.cumsum(counts[order]), least)) + 1]
+        return found
+
+    @staticmethod
+    def linked(centroids: np.ndarray) -> list[list[int]]:
+        """Each centroid's closest ones, but none that a closer neighbour already leads to:
+        so links also leave a crowd of centroids. Links go both ways."""
+        between = squared(centroids, centroids)
+        out: list[set[int]] = [set() for _ in centroids]
+        for i, row in enumerate(np.argsort(between, axis=1, kind="stable").tolist()):
+            kept: list[int] = []
+            for j in row:
+                if j != i and len(kept) < DEGREE and all(between[i, j] < between[j, n] for n in kept):
+                    kept.append(j)
+            for j in kept:
+                out[i].add(j)
+                out[j].add(i)
+        return [sorted(n) for n in out]
 
     @classmethod
     def fit(cls, sample: np.ndarray, reach: float, k: int) -> Index:
-        index = cls(np.zeros((0, 0)), np.zeros((0, 0), np.int64), reach, 1.0)
+        index = cls(np.zeros((0, 0)), [], reach, 1.0)
         x = index.lifted(sample)
         lists = max(1, min(LISTS, len(x) // 8))
         rng = np.random.default_rng(7)
@@ -108,9 +130,7 @@ class Index:
             full = count > 0
             centre[full] = total[full] / count[full, None]
             centre[~full] = x[rng.choice(len(x), int((~full).sum()))]
-        between = squared(centre, centre)
-        index.centroids = centre
-        index.graph = np.argsort(between, axis=1, kind="stable")[:, 1 : 1 + DEGREE]
+        index.centroids, index.graph = centre, cls.linked(centre)
         index.ratio = index._ratio(sample, k)
         return index
 
@@ -163,13 +183,19 @@ def nearest(
 def _search(kept: DataFrame, asking: DataFrame, index: Index, k: int) -> DataFrame:
     kind = kept.schema["vector"].dataType.simpleString()
 
-    def listed(query: bool):
+    # a vector stands in REPLICAS lists at most, so these hold more than k different ones
+    least = REPLICAS * (k + 1)
+
+    def listed(counts: np.ndarray | None = None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(0, batch.num_rows, 1024):
                     some = batch.slice(i, 1024)
                     x = matrix(some.column("vector"))
-                    lists = [index.search(q) for q in index.asked(x)] if query else index.lists_of(index.lifted(x))
+                    if counts is None:
+                        lists = index.lists_of(index.lifted(x))
+                    else:
+                        lists = [index.search(q, counts, least) for q in index.asked(x)]
                     at = pa.array(np.repeat(np.arange(len(lists)), [len(n) for n in lists]))
                     flat = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
                     yield pa.RecordBatch.from_arrays(
@@ -179,8 +205,11 @@ def _search(kept: DataFrame, asking: DataFrame, index: Index, k: int) -> DataFra
         return run
 
     schema = f"list int, id long, vector {kind}"
-    posts = stage(kept.mapInArrow(listed(False), schema), "posting-lists")
-    asked = stage(asking.mapInArrow(listed(True), schema), "list-queries")
+    posts = stage(kept.mapInArrow(listed(), schema), "posting-lists")
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for row in posts.groupBy("list").count().collect():  # as many numbers as lists
+        sizes[row["list"]] = row["count"]
+    asked = stage(asking.mapInArrow(listed(sizes), schema), "list-queries")
     # blocks on both sides: there are as many counts as lists
     blocks = lambda some, to: some.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(to))
     counts = F.broadcast(blocks(posts, "rows").join(blocks(asked, "queries"), "list"))
