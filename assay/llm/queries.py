@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import encoding, language, near_vectors, neighbours, packing, pii, shards, simhash, substrings
+from assay.llm import encoding, language, licences, near_vectors, neighbours, packing, pii, shards, simhash, substrings
 from assay.llm.common import table
 from assay.session import run_dir
 
@@ -172,3 +172,10 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest embeddings of every twentieth one."""
     found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query()
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all documents that name a licence."""
+    docs = table(spark, sf_dir, "documents")
+    return licences.scanned(docs, licences.fit(docs)).withColumnRenamed("key", "doc_id")
