@@ -110,9 +110,14 @@ class Automaton:
         states that have no child: they move like the state they fall back to."""
         child: list[dict[int, int]] = [{}]
         token = [NONE]
-        # a token is read only if its halves can stand side by side when it is made; the
-        # library's vocabularies may hold others, which no text gives
+        # a token is read only if its halves are and can stand side by side when it is made;
+        # a vocabulary may hold others, which no text gives
         sound = self.decide(self.left, self.right, self.time)
+        for i in np.argsort(self.time, kind="stable").tolist():
+            if self.time[i] > NONE:
+                sound[i] = sound[i] and sound[self.left[i]] and sound[self.right[i]]
+            else:
+                sound[i] = True
         for i, label in enumerate(self.bytes_of):
             if label is None or (len(label) != 1 if self.time[i] == NONE else not sound[i]):
                 continue
