@@ -60,6 +60,29 @@ class Chunks:
         return out
 
 
+class Pieces:
+    """Ids of chunks from the ids of the pieces that the vocabulary splits them into."""
+
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], most: int = 400_000):
+        self.split, self.encode, self.most = split, encode, most
+        self.known: dict[str, bytes] = {}
+
+    def many(self, chunks: list[str]) -> list[bytes]:
+        lists = [self.split(c) for c in chunks]
+        distinct = set().union(*lists)
+        fresh = list(distinct.difference(self.known))
+        self.known.update(zip(fresh, self.encode(fresh)))
+        known = self.known
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
+        if len(known) > self.most:
+            self.known = {p: known[p] for p in distinct}
+        return out
+
+
+#: How the vocabulary of words splits lower-case text: fixed value.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def library(path: str, spaced: bool) -> Chunks:
     """Chunks encoded by the tokenizers library; made once in a worker."""
 
@@ -67,15 +90,24 @@ def library(path: str, spaced: bool) -> Chunks:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        from assay.llm.bpe import BEYOND, SPLIT, splitter
+
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def many(chunks: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        def encode(some: list[str]) -> list[bytes]:
+            found = tokenizer.encode_batch_fast(some, add_special_tokens=False)
             return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-        return Chunks(many, lambda text: many([text])[0], spaced)
+        if spaced:
+            split = splitter(SPLIT)
+        else:
+            # the first 256 characters have no other form and change case one by one; what
+            # holds others is left to the library in one piece
+            words = splitter(WORD_SPLIT)
+            split = lambda chunk: [chunk] if BEYOND.search(chunk) else words(chunk.lower())
+        return Chunks(Pieces(split, encode).many, lambda text: encode([text])[0], spaced)
 
     return once(("library", path), make)
 
