@@ -8,13 +8,13 @@ and how often.
 from __future__ import annotations
 
 import struct
-import xml.etree.ElementTree as ET
 import zipfile
 import zlib
 from collections.abc import Callable
 from typing import BinaryIO
+from xml.parsers import expat
 
-from assay.operators.payload_checks import OLE_STREAMS
+from assay.operators.payload_checks import MARKS, OLE_STREAMS
 
 Finding = tuple[str, str] | None
 DeepCheck = Callable[[BinaryIO, str], Finding]
@@ -22,6 +22,9 @@ DeepCheck = Callable[[BinaryIO, str], Finding]
 # Parts an office package must contain as well-formed XML.
 REQUIRED_PARTS = ("[Content_Types].xml", "_rels/.rels")
 
+# TIFF tags of strip and tile offsets and of their byte counts.
+STRIP_TAGS = (273, 279, 324, 325)
+
 _checks: dict[str, DeepCheck] = {}
 
 
@@ -39,27 +42,68 @@ def registered() -> dict[str, DeepCheck]:
     return dict(_checks)
 
 
+class _Part:
+    """What one pass over a member of a package shows: does it match its checksum, and is it
+    well-formed XML? Members are read in bounded steps."""
+
+    def __init__(self, package: zipfile.ZipFile, entry: zipfile.ZipInfo):
+        self.intact, self.xml = True, True
+        parser = expat.ParserCreate() if entry.filename in REQUIRED_PARTS else None
+        try:
+            with package.open(entry) as member:
+                while step := member.read(1 << 16):
+                    self._parse(parser, step, False)
+            self._parse(parser, b"", True)
+        except (zipfile.BadZipFile, zlib.error, EOFError, OSError):
+            self.intact = False
+
+    def _parse(self, parser, step: bytes, last: bool) -> None:
+        if parser is None or not self.xml:
+            return
+        try:
+            parser.Parse(step, last)
+        except expat.ExpatError:
+            self.xml = False
+
+
 @deep_check("ooxml")
-def package_parts(f: BinaryIO, ext: str) -> Finding:
+def package_finding(f: BinaryIO, ext: str) -> Finding:
+    """All members are looked at first; then the worst of what was seen is reported: damaged
+    members in their order, then required parts that are absent, then broken ones."""
     try:
         package = zipfile.ZipFile(f)
-        damaged = package.testzip()
-    except zipfile.BadZipFile as e:
-        return "bad_container", f"Bad ZIP container: {e}"
-    if damaged:
-        return "bad_structure", f"CRC failure in ZIP entry: {damaged}"
-    for part in REQUIRED_PARTS:
-        if part not in package.namelist():
-            return "missing_part", f"Missing required part: {part}"
-        try:
-            ET.fromstring(package.read(part))
-        except ET.ParseError as e:
-            return "bad_structure", f"Bad XML in {part}: {e}"
+        seen = {entry.filename: _Part(package, entry) for entry in package.infolist()}
+    except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
+        return "bad_container", "the package directory can not be read"
+    for name, part in seen.items():
+        if not part.intact:
+            return "bad_structure", f"member {name} does not match its checksum"
+    absent = [name for name in REQUIRED_PARTS if name not in seen]
+    broken = [name for name in REQUIRED_PARTS if name in seen and not seen[name].xml]
+    if absent:
+        return "missing_part", f"the package lacks {absent[0]}"
+    return ("bad_structure", f"{broken[0]} is not well-formed") if broken else None
+
+
+def _marks(f: BinaryIO, kind: str) -> Finding:
+    """The first mark of a kind that is nowhere in the file."""
+    for mark, reason, text in MARKS[kind]:
+        f.seek(0)
+        if not _contains(f, mark):
+            return reason, text
+    f.seek(0)
     return None
 
 
+@deep_check("pdf")
+def pdf_marks(f: BinaryIO, ext: str) -> Finding:
+    return _marks(f, "pdf")
+
+
 @deep_check("png")
 def png_chunks(f: BinaryIO, ext: str) -> Finding:
+    if missing := _marks(f, "png"):
+        return missing
     f.seek(8)
     while True:
         head = f.read(8)
@@ -77,7 +121,10 @@ def png_chunks(f: BinaryIO, ext: str) -> Finding:
 
 @deep_check("jpeg")
 def jpeg_segments(f: BinaryIO, ext: str) -> Finding:
-    """Every segment up to the scan data chains to the next one, and a frame comes first."""
+    """Every segment up to the scan data chains to the next one, a frame comes first, and the
+    end marker is there."""
+    if missing := _marks(f, "jpeg"):
+        return missing
     f.seek(2)
     framed = False
     while True:
@@ -100,7 +147,8 @@ def jpeg_segments(f: BinaryIO, ext: str) -> Finding:
 
 @deep_check("tiff")
 def tiff_directories(f: BinaryIO, ext: str) -> Finding:
-    """Follows the directory chain and requires all strips of the first image to exist."""
+    """Follows the directory chain and requires all strips and tiles to lie in the file."""
+    f.seek(0)
     head = f.read(8)
     if head[2:4] not in (b"*\x00", b"\x00*"):
         return None
@@ -116,14 +164,24 @@ def tiff_directories(f: BinaryIO, ext: str) -> Finding:
         entries = f.read(count * 12 + 4)
         if len(entries) < count * 12 + 4:
             return "bad_tiff", "directory cut off"
+        data: dict[int, tuple[int, ...]] = {}
         for i in range(count):
             tag, kind, n = struct.unpack(order + "HHI", entries[i * 12 : i * 12 + 8])
             width = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}.get(kind, 1) * n
             at = struct.unpack(order + "I", entries[i * 12 + 8 : i * 12 + 12])[0]
-            # Strip and tile offsets with a single value point at image data.
-            outside = at + width > size if width > 4 else tag in (273, 324) and kind == 4 and at >= size
-            if outside:
+            if width > 4 and at + width > size:
                 return "bad_tiff", f"tag {tag} points outside the file"
+            if tag in STRIP_TAGS and kind in (3, 4):
+                if width > 4:
+                    f.seek(at)
+                    raw = f.read(width)
+                else:
+                    raw = entries[i * 12 + 8 : i * 12 + 8 + width]
+                data[tag] = struct.unpack(f"{order}{n}{'H' if kind == 3 else 'I'}", raw)
+        for places, lengths in ((273, 279), (324, 325)):
+            ends = (a + n for a, n in zip(data.get(places, ()), data.get(lengths, ())))
+            if any(end > size for end in ends):
+                return "bad_tiff", "image data is cut off"
         offset = struct.unpack(order + "I", entries[-4:])[0]
     return None
 

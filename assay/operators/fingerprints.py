@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from assay.operators.verdicts import RESTORE, ok, verdict
 
-# Payloads up to this size are hashed whole, larger ones by both ends.
-FULL_HASH_BYTES = 10 * 1024 * 1024
+# Above this size both ends get a hash of their own, of so many bytes.
+LARGE_BYTES = 10 * 1024 * 1024
 PARTIAL_BYTES = 64 * 1024
 
 
@@ -27,20 +27,21 @@ def partial_hash(content: Column, part: int = PARTIAL_BYTES) -> Column:
 
 
 def with_fingerprints(
-    payloads: DataFrame, content: str = "content", threshold: int = FULL_HASH_BYTES, part: int = PARTIAL_BYTES
+    payloads: DataFrame, content: str = "content", threshold: int = LARGE_BYTES, part: int = PARTIAL_BYTES
 ) -> DataFrame:
-    """Adds ``hash`` below the threshold and ``partial_hash`` above it; drops the content."""
+    """Adds ``hash``, of the whole content whatever its size, and above the threshold
+    ``partial_hash`` for comparison with catalogs that have it; drops the content. Only the
+    hash of the whole content ever decides."""
     c = F.col(content)
-    small = F.length(c) <= threshold
     return (
-        payloads.withColumn("hash", F.when(small, full_hash(c)))
-        .withColumn("partial_hash", F.when(~small, partial_hash(c, part)))
+        payloads.withColumn("hash", full_hash(c))
+        .withColumn("partial_hash", F.when(F.length(c) > threshold, partial_hash(c, part)))
         .drop(content)
     )
 
 
 def fingerprint() -> Column:
-    return F.coalesce("hash", "partial_hash")
+    return F.col("hash")
 
 
 def copies(files: DataFrame, key: str = "path") -> DataFrame:

@@ -136,9 +136,11 @@ def group_positions(
         "_part",
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
-    return laid.join(shifts, [*groups, "_part"]).select(
-        *df.columns, (F.col("_at") + F.col("_shift")).alias(name)
-    )
+    # rows whose group is null are a group too
+    shifts = shifts.select(*[F.col(g).alias(f"_of_{g}") for g in groups], F.col("_part").alias("_in"), "_shift")
+    same = [laid[g].eqNullSafe(shifts[f"_of_{g}"]) for g in groups]
+    together = laid.join(shifts, [laid["_part"] == shifts["_in"], *same])
+    return together.select(*[laid[c] for c in df.columns], (F.col("_at") + F.col("_shift")).alias(name))
 
 
 def running_processed(log: DataFrame) -> DataFrame:

@@ -85,11 +85,9 @@ Rule = tuple[str, str, str]
 RULES: dict[str, list[Rule]] = {
     "jpeg": [
         (f"NOT {_starts(JPEG_START)}", "bad_signature", "not a JPEG stream"),
-        (f"NOT {_ends_with_any_of_last(1024, JPEG_END)}", "truncated", "end-of-image marker missing"),
     ],
     "png": [
         (f"NOT {_starts(PNG_START)}", "bad_signature", "not a PNG stream"),
-        (f"NOT endswith(tail, {_x(PNG_END)})", "truncated", "IEND chunk missing"),
     ],
     "tiff": [
         (f"NOT {_TIFF_ANY}", "bad_tiff", "not a TIFF stream"),
@@ -114,16 +112,12 @@ RULES: dict[str, list[Rule]] = {
         (f"NOT {_RAW_KNOWN} AND ext <> '.dng'", "unknown_camera", "Camera model not supported"),
         (_DIR_OUTSIDE, "bad_raw", "first directory lies outside the file"),
     ],
-    "pdf": [
-        (f"NOT contains(substring(head, 1, 1024), {_x(b'%PDF-')})", "bad_signature", "PDF header not found"),
-        (f"NOT {_ends_with_any_of_last(1024, b'%%EOF')}", "truncated", "EOF marker not found"),
-        (f"NOT {_ends_with_any_of_last(1024, b'startxref')}", "bad_structure", "startxref not found"),
-    ],
+    "pdf": [],
     "ooxml": [
         (
             f"NOT {_starts(ZIP_START)} OR NOT {_ends_with_any_of_last(TAIL_BYTES, ZIP_END)}",
             "bad_container",
-            "Bad ZIP container: File is not a zip file",
+            "no ZIP frame around the package",
         ),
     ],
     "ole": [
@@ -142,7 +136,24 @@ RULES: dict[str, list[Rule]] = {
     ],
 }
 
+# Marks that must be somewhere in the payload: files may go on after them.
+MARKS: dict[str, list[tuple[bytes, str, str]]] = {
+    "jpeg": [(JPEG_END, "truncated", "end-of-image marker missing")],
+    "png": [(PNG_END, "truncated", "IEND chunk missing")],
+    "pdf": [
+        (b"%PDF-", "bad_signature", "PDF header not found"),
+        (b"%%EOF", "truncated", "EOF marker not found"),
+        (b"startxref", "bad_structure", "startxref not found"),
+    ],
+}
+# Kinds that rules over the whole content decide.
+RULED = ("pdf",)
+
 WHOLE_RULES: dict[str, list[Rule]] = {
+    **{
+        kind: [(f"NOT contains(whole, {_x(mark)})", reason, text) for mark, reason, text in marks]
+        for kind, marks in MARKS.items()
+    },
     "ole": [
         (
             f"ext = '{ext}' AND NOT contains(whole, {_x(stream.encode('utf-16-le'))})",
@@ -175,6 +186,8 @@ def _numbered(whole: bool) -> tuple[list[Rule], str]:
     for kind, own in RULES.items():
         own = own + (WHOLE_RULES.get(kind, []) if whole else [])
         first = len(rules) + 1
+        if not own:
+            continue
         inner = " ".join(f"WHEN {c} THEN {i}" for i, (c, _, _) in enumerate(own, first))
         arms.append(f"WHEN kind = '{kind}' THEN CASE {inner} ELSE {OK_CODE} END")
         rules += own

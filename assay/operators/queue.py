@@ -26,10 +26,11 @@ def mark_done(queue: DataFrame, finished: DataFrame) -> DataFrame:
 
 
 def pending(queue: DataFrame, scan_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows that are not done; with ``limit`` the first ones by scan and path."""
     rows = queue.where(~F.col("done"))
     if scan_id is not None:
         rows = rows.where(F.col("scan_id") == scan_id)
-    return rows.select(*KEY) if limit is None else rows.select(*KEY).limit(limit)
+    return rows.select(*KEY) if limit is None else rows.select(*KEY).orderBy(*KEY).limit(limit)
 
 
 def without_finished(queue: DataFrame, scan_id: str | None = None) -> DataFrame:

@@ -1,9 +1,9 @@
 """The distributed validation job: structural rules first, whole-payload checks second.
 
 No payload can fail the job. Whatever a check raises becomes an ``error`` verdict of its
-row, and a row that takes longer than its budget, or exceeds the size limit, is reported as
-timed out. A running check can not be killed from inside a task, so the budget is compared
-when the check returns and the size limit keeps hopeless files out beforehand.
+row, and a row that takes longer than its budget is reported as timed out. A running check
+can not be killed from inside a task, so the budget is compared when the check returns. No
+file is too large to be checked: checks read in bounded steps.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 from assay.operators.deep_checks import DeepCheck, registered
 from assay.operators.formats import dispatch
 from assay.operators.payload_checks import (
-    HEAD_BYTES, OK_CODE, TAIL_BYTES, code, coded, failure, no_validator,
+    HEAD_BYTES, OK_CODE, RULED, TAIL_BYTES, code, coded, failure, no_validator,
 )
-from assay.operators.verdicts import REASONS, first_failing, rule, unstatable, verdict
+from assay.operators.verdicts import REASONS, first_failing, unstatable, verdict
 
 # Fixed value: default seconds per file.
 TIMEOUT_S = 120
@@ -81,20 +81,20 @@ def _as_raw(found):
 
 
 def validate_content(
-    payloads: DataFrame, depth: str = "structure", timeout_s: float = TIMEOUT_S, max_bytes: int | None = None
+    payloads: DataFrame, depth: str = "structure", timeout_s: float = TIMEOUT_S
 ) -> DataFrame:
     """Verdicts for ``(path, content, ...)``; the content column is dropped.
 
     One pass: every row goes through Python, but only those that pass the structural rules
     and have a whole-payload check take their content along.
     """
-    checks = _deep_kinds(depth)
+    # what SQL rules over the whole content decide needs no payload in Python
+    checks = {kind: check for kind, check in _deep_kinds(depth).items() if kind not in RULED}
     rows = coded(payloads)
-    too_big = F.lit(False) if max_bytes is None else F.coalesce(F.length("content") > max_bytes, F.lit(False))
     keep = [c for c in payloads.columns if c != "content"]
-    todo = (F.col("_code") == OK_CODE) & F.col("kind").isin(*checks) & ~too_big
+    todo = (F.col("_code") == OK_CODE) & F.col("kind").isin(*checks)
     narrow = rows.select(
-        *keep, "ext", "kind", "_code", too_big.alias("_big"), F.when(todo, F.col("content")).alias("content")
+        *keep, "ext", "kind", "_code", F.when(todo, F.col("content")).alias("content")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +110,6 @@ def validate_content(
     verdicts = first_failing(
         no_validator(),
         failure("_code", whole=True),
-        rule(F.col("_big"), "timed_out", f"validation timed out after {timeout_s:g}s"),
         _deep_finding(),
     )
     return checked.select(*keep, verdicts.alias("verdict"))
@@ -143,24 +142,18 @@ _EVIDENCE = T.StructType(
 
 
 def validate_files(
-    worklist: DataFrame, depth: str = "structure", timeout_s: float = TIMEOUT_S, max_bytes: int | None = None
+    worklist: DataFrame, depth: str = "structure", timeout_s: float = TIMEOUT_S
 ) -> DataFrame:
     """Adds ``verdict`` to inventory rows ``(path, mtime, size, ...)``.
 
     Files are opened by path inside the tasks, so a payload is read once, where it is
     checked, and never crosses into the JVM; only both ends of it come back for the rules.
-    Files that could not be stat-ed, that have no validator, or that are too big are never
-    opened. Each opened file is stat-ed again right after its check: ``discarded`` marks
+    Files that could not be stat-ed or that have no validator are never opened. Each opened file is stat-ed again right after its check: ``discarded`` marks
     verdicts of files that changed or vanished meanwhile.
     """
     checks = _deep_kinds(depth)
     routed = dispatch(worklist)
-    too_big = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
-    unopened = F.coalesce(
-        unstatable(),
-        no_validator(),
-        rule(too_big, "timed_out", f"validation timed out after {timeout_s:g}s"),
-    )
+    unopened = F.coalesce(unstatable(), no_validator())
     opened = routed.withColumn("_unopened", unopened).drop("cost_class")
     opened = opened.withColumn("_open", F.col("_unopened").isNull())
     none = (None,) * (len(_EVIDENCE) + len(_FINDING))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.text import seconds_between
@@ -27,18 +27,24 @@ def systemic(log: DataFrame, threshold: float = SYSTEMIC_RATIO) -> DataFrame:
 
 
 def alerts_of_scan(log: DataFrame, scan_id: str) -> DataFrame:
-    """Alerts the latest scan raises, given what earlier scans found.
+    """Alerts a scan raised, given what stood in the log before its first row.
 
     The log is partitioned by scan, so the first part reads that scan only; of the rest two
-    columns per path are kept.
+    columns per path are kept. What came later is no history of the scan.
     """
-    own = F.col("scan_id") == scan_id
-    return alerts_since(log.where(own), alert_state(log.where(~own)))
+    own = log.where(F.col("scan_id") == scan_id)
+    begin = own.agg(F.min(F.struct("checked_at", "seq")).alias("begin"))
+    before = log.where(F.col("scan_id") != scan_id).join(F.broadcast(begin))  # one row
+    before = before.where(F.struct("checked_at", "seq") < F.col("begin"))
+    return alerts_since(own, alert_state(before))
 
 
-def digest(alerts: DataFrame, scans: DataFrame, listed: int = LISTED) -> DataFrame:
+def digest(alerts: DataFrame, scans: DataFrame, listed: int = LISTED, log: DataFrame | None = None) -> DataFrame:
     """One row per scan with alerts: counts, the newest ``listed`` files and the remainder.
 
+    With the verdict ``log`` also how many files of the scan were ``checked`` and how many of
+    them were ``unreadable_all``, whether they alert or not: what a mount failure shows in.
+
     The rank limit is applied before the shuffle, so a scan with most of the alerts sends
     ``listed`` rows per task and category, and no list grows with the data. Counts and
     lists each read ``alerts``: pass a stored table, not a plan that is costly to repeat.
@@ -74,60 +80,52 @@ def digest(alerts: DataFrame, scans: DataFrame, listed: int = LISTED) -> DataFra
     more = [
         F.greatest(F.col(f"{s}_count") - listed, F.lit(0).cast("long")).alias(f"{s}_more") for s in ISSUE_STATUSES
     ]
-    return counts.join(first, "scan_id").join(about, "scan_id", "left").select("*", *more)
+    out = counts.join(first, "scan_id").join(about, "scan_id", "left").select("*", *more)
+    if log is None:
+        return out
+    seen = systemic(log).select("scan_id", "checked", F.col("unreadable").alias("unreadable_all"))
+    return out.join(seen, "scan_id", "left")
 
 
 def messages(digests: DataFrame, product: str = "Library", threshold: float = SYSTEMIC_RATIO) -> DataFrame:
-    """Subject, title, body and payload of each digest."""
-    unreadable, total = F.col("unreadable_count"), F.col("total_checked")
-    blank = F.lit("")
-    suspected = (total > 0) & (unreadable / total >= F.lit(threshold))
+    """Subject, title, body and payload of each digest that was made with the verdict log."""
     none = F.array().cast("array<string>")
+    only = lambda condition, lines: F.when(condition, lines).otherwise(none)
     head = F.array(
-        F.lit(f"{product} Scan Report"),
-        F.concat(F.lit("Scan ID:  "), "scan_id"),
-        F.concat(F.lit("Scope:    "), "scope"),
-        F.format_string("Duration: %.1fs", F.bround("duration_s", 1)),
-        F.format_string("Checked:  %d files", total),
-        blank,
+        F.format_string(f"{product} check %s of %s", "scan_id", "scope"),
+        F.format_string("%d files in %.1f s", "total_checked", F.bround("duration_s", 1)),
     )
-    warning = F.when(
-        suspected,
-        F.array(
-            F.format_string(
-                "⚠ Suspected mount/network failure on %s — %d/%d files unreadable.", "scope", unreadable, total
-            ),
-            blank,
-        ),
-    ).otherwise(none)
-
-    def section(status, title, line):
-        count, more = F.col(f"{status}_count"), F.col(f"{status}_more")
-        tail = F.when(more > 0, F.array(F.format_string("  ... and %d more", more))).otherwise(none)
-        lines = F.concat(F.array(title), F.transform(status, line), tail, F.array(blank))
-        return F.when(count > 0, lines).otherwise(none)
-
-    with_error = lambda r: F.concat(
-        F.lit("  "),
-        r["path"],
-        F.when(F.length(r["error"]) > 0, F.concat(F.lit("  ["), r["error"], F.lit("]"))).otherwise(""),
+    share = F.col("unreadable_all") / F.col("checked")
+    mount = F.format_string(
+        "Is %s mounted? %d of %d files could not be read.", "scope", "unreadable_all", "checked"
     )
-    corrupt = section("corrupt", F.format_string("Corrupt files (%d):", "corrupt_count"), with_error)
-    unread = section(
-        "unreadable",
-        F.format_string(
-            "Unreadable files (%d):\n  (These may indicate a mount/network issue rather than file corruption.)",
-            unreadable,
-        ),
-        lambda r: F.concat(F.lit("  "), r["path"]),
+
+    def section(status: str, name: str) -> Column:
+        count, more = F.col(f"{status}_count"), F.col(f"{status}_more")
+        line = lambda r: F.concat(
+            F.lit("- "), r["path"], F.when(F.length(r["error"]) > 0, F.concat(F.lit(": "), r["error"])).otherwise("")
+        )
+        lines = F.concat(
+            F.array(F.format_string(f"{name}: %d", count)),
+            F.transform(status, line),
+            only(more > 0, F.array(F.format_string("- %d others", more))),
+        )
+        return only(count > 0, lines)
+
+    issues = F.col("corrupt_count") + F.col("unreadable_count")
+    body = F.concat(
+        head,
+        only((F.col("checked") > 0) & (share >= F.lit(threshold)), F.array(mount)),
+        section("corrupt", "Damaged"),
+        section("unreadable", "Unreadable"),
+        only(issues == 0, F.array(F.lit("Nothing to report."))),
     )
-    clean = F.when((F.col("corrupt_count") == 0) & (unreadable == 0), F.array(F.lit("✓ All files OK."))).otherwise(none)
     out = digests.select(
         "scan_id",
-        F.format_string(f"[{product}] %d corrupt, %d unreadable — %s", "corrupt_count", unreadable, "scope").alias(
-            "subject"
-        ),
-        F.format_string(f"{product}: %d corrupt", "corrupt_count").alias("title"),
-        F.array_join(F.concat(head, warning, corrupt, unread, clean), "\n").alias("message"),
+        F.format_string(
+            f"{product} check of %s: %d damaged, %d unreadable", "scope", "corrupt_count", "unreadable_count"
+        ).alias("subject"),
+        F.format_string(f"{product}: %d damaged", "corrupt_count").alias("title"),
+        F.array_join(body, "\n").alias("message"),
     )
     return out.withColumn("payload", F.to_json(F.struct("title", "message", "scan_id")))

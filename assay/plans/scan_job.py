@@ -28,7 +28,6 @@ class ScanOptions:
     force_recheck_days: int = 90
     depth: str = "structure"
     timeout_s: float = TIMEOUT_S
-    max_bytes: int | None = None
     # Tasks for light files; heavy ones get twice as many.
     tasks: int | None = None
 
@@ -57,7 +56,7 @@ def check(spark: SparkSession, todo: DataFrame, scan_id: str, options: ScanOptio
     """
     tasks = options.tasks or 4 * spark.sparkContext.defaultParallelism
     checked = validate_files(
-        spread(todo.select("path", "mtime", "size"), tasks, 2 * tasks), options.depth, options.timeout_s, options.max_bytes
+        spread(todo.select("path", "mtime", "size"), tasks, 2 * tasks), options.depth, options.timeout_s
     )
     rows = checked.select(
         F.monotonically_increasing_id().alias("seq"),

@@ -63,22 +63,27 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def read_payloads(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
-    """``(path, mtime, size, content)`` of the visible, non-empty files below a folder.
+def read_payloads(spark: SparkSession, folder: str, inventory: DataFrame | None = None) -> DataFrame:
+    """``(path, mtime, size, content)`` of the files below a folder.
 
-    For object stores, where files can not be opened by path in the tasks. Spark skips empty
-    files and names with a leading ``_`` or ``.``; the size limit reaches the listing, so a
-    larger file is not read.
+    For object stores, where files can not be opened by path in the tasks. Spark's reader skips
+    empty files and names with a leading ``_`` or ``.``. With an ``inventory(path, mtime,
+    size)`` every row of it is there: an empty file has empty content, and one that the reader
+    did not give has none.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    if max_bytes is not None:
-        rows = rows.where(F.col("length") <= max_bytes)
-    return rows.select(
-        "path",
-        (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime"),
-        F.col("length").alias("size"),
-        "content",
-    )
+    if inventory is None:
+        return rows.select(
+            "path",
+            (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime"),
+            F.col("length").alias("size"),
+            "content",
+        )
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    found = rows.select(plain("path").alias("_path"), "content")
+    every = inventory.select("path", "mtime", "size").withColumn("_path", plain("path"))
+    content = F.when(F.col("size") == 0, F.lit(b"")).otherwise(F.col("content"))
+    return every.join(found, "_path", "left").select("path", "mtime", "size", content.alias("content"))
 
 
 def iso_text(ts: Column | str) -> Column:

@@ -185,7 +185,7 @@ def payloads(docs: DataFrame) -> DataFrame:
 _SIGNATURE_ERRORS = {
     0: "not a JPEG stream", 1: "not a PNG stream", 2: "not a TIFF stream", 3: "not a HEIF or AVIF stream",
     4: "not a WebP stream", 5: "Camera model not supported", 6: "Camera model not supported, TIFF fallback failed",
-    7: "PDF header not found", 8: "Bad ZIP container: File is not a zip file", 9: "Not a valid OLE2 container",
+    7: "PDF header not found", 8: "no ZIP frame around the package", 9: "Not a valid OLE2 container",
     10: "Invalid data found when processing input", 11: "Invalid data found when processing input",
     12: "unrecognized audio format — possibly misnamed or empty file",
     13: "unrecognized audio format — possibly misnamed or empty file",
@@ -194,7 +194,7 @@ _CUT_ERRORS = {
     0: "end-of-image marker missing", 1: "IEND chunk missing", 2: "first directory lies outside the file",
     3: "declared length exceeds the file", 4: "declared length exceeds the file",
     5: "first directory lies outside the file", 6: "first directory lies outside the file", 7: "EOF marker not found",
-    8: "Bad ZIP container: File is not a zip file", 9: "Missing expected OLE stream: 'WordDocument'",
+    8: "no ZIP frame around the package", 9: "Missing expected OLE stream: 'WordDocument'",
     10: "moov atom not found", 13: "declared length exceeds the file",
 }
 
@@ -263,16 +263,15 @@ def packages(docs: DataFrame) -> DataFrame:
 
 @query(f"""WITH p AS (SELECT doc_id, doc_id % 6 AS damage FROM documents),
 v AS (SELECT '/packages/p' || doc_id || '.docx' AS path, CASE damage
-   WHEN 1 THEN 'Bad XML in [Content_Types].xml'
-   WHEN 2 THEN 'Missing required part: _rels/.rels'
-   WHEN 3 THEN 'CRC failure in ZIP entry: word/document.xml'
-   WHEN 4 THEN 'Bad ZIP container: File is not a zip file' END AS error FROM p)
+   WHEN 1 THEN '[Content_Types].xml is not well-formed'
+   WHEN 2 THEN 'the package lacks _rels/.rels'
+   WHEN 3 THEN 'member word/document.xml does not match its checksum'
+   WHEN 4 THEN 'no ZIP frame around the package' END AS error FROM p)
 SELECT *, CASE WHEN error IS NULL THEN 'ok' ELSE 'corrupt' END AS status,
        CASE WHEN error IS NOT NULL THEN {RESTORE} END AS suggested_action FROM v""")
 def package_verdicts(spark, sf):
     """Checksums and required parts of a package per document."""
-    out = flat(validate_content(packages(table(spark, sf, "documents"))))
-    return out.withColumn("error", F.regexp_replace("error", r"(Bad XML in [^:]*):.*", "$1"))
+    return flat(validate_content(packages(table(spark, sf, "documents"))))
 
 
 # --- the same texts as files ------------------------------------------------------------
@@ -342,7 +341,7 @@ SELECT path, status, CASE WHEN status = 'ok' THEN NULL WHEN damage = 2 AND f IN
      'unrecognized audio format — possibly misnamed or empty file'
    WHEN damage = 2 THEN 'empty file' WHEN f IN (0, 8) THEN 'declared length exceeds the file'
    WHEN f = 2 THEN 'first directory lies outside the file' WHEN f = 3 THEN 'EOF marker not found'
-   WHEN f = 4 THEN 'Bad ZIP container: File is not a zip file'
+   WHEN f = 4 THEN 'no ZIP frame around the package'
    WHEN f = 5 THEN 'not a sound OLE file' ELSE 'moov atom not found' END AS error FROM v"""
 
 
@@ -400,11 +399,11 @@ def duplicate_content(spark, sf):
 _PARTIAL = "sha256(left(text, 40) || right(text, 40) || length(text))"
 
 
-@query(f"""SELECT doc_id, CASE WHEN length(text) <= 500 THEN sha256(text) END AS hash,
+@query(f"""SELECT doc_id, sha256(text) AS hash,
   CASE WHEN length(text) > 500 THEN {_PARTIAL} END AS partial_hash
 FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM documents)""")
 def content_fingerprints(spark, sf):
-    """Whole hash up to 500 bytes, both ends above; ASCII so bytes and characters agree."""
+    """Whole hash, and above 500 bytes that of both ends; ASCII so bytes and characters agree."""
     docs = table(spark, sf, "documents").select(
         "doc_id", F.encode(F.regexp_replace("text", "[^ -~]", "?"), "UTF-8").alias("content")
     )

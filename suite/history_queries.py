@@ -190,6 +190,13 @@ def alerts_of_last_scan(spark, sf):
     return rows.select("seq", "path", "status")
 
 
+@query(with_views("", f", {ALERTS} SELECT seq, path, status FROM alerts WHERE scan_id = '2024-01-17'"))
+def alerts_of_middle_scan(spark, sf):
+    """Later scans are no history of an earlier one."""
+    rows = alerting.alerts_of_scan(verdict_log(spark, sf), "2024-01-17")
+    return rows.select("seq", "path", "status")
+
+
 DIGEST = f""", {ALERTS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY scan_id, status ORDER BY checked_at DESC, path, seq DESC) AS rk
            FROM alerts),
@@ -220,32 +227,37 @@ def alert_digest(spark, sf):
 
 
 @query(with_views("scans", DIGEST.format(cap=3) + """
-, joined AS (SELECT d.*, s.scope, s.total, CASE WHEN s.finished_at IS NULL THEN 0.0
+, joined AS (SELECT d.*, s.scope, s.total, u.checked, u.unreadable_all, CASE WHEN s.finished_at IS NULL THEN 0.0
                 ELSE date_diff('microsecond', s.started_at, s.finished_at)::DOUBLE / 1e6 END AS dur
-             FROM digest d JOIN scans s ON d.scan_id = s.id)
-SELECT scan_id,
-  '[Library] ' || corrupt_count || ' corrupt, ' || unreadable_count || ' unreadable — ' || scope AS subject,
-  'Library: ' || corrupt_count || ' corrupt' AS title,
-  'Library Scan Report' || chr(10) || 'Scan ID:  ' || scan_id || chr(10) || 'Scope:    ' || scope || chr(10)
-  || 'Duration: ' || printf('%.1f', dur) || 's' || chr(10) || 'Checked:  ' || total || ' files' || chr(10) || chr(10)
-  || CASE WHEN unreadable_count::DOUBLE / total >= 0.1 THEN
-       '⚠ Suspected mount/network failure on ' || scope || ' — ' || unreadable_count || '/' || total
-       || ' files unreadable.' || chr(10) || chr(10) ELSE '' END
-  || CASE WHEN corrupt_count > 0 THEN 'Corrupt files (' || corrupt_count || '):' || chr(10)
+             FROM digest d JOIN scans s ON d.scan_id = s.id
+             JOIN (SELECT scan_id, count(*) AS checked, count(*) FILTER (status = 'unreadable') AS unreadable_all
+                   FROM verdict_log GROUP BY scan_id) u ON u.scan_id = d.scan_id),
+body AS (SELECT scan_id,
+  'Library check of ' || scope || ': ' || corrupt_count || ' damaged, ' || unreadable_count || ' unreadable' AS subject,
+  'Library: ' || corrupt_count || ' damaged' AS title,
+  'Library check ' || scan_id || ' of ' || scope || chr(10) || total || ' files in ' || printf('%.1f', dur) || ' s'
+  || CASE WHEN unreadable_all::DOUBLE / checked >= 0.2 THEN chr(10) || 'Is ' || scope || ' mounted? ' || unreadable_all
+       || ' of ' || checked || ' files could not be read.' ELSE '' END
+  || CASE WHEN corrupt_count > 0 THEN chr(10) || 'Damaged: ' || corrupt_count
        || list_aggregate(list_transform(string_split(corrupt, '|'),
-            lambda r: '  ' || replace(r, '=', '  [') || ']' || chr(10)), 'string_agg', '')
-       || CASE WHEN corrupt_count > 3 THEN '  ... and ' || (corrupt_count - 3) || ' more' || chr(10) ELSE '' END
-       || CASE WHEN unreadable_count > 0 THEN chr(10) ELSE '' END ELSE '' END
-  || CASE WHEN unreadable_count > 0 THEN 'Unreadable files (' || unreadable_count || '):' || chr(10)
-       || '  (These may indicate a mount/network issue rather than file corruption.)' || chr(10)
+            lambda r: chr(10) || '- ' || replace(r, '=', ': ')), 'string_agg', '')
+       || CASE WHEN corrupt_count > 3 THEN chr(10) || '- ' || (corrupt_count - 3) || ' others' ELSE '' END ELSE '' END
+  || CASE WHEN unreadable_count > 0 THEN chr(10) || 'Unreadable: ' || unreadable_count
        || list_aggregate(list_transform(string_split(unreadable, '|'),
-            lambda r: '  ' || split_part(r, '=', 1) || chr(10)), 'string_agg', '')
-       || CASE WHEN unreadable_count > 3 THEN '  ... and ' || (unreadable_count - 3) || ' more' || chr(10) ELSE '' END
-     ELSE '' END AS message
-FROM joined"""))
+            lambda r: chr(10) || '- ' || replace(r, '=', ': ')), 'string_agg', '')
+       || CASE WHEN unreadable_count > 3 THEN chr(10) || '- ' || (unreadable_count - 3) || ' others' ELSE '' END
+     ELSE '' END AS message FROM joined)
+SELECT scan_id, subject, title, message, title AS payload_title, message AS payload_message, scan_id AS payload_scan
+FROM body"""))
 def alert_messages(spark, sf):
-    digests = alerting.digest(_stored_alerts(spark, sf), scans(spark, sf), listed=3)
-    return alerting.messages(digests, threshold=0.1).drop("payload")
+    log = verdict_log(spark, sf)
+    digests = alerting.digest(_stored_alerts(spark, sf), scans(spark, sf), listed=3, log=log)
+    out = alerting.messages(digests, threshold=0.2)
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    return out.select(
+        "scan_id", "subject", "title", "message",
+        field("title").alias("payload_title"), field("message").alias("payload_message"), field("scan_id").alias("payload_scan"),
+    )
 
 
 def _systemic_sql(threshold: float) -> str:

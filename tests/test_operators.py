@@ -46,12 +46,11 @@ def test_extension_rules(spark):
 @pytest.mark.parametrize(
     "path, globs, want",
     [
-        ("/photos/img.jpg", [], False),
-        ("/photos/.DS_Store", ["**/.DS_Store"], True),
-        ("/photos/@eaDir/thumb.jpg", ["**/@eaDir/**"], True),
-        ("/photos/img.jpg", ["**/@eaDir/**"], False),
-        ("/photos/img.lrprev", ["**/.DS_Store", "**/*.lrprev"], True),
-        ("/tmp/cache/file.tmp", ["**/cache/**"], True),
+        ("/m/roll7/scan.tif", [], False),
+        ("/m/roll7/Thumbs.db", ["**/Thumbs.db"], True),
+        ("/m/.trash/old/scan.tif", ["**/.trash/**"], True),
+        ("/m/roll7/scan.tif", ["**/.trash/**"], False),
+        ("/m/roll7/scan.xmp", ["**/Thumbs.db", "**/*.xmp"], True),
         ("/a/b1.jpg", ["/a/b[0-3].jpg"], True),
         ("/a/b1.jpg", ["/a/b[!0-3].jpg"], False),
         ("/a/b+.jpg", ["/a/b?.jpg"], True),
@@ -312,16 +311,15 @@ def test_last_rate_ignores_open_scans_and_zero(spark):
 
 
 def test_overview_golden(spark):
-    df = log(spark, [("/good-a.jpg", "ok"), ("/good-b.jpg", "ok"), ("/bad.jpg", "corrupt"), ("/locked.jpg", "unreadable"), ("/clip.mp4", "ok")])
-    got = [tuple(r) for r in reports.overview_ordered(reports.overview_breakdown(df)).collect()]
-    assert got == [
-        (".jpg:ok", "Healthy JPG", ".jpg", "ok", 2, "healthy"),
-        (".jpg:corrupt", "Corrupt JPG", ".jpg", "corrupt", 1, "corrupt"),
-        (".jpg:unreadable", "Unreadable JPG", ".jpg", "unreadable", 1, "unreadable"),
-        (".mp4:ok", "Healthy MP4", ".mp4", "ok", 1, "healthy"),
+    rows = [(f"/r/{i}.cr2", "ok") for i in range(4)] + [(f"/r/{i}.pdf", "corrupt") for i in range(3)]
+    rows += [("/r/9.cr2", "error"), ("/r/9.pdf", "unsupported"), ("/r/x.doc", "ok")]
+    df = log(spark, rows)
+    got = [(r.ext, r.status, r["count"]) for r in reports.overview_ordered(reports.overview_breakdown(df)).collect()]
+    assert sorted(got) == [
+        (".cr2", "error", 1), (".cr2", "ok", 4), (".doc", "ok", 1), (".pdf", "corrupt", 3), (".pdf", "unsupported", 1),
     ]
-    types = [(r.label, r.count, r.percent) for r in map(lambda r: T.Row(**r.asDict()), reports.file_type_breakdown(df, 1).orderBy("rank").collect())]
-    assert [(t[0], t[2]) for t in types] == [("JPG", 80.0), ("Others", 20.0)]
+    types = reports.file_type_breakdown(df, 2).orderBy("rank").collect()
+    assert [(r.label, r.percent) for r in types] == [("CR2", 50.0), ("PDF", 40.0), ("Others", 10.0)]
 
 
 def test_empty_library(spark):
@@ -349,16 +347,30 @@ def test_digest_caps_lists_but_not_counts(spark):
     df = log(spark, rows)
     sc = spark.createDataFrame([("s", T0, T0 + timedelta(seconds=90), 100, "/lib")],
                                "id string, started_at timestamp, finished_at timestamp, total long, scope string")
-    d = alerting.digest(df, sc)
+    d = alerting.digest(df, sc, log=df)
     row = d.collect()[0]
     assert (row.corrupt_count, len(row.corrupt), row.corrupt_more) == (60, 50, 10)
     assert row.corrupt[0].path == "/c059" and len(row.unreadable) == 5
     m = alerting.messages(d).collect()[0]
-    assert m.subject == "[Library] 60 corrupt, 5 unreadable — /lib"
+    assert m.subject == "Library check of /lib: 60 damaged, 5 unreadable"
     sent = json.loads(m.payload)
-    assert sent == {"title": "Library: 60 corrupt", "message": m.message, "scan_id": "s"}
-    assert "  ... and 10 more" in m.message and "Suspected mount" not in m.message and "Duration: 90.0s" in m.message
-    assert "Suspected mount/network failure on /lib — 5/100" in alerting.messages(d, threshold=0.05).collect()[0].message
+    assert sent == {"title": "Library: 60 damaged", "message": m.message, "scan_id": "s"}
+    assert "- 10 others" in m.message and "mounted" not in m.message and "in 90.0 s" in m.message
+    assert "Is /lib mounted? 5 of 65 files" in alerting.messages(d, threshold=0.05).collect()[0].message
+
+
+def test_files_that_alerted_before_count_as_unreadable(spark):
+    """A second outage raises no new alerts, but the mount is as suspect as before."""
+    df = log(spark, [("/a", "corrupt")] + [(f"/u{i}", "unreadable") for i in range(9)])
+    sc = spark.createDataFrame([("s", T0, T0, 10, "/lib")], "id string, started_at timestamp, finished_at timestamp, total long, scope string")
+    m = alerting.messages(alerting.digest(df.where("path = '/a'"), sc, log=df)).collect()[0]
+    assert "9 of 10 files" in m.message
+
+
+def test_rows_without_a_group_keep_their_positions(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "g string, t int")
+    got = sorted((r.g or "", r.t, r.position) for r in history.group_positions(df, ["g"], ["t"]).collect())
+    assert got == [("", 2, 1), ("", 3, 2), ("a", 1, 1)]
 
 
 def test_systemic_threshold_is_inclusive(spark):

@@ -11,6 +11,7 @@ import files
 from assay.operators import formats
 from assay.operators.catalog import complete
 from assay.operators.deep_checks import deep_check, registered
+from assay.operators.fingerprints import verify_hashes, with_fingerprints
 from assay.operators.importing import apply_import, prepare
 from assay.operators.payload_checks import check_content
 from assay.operators.validation import validate_content, validate_files
@@ -124,13 +125,33 @@ def test_contents_get_the_same_verdict_as_files(spark):
     assert rules_only["crc.png"].status == "ok" and rules_only["cut.png"].status == "corrupt"
 
 
-def test_missing_unknown_and_oversized_files(spark, tmp_path):
-    (tmp_path / "big.jpg").write_bytes(files.jpeg())
-    rows = [(str(tmp_path / "gone.jpg"), 1.0, 5), (str(tmp_path / "x.xyz"), 1.0, 5), (str(tmp_path / "big.jpg"), 1.0, 999)]
-    got = _verdicts(validate_files(spark.createDataFrame(rows, "path string, mtime double, size long"), max_bytes=100))
+def test_missing_and_unknown_files(spark, tmp_path):
+    rows = [(str(tmp_path / "gone.jpg"), 1.0, 5), (str(tmp_path / "x.xyz"), 1.0, 5)]
+    got = _verdicts(validate_files(spark.createDataFrame(rows, "path string, mtime double, size long")))
     assert got["gone.jpg"].status == "unreadable"
     assert (got["x.xyz"].status, got["x.xyz"].error) == ("unsupported", "No validator for '.xyz'")
-    assert (got["big.jpg"].status, got["big.jpg"].error) == ("error", "validation timed out after 120s")
+
+
+def test_what_follows_the_end_does_no_harm(spark, tmp_path):
+    """Trailing bytes after sound payloads, as content and as files."""
+    sound = {"a.jpg": files.jpeg() + b"\n" * 100_000, "b.png": files.png() + b"x", "c.pdf": files.pdf() + b"\n" * 100_000}
+    for name, content in sound.items():
+        (tmp_path / name).write_bytes(content)
+    stat = lambda n: os.stat(tmp_path / n)
+    rows = [(str(tmp_path / n), stat(n).st_mtime, stat(n).st_size) for n in sound]
+    got = _verdicts(validate_files(spark.createDataFrame(rows, "path string, mtime double, size long")))
+    assert {v.status for v in got.values()} == {"ok"}
+    df = spark.createDataFrame([(n, bytearray(c)) for n, c in sound.items()], "path string, content binary")
+    assert {v.status for v in _verdicts(validate_content(df)).values()} == {"ok"}
+    assert {v.status for v in _verdicts(check_content(df)).values()} == {"ok"}
+
+
+def test_damage_in_the_middle_of_large_content_is_seen(spark):
+    sound = bytes(11 << 20)
+    damaged = sound[: 5 << 20] + b"!" + sound[(5 << 20) + 1 :]
+    df = lambda content: with_fingerprints(spark.createDataFrame([("/a", bytearray(content))], "path string, content binary"))
+    assert verify_hashes(df(sound), df(damaged)).collect()[0].verdict.status == "corrupt"
+    assert verify_hashes(df(sound), df(sound)).collect()[0].verdict.status == "ok"
 
 
 def test_a_check_that_raises_is_an_error_of_its_row(spark):
@@ -218,9 +239,12 @@ def test_restat(spark, library):
 
 
 def test_payload_reader(spark, library):
-    df = read_payloads(spark, str(library), max_bytes=2000)
+    df = read_payloads(spark, str(library))
     rows = {os.path.basename(r.path): r for r in df.where("path not like '%.txt'").collect()}
     assert rows["ok.png"].content == files.png() and rows["ok.png"].size == len(files.png())
     assert "empty.png" not in rows and "_DSC0001.NEF" not in rows  # what the inventory source is for
     got = _verdicts(validate_content(df))
     assert got["ok.pdf"].status == "ok" and got["cut.png"].status == "corrupt"
+    inventory = read_inventory(spark, [str(library)], [], False)
+    every = {os.path.basename(r.path): r for r in read_payloads(spark, str(library), inventory).collect()}
+    assert len(every) == inventory.count() and bytes(every["empty.png"].content) == b""
