@@ -181,46 +181,35 @@ def found_factors(docs: DataFrame) -> DataFrame:
     )
     # the smallest place of every segment
     least = segments.groupBy("anchor", "segment").agg(F.min(F.struct("key", "class", "at", "size")).alias("least"))
-    least = least.select("anchor", "segment", "least.*")
+    least = stage(least.select("anchor", "segment", "least.*"), "least")
     # anchors with more than one segment: only there can single windows be shared
-    several = least.groupBy("anchor").agg(F.count("*").alias("n"), F.min("key").alias("from"))
-    several = several.where("n > 1").select("anchor", "from")
+    several = least.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     asked = least.join(several, "anchor").groupBy("key", "class").agg(
         F.collect_list(F.struct("anchor", "segment", "at", "size")).alias("asked")
     )
-    windows = known.join(asked, ["key", "class"]).select("key", "text", "asked")
+    # a repeated row gives its windows again, which changes neither minima nor spans
     windows = stage(
-        windows.dropDuplicates(["key", "text"]).mapInArrow(
-            _windows, "anchor long, segment long, window long, nth long, key long"
-        ),
+        known.join(asked, ["key", "class"])
+        .select("key", "text", "asked")
+        .mapInArrow(_windows, "anchor long, segment long, window long, nth long, key long"),
         "windows",
     )
     index = windows.groupBy("anchor", "window").agg(F.min("key").alias("smallest"))
-    partial = (
+    shared = (
         windows.join(index, ["anchor", "window"])
         .where("smallest < key")
         .groupBy("anchor", "segment")
         .agg(F.collect_list("nth").alias("shared"))
     )
-    origin = least.select("anchor", "segment", F.col("key").alias("least"))
-    whole = (
-        segments.join(origin, ["anchor", "segment"])
-        .where("key > least")
-        .select("key", "class", F.array(F.struct("at", "size")).alias("some"))
-    )
-    broken = (
-        segments.join(partial.join(origin, ["anchor", "segment"]), ["anchor", "segment"])
-        .where("key = least")
-        .select(
-            "key",
-            "class",
-            F.transform(
-                "shared", lambda n: F.struct((F.col("at") + n).alias("at"), F.lit(1).cast("long").alias("size"))
-            ).alias("some"),
-        )
-    )
+    # a segment that a smaller document has goes as a whole, of the others what is shared
+    origin = least.select("anchor", "segment", F.col("key").alias("least")).join(shared, ["anchor", "segment"], "left")
+    one = F.lit(1).cast("long")
+    single = F.transform("shared", lambda n: F.struct((F.col("at") + n).alias("at"), one.alias("size")))
+    some = F.when(F.col("key") > F.col("least"), F.array(F.struct("at", "size"))).otherwise(single)
     return (
-        whole.unionByName(broken)
+        segments.join(origin, ["anchor", "segment"])
+        .where("key > least OR shared IS NOT NULL")
+        .select("key", "class", some.alias("some"))
         .groupBy("key", "class")
         .agg(F.flatten(F.collect_list("some")).alias("factors"))
     )

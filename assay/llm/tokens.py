@@ -21,11 +21,31 @@ ODD_BYTES = re.compile(r"\s \s|\s \Z|<\|")
 ODD_WORDS = re.compile("[\x1c-\x1f]|<\\|")
 
 
+class Recent:
+    """What was made for a key lately, in two generations of about ``most`` keys each: a key of
+    the older one that is asked for again moves to the newer one, the others are forgotten."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int):
+        self.make, self.most = make, most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, keys: set[str]) -> dict[str, bytes]:
+        """A table with all of the keys."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        fresh = keys.difference(self.new)
+        again = fresh.intersection(self.old)
+        self.new.update((k, self.old[k]) for k in again)
+        fresh = list(fresh.difference(again))
+        self.new.update(zip(fresh, self.make(fresh)))
+        return self.new
+
+
 class Chunks:
     """``many`` encodes chunks, ``whole`` any text; both give raw little-endian ids.
 
-    With ``spaced`` a chunk holds the space in front of it. After a batch the chunks that are
-    kept number ``most``, or as many as the batch itself had.
+    With ``spaced`` a chunk holds the space in front of it.
     """
 
     def __init__(
@@ -35,9 +55,9 @@ class Chunks:
         spaced: bool,
         most: int = 300_000,
     ):
-        self.many, self.whole, self.spaced, self.most = many, whole, spaced, most
+        self.many, self.whole, self.spaced = many, whole, spaced
         self.odd = ODD_BYTES if spaced else ODD_WORDS
-        self.known: dict[str, bytes] = {}
+        self.recent = Recent(lambda some: many([" " + w for w in some] if spaced else some), most)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd, space = self.odd.search, " " if self.spaced else None
@@ -45,38 +65,25 @@ class Chunks:
         # the first chunk of a text has no space in front
         heads = [words.pop(0) if self.spaced and words else "" for words in lists if words is not None]
         distinct = set().union(*(words for words in lists if words is not None))
-        fresh = list(distinct.difference(self.known))
         first = list({h for h in heads if h})
-        found = self.many([(" " + w if self.spaced else w) for w in fresh] + first)
-        self.known.update(zip(fresh, found))
-        begin = dict(zip(first, found[len(fresh) :])) | {"": b""}
-        known, at = self.known, iter(heads)
-        out = [
+        begin = dict(zip(first, self.many(first))) | {"": b""}
+        known, at = self.recent.of(distinct), iter(heads)
+        return [
             self.whole(t) if words is None else begin[next(at)] + b"".join(map(known.__getitem__, words))
             for t, words in zip(texts, lists)
         ]
-        if len(known) > self.most:
-            self.known = {w: known[w] for w in distinct}
-        return out
 
 
 class Pieces:
     """Ids of chunks from the ids of the pieces that the vocabulary splits them into."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], most: int = 400_000):
-        self.split, self.encode, self.most = split, encode, most
-        self.known: dict[str, bytes] = {}
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], most: int = 200_000):
+        self.split, self.recent = split, Recent(encode, most)
 
     def many(self, chunks: list[str]) -> list[bytes]:
         lists = [self.split(c) for c in chunks]
-        distinct = set().union(*lists)
-        fresh = list(distinct.difference(self.known))
-        self.known.update(zip(fresh, self.encode(fresh)))
-        known = self.known
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
-        if len(known) > self.most:
-            self.known = {p: known[p] for p in distinct}
-        return out
+        known = self.recent.of(set().union(*lists))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
 
 
 #: How the vocabulary of words splits lower-case text: fixed value.
