@@ -147,7 +147,8 @@ class Index:
         for row, found in zip(distance, best):
             lists = np.where(member[found], row[None, :], np.inf).min(axis=1)
             need.append(lists / max(row.min(), 1e-12))
-        return float(np.quantile(np.concatenate(need), AIM)) * 1.0001 if need else 1.0
+        # where most of the sample lies on centroids the quantile is zero: the closest list counts
+        return max(1.0, float(np.quantile(np.concatenate(need), AIM)) * 1.0001) if need else 1.0
 
 
 def nearest(
@@ -164,7 +165,8 @@ def nearest(
     spark = vectors.sparkSession
     rows = rows_of(vectors.withColumn("_asks", is_query), key, vector).where("sound")
     asks = vectors.where(is_query).select(F.col(key).cast("long").alias("id")).distinct()
-    # equal vectors: as many of the smallest ids as a query can return, and its own
+    # equal vectors: as many of the smallest ids as a query can return, and its own; repeated
+    # rows are made one first, or they would take the places of other ids
     first = F.row_number().over(Window.partitionBy("one", "two").orderBy("id"))
     sample_of = lambda some: some.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
@@ -174,7 +176,8 @@ def nearest(
         some = rows.where(F.size("vector") == row["dims"])
         sample = matrix(sample_of(some.select("id", "vector")).toArrow().column("vector").combine_chunks())
         index = Index.fit(sample, row["reach"], k)
-        kept = some.withColumn("nth", first).where(F.col("nth") <= k + 1).select("id", "vector").dropDuplicates()
+        single = some.dropDuplicates(["id", "one", "two"])
+        kept = single.withColumn("nth", first).where(F.col("nth") <= k + 1).select("id", "vector")
         found = _search(kept, some.join(asks, "id", "left_semi").select("id", "vector").dropDuplicates(), index, k)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, id long, score double")

@@ -135,6 +135,14 @@ def test_equal_vectors_tie_by_id(spark):
         assert [r.id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == [i for i in range(1, 22) if i != q][:20]
 
 
+def test_repeated_rows_of_equal_vectors_take_no_places(spark):
+    same = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1, 60)]
+    rows = same * 2 + same[:1] * 30 + [(200 + i, [0.5, 0.0, 0.0, float(i)]) for i in range(3)]
+    found = neighbours.nearest(frame(spark, rows), F.col("vec_id") % 20 == 0, k=20).collect()
+    for q in (20, 40):
+        assert [r.id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == [i for i in range(1, 22) if i != q][:20]
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))]
