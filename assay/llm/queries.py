@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import encoding, language, licences, near_vectors, neighbours, packing, pii, shards, simhash, substrings
+from assay.llm import encoding, language, licences, near_vectors, neighbours, packing, pii
+from assay.llm import sharding, shards, simhash, spelling, substrings, whitening
 from assay.llm.common import table
 from assay.session import run_dir
 
@@ -179,3 +180,117 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of all documents that name a licence."""
     docs = table(spark, sf_dir, "documents")
     return licences.scanned(docs, licences.fit(docs)).withColumnRenamed("key", "doc_id")
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every embedding."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = whitening.whitened(vectors, whitening.fit(vectors, components=4), components=4)
+    long = F.col("deviation").try_cast("long")
+    return found.withColumnRenamed("id", "vec_id").withColumn("deviation", long)
+
+
+#: Checksums of texts by a table of 256 steps, as SQL has no function for them.
+CRC_SQL = """
+steps(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
+),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM steps WHERE k = 8)"""
+
+
+def crc_of(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    chain = f"list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))"
+    return f"CAST(xor({chain}, 4294967295) AS BIGINT)"
+
+
+SHARDING_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+docs AS (
+  SELECT row_number() OVER () AS c, doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 16 AS size,
+         CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS a,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS b
+  FROM documents
+),
+spread AS (
+  SELECT *, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY a) AS alike, count(*) OVER (PARTITION BY a) AS copies,
+         sum(size) OVER (ORDER BY a, b, c ROWS UNBOUNDED PRECEDING) - size AS below
+  FROM docs
+),
+units AS (
+  SELECT *, min(below) OVER (PARTITION BY a) AS first, copies = 1 OR alike * 40 <= 0.01 * total AS together FROM spread
+),
+dealt AS (
+  SELECT *, CAST(CASE WHEN together THEN (2 * first + alike) * 40 ELSE (2 * below + size) * 40 END // (2 * total) AS INT) AS shard
+  FROM units
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, {crc_of("t")} AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY a, b, c) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM dealt, crc
+"""
+
+
+@query(SHARDING_SQL)
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    checksum = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    found = sharding.sharded(docs, 40, keep=["doc_id", checksum])
+    return found.select(
+        "row.doc_id",
+        "size",
+        "row.text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+SPELLING_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+         translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+),
+kinds AS (SELECT k, run, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY k, run),
+summed AS (SELECT run, times, {crc_of("k || ':' || run")} AS h FROM kinds, crc),
+cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+              ELSE run END AS word, times
+  FROM summed
+),
+vocabulary AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM vocabulary),
+gaps AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS gap FROM places),
+links AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM gaps x JOIN gaps y ON x.gap = y.gap AND x.p = y.p AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM gaps x JOIN vocabulary y ON x.gap = y.word
+  UNION SELECT y.word, x.word, x.n FROM gaps x JOIN vocabulary y ON x.gap = y.word
+),
+near AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS top FROM links GROUP BY word
+),
+forms AS (
+  SELECT v.word, v.n, coalesce(max(n_near), 0) AS n_near,
+         min(CASE WHEN near_n = top AND near_n >= 10 * n THEN near END) AS form, max(CASE WHEN top >= 10 * n THEN top END) AS form_n
+  FROM vocabulary v LEFT JOIN near ON v.word = near.word LEFT JOIN links ON v.word = links.word GROUP BY v.word, v.n
+),
+ways AS (
+  SELECT word, word AS at, form AS further, 0 AS far FROM forms
+  UNION ALL SELECT ways.word, forms.word, forms.form, far + 1 FROM ways JOIN forms ON ways.further = forms.word
+)
+SELECT forms.word, forms.form, ways.at AS root, n, n_near, form_n
+FROM forms JOIN ways ON forms.word = ways.word AND ways.further IS NULL
+"""
+
+
+@query(SPELLING_SQL)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
