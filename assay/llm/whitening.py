@@ -118,6 +118,7 @@ def corrected(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
     eye = np.eye(len(a), dtype=a.dtype)
     r = eye - x.T @ x
     s = x.T @ a @ x
+    s = (s + s.T) / 2  # what rounding leaves on one side would spoil the angles
     values = np.diag(s) / (1 - np.diag(r))
     norm = lambda m: float(np.sqrt((m * m).sum()))
     delta = 2 * (norm(s - np.diag(values)) + norm(a) * norm(r))
@@ -134,13 +135,11 @@ def corrected(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
             moved = a - eye * values[some].mean()
             inner = basis.T @ moved @ basis
             inner = ((inner + inner.T) / 2).astype(np.float64)
-            turn = np.linalg.eigh(inner)[1]
-            x[:, some] = basis @ turn
-            size = max(size, float(np.abs(np.abs(turn).max(axis=0) - 1).max()))
+            x[:, some] = basis @ np.linalg.eigh(inner)[1]
     return x, size
 
 
-def refined(v: np.ndarray, most: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def refined(v: np.ndarray, most: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues of a symmetric matrix, falling, and unit eigenvectors as columns, to double
     precision. Of equal eigenvalues any basis of their space is given."""
     scale = float(np.abs(v).max(initial=0))
@@ -150,12 +149,10 @@ def refined(v: np.ndarray, most: int = 12) -> tuple[np.ndarray, np.ndarray]:
     x = np.linalg.eigh(a.astype(np.float32))[1].astype(np.float64)
     for kind in (np.float64, np.longdouble):
         wide = a.astype(kind)
-        last = np.inf
         for _ in range(most):
             x, size = corrected(wide, x)
-            if size <= 8 * np.finfo(np.float64).eps or size >= last / 2:
+            if size <= 4 * np.finfo(np.float64).eps:
                 break
-            last = size
     x = x / np.sqrt((x * x).sum(axis=0))
     values = ((wide @ x) * x).sum(axis=0)
     order = np.argsort(-values, kind="stable")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -102,3 +103,58 @@ def digest(data: bytes) -> str:
 def vector_links(x: np.ndarray, least: float) -> list[tuple[int, int]]:
     y = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     return [tuple(p) for p in np.argwhere(np.tril(y @ y.T >= least, -1))]
+
+
+def shard_rule(rows: list[tuple[int | None, str | None]], shards: int, tolerance: float) -> list[tuple]:
+    """``(key, size, shard, slot)`` of rows in the order of their hashes, sorted."""
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    sized = [(number(t or ""), number("" if k is None else str(k)), k, len((t or "").encode()) + 16) for k, t in rows]
+    sized.sort(key=lambda r: r[:2])
+    total, alike = sum(r[3] for r in sized), {}
+    for r in sized:
+        alike.setdefault(r[0], []).append(r[3])
+    below, first, taken, out = 0, {}, {}, []
+    for a, _, k, size in sized:
+        first.setdefault(a, below)
+        group = alike[a]
+        if len(group) == 1 or sum(group) * shards <= tolerance * total:
+            middle = 2 * first[a] + sum(group)
+        else:
+            middle = 2 * below + size
+        shard = middle * shards // (2 * total)
+        out.append((k, size, shard, taken.setdefault(shard, 0)))
+        taken[shard] += 1
+        below += size
+    return out
+
+
+def cut_words(rows: list[tuple[int | None, str | None]], least: int = 7, often: int = 2) -> dict[str, int]:
+    counts: dict[str, int] = {}
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] = counts.get(run, 0) + 1
+    return {w: n for w, n in counts.items() if len(w) >= least and n >= often}
+
+
+def one_edit(a: str, b: str) -> bool:
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+
+def spelling(words: dict[str, int], times: int = 10) -> dict[str, tuple]:
+    near = {w: [v for v in words if one_edit(w, v)] for w in words}
+    form = {}
+    for w, some in near.items():
+        best = min(some, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= times * words[w] else None
+    def root(w: str) -> str:
+        return w if form[w] is None else root(form[w])
+    return {w: (form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items()}
