@@ -182,9 +182,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model from at most ``sample`` labelled rows, the same number for every language (and
-    rows that repeat a chosen key). None when there are none. Rows without key, text or label
-    are left out."""
+    """A model from at most ``sample`` labelled rows, the same number for every language, 20 of
+    each at least, and one text for a key and label, the first of several. None when there are
+    none. Rows without key, text or label are left out."""
     rows = labelled.select(
         F.xxhash64(F.col(key)).alias("hash"), F.col(text).alias("text"), F.col(label).alias("label")
     ).where(F.col(key).isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("label").isNotNull())
@@ -192,11 +192,17 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     if not languages:
         return None
     each = max(20, sample // len(languages))
+    by_label = lambda values: F.create_map(*[F.lit(v) for kv in values.items() for v in kv])[F.col("label")]
+    keys = rows.select("label", "hash").distinct()
+    counts = {r["label"]: r["count"] for r in keys.groupBy("label").count().collect()}
+    # hashes are spread evenly: half as many again as are wanted lie below this
+    bounds = {v: min((1 << 63) - 1, (3 * each << 63) // n - (1 << 63)) for v, n in counts.items()}
     order = Window.partitionBy("label").orderBy("hash")
-    first = rows.select("label", "hash").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
-    cuts = {r["label"]: r["cut"] for r in first.groupBy("label").agg(F.max("hash").alias("cut")).collect()}
-    cut = F.create_map(*[F.lit(v) for kv in cuts.items() for v in kv])[F.col("label")]
-    chosen = rows.where(F.col("hash") <= cut).select("text", "label", (F.pmod("hash", F.lit(5)) == 0).alias("apart"))
+    first = keys.where(F.col("hash") <= by_label(bounds)).withColumn("nth", F.row_number().over(order))
+    last = first.where(F.col("nth") <= each).groupBy("label").agg(F.max("hash").alias("cut"))
+    cuts = {r["label"]: r["cut"] for r in last.collect()}
+    chosen = rows.where(F.col("hash") <= by_label(cuts)).groupBy("label", "hash").agg(F.min("text").alias("text"))
+    chosen = chosen.select("text", "label", (F.pmod("hash", F.lit(5)) == 0).alias("apart"))
     found = chosen.mapInArrow(_numbered, "label string, apart boolean, x binary").toArrow()
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, DIMS)
     # a fixed order, whatever order the rows came in
@@ -206,18 +212,22 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     return Model.fit(languages, x[order].astype(np.float64), labels[order], apart[order])
 
 
-def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` (0 to 1).
+def predictions(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``(row, lang_pred, score)`` of every row: all its columns as a struct, whatever their
+    names, the language and how sure it is, 0 to 1.
 
     Null texts, texts without a letter, and all texts when there is no model, are ``und`` with
-    score 0. Repeated rows get the same answer. Columns of these names are replaced.
+    score 0. Repeated rows get the same answer. Whole texts of any length are read. Of families
+    or languages that are equally likely the first in the model's order is taken. An empty table
+    gives an empty table.
     """
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(F.col(text).alias("text"), F.struct(*others).alias("row"))
+    place = docs.columns.index(text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = _plain()
-        for batch in slices(batches, "text"):
+        apart = (pa.RecordBatch.from_arrays([b.column("row"), b.column("row").field(place)], ["row", "text"]) for b in batches)
+        for batch in slices(apart, "text"):
             some = texts(batch)
             known = np.array([model is not None and any(map(str.isalpha, t)) for t in some], bool)
             names, scores = np.full(len(some), UNKNOWN, object), np.zeros(len(some))
@@ -232,7 +242,14 @@ def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataF
             )
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double")
+
+
+def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``lang_pred`` and ``score``, see ``predictions``; columns of
+    these names are replaced."""
+    others = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
+    return predictions(others, model, text).select("row.*", "lang_pred", "score")
 
 
 def held_out(key: str | Column = "doc_id") -> Column:
