@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.common import groups as grouped
@@ -58,15 +58,22 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def with_fingerprint(docs: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:
-    """``(key, fp)``; ``fp`` holds the 64 bits as a signed long. Null texts have no words."""
+    """``(key, class, fp)``: a hash of the text, which equal texts share, and the fingerprint's
+    64 bits as a signed long. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fp = np.fromiter((fingerprint(t, words) for t in texts(batch)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fp.view(np.int64))], ["key", "fp"])
+            columns = [batch.column("key"), batch.column("class"), pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "class", "fp"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, fp long")
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_class(text).alias("class"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "key long, class long, fp long")
+
+
+def text_class(text: str) -> Column:
+    """A hash that equal texts share; null is a text of its own."""
+    return F.xxhash64(F.col(text), F.col(text).isNull())
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -272,12 +279,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     smallest of a group with another key; rows with a null key alone have a null component.
     Repeated rows are repeated. An empty table gives an empty table.
     """
+    prints, by_print = grouped_prints(docs, key, text, words, most)
+    least = by_print.groupBy("group").agg(F.min("least").alias("component"))
+    by_print = by_print.select("fp", "group").join(least, "group").select("fp", "component")
+    return prints.select("key", "fp").join(by_print, "fp").select("key", "fp", "component")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, most: int = 3) -> DataFrame:
+    """``(key, class, n)``: for each group of near duplicates the key and the ``text_class`` of
+    the text that stays, and how many rows have both.
+
+    The smallest key stays, a null key only where there is no other; of several texts with that
+    key the one with the smallest class. A key that has texts in several groups can stay in each.
+    """
+    prints, by_print = grouped_prints(docs, key, text, words, most)
+    texts_of = prints.join(by_print.select("fp", "group"), "fp").groupBy("group", "key", "class").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "class", "n")).alias("first")
+    return texts_of.groupBy("group").agg(first).select("first.key", "first.class", "first.n")
+
+
+def grouped_prints(docs: DataFrame, key: str, text: str, words: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``(key, class, fp)`` and every fingerprint's ``(fp, group, least)``: the
+    smallest fingerprint of its group, and its own smallest key."""
     prints = stage(with_fingerprint(docs, key, text, words), "fingerprints")
     least = stage(prints.groupBy("fp").agg(F.min("key").alias("least")), "fingerprint-classes")
     found = components(links(least, most))
     # components name the smallest fingerprint; the smallest key is wanted
     named = least.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.select("fp", F.coalesce("component", "fp").alias("group"), "least")
-    smallest = named.groupBy("group").agg(F.min("least").alias("component"))
-    by_print = named.select("fp", "group").join(smallest, "group").select("fp", "component")
-    return prints.join(by_print, "fp").select("key", "fp", "component")
+    return prints, named.select("fp", F.coalesce("component", "fp").alias("group"), "least")
