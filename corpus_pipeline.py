@@ -7,7 +7,7 @@ of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm import language, packing, pii, simhash, substrings
@@ -15,6 +15,11 @@ from assay.llm.common import table
 from assay.sources.tables import stage
 
 
+def filled(docs: DataFrame, new: dict[str, Column]) -> list[Column]:
+    """The columns of ``docs`` from a struct ``row``, some of them replaced."""
+    return [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a missing ``lang`` is filled in.
 
@@ -23,19 +28,23 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~language.held_out("doc_id")))
     if model is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = language.predicted(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = language.predictions(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
+    return found.select(*filled(docs, {"lang": F.coalesce("row.lang", "lang_pred")}))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id, once. Rows without id stay."""
-    found = simhash.near_duplicates(docs, words=3, most=3)
-    gone = found.where("key != component").select(F.col("key").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if found.where("key = component").groupBy("key").count().where("count > 1").limit(1).count():
-        first = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        kept = first.unionByName(kept.where("doc_id IS NULL"))
-    return kept.select(*docs.columns)
+    """One document of each group, once: the one with the smallest id, without id only where
+    no other is. Groups are of texts: a text that shares its id with a copy of another stays."""
+    first = stage(simhash.representatives(docs, words=3, most=3), "representatives")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), simhash.text_class("text").alias("_class"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("key")) & (F.col("_class") == F.col("class"))
+    kept = rows.join(first, same, "left_semi")
+    if first.where("n > 1").limit(1).count():
+        # only here rows repeat id and text; the first in the order of their columns stays
+        many = first.where("n > 1")
+        once = kept.join(many, same, "left_semi").groupBy("row.doc_id", "_class").agg(F.min("row").alias("row"))
+        kept = kept.join(many, same, "left_anti").select("row").unionByName(once.select("row"))
+    return kept.select(*filled(docs, {}))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +60,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = pii.with_spans(rows)
     text = F.when(F.col("row.text").isNotNull(), pii.redacted(F.col("text"), F.col("spans")))
     out = found.select("row", text.alias("clean"))
-    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
-    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return out.select(*filled(docs, {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
