@@ -12,7 +12,9 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+from tokenizers import Tokenizer
 
+from assay.llm.bpe import BEYOND, Encoder, splitter
 from assay.llm.common import once
 
 #: Spaces that may belong to a run of white space, and strings that may be special tokens.
@@ -53,7 +55,7 @@ class Chunks:
         many: Callable[[list[str]], list[bytes]],
         whole: Callable[[str], bytes],
         spaced: bool,
-        most: int = 300_000,
+        most: int = 120_000,
     ):
         self.many, self.whole, self.spaced = many, whole, spaced
         self.odd = ODD_BYTES if spaced else ODD_WORDS
@@ -77,7 +79,7 @@ class Chunks:
 class Pieces:
     """Ids of chunks from the ids of the pieces that the vocabulary splits them into."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], most: int = 200_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], most: int = 80_000):
         self.split, self.recent = split, Recent(encode, most)
 
     def many(self, chunks: list[str]) -> list[bytes]:
@@ -95,10 +97,6 @@ def library(path: str, spaced: bool) -> Chunks:
 
     def make() -> Chunks:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        from assay.llm.bpe import BEYOND, SPLIT, splitter
-
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
@@ -108,12 +106,11 @@ def library(path: str, spaced: bool) -> Chunks:
             return [np.array(e.ids, "<u4").tobytes() for e in found]
 
         if spaced:
-            split = splitter(SPLIT)
-        else:
-            # the first 256 characters have no other form and change case one by one; what
-            # holds others is left to the library in one piece
-            words = splitter(WORD_SPLIT)
-            split = lambda chunk: [chunk] if BEYOND.search(chunk) else words(chunk.lower())
+            return Chunks(encode, lambda text: encode([text])[0], spaced)
+        # the first 256 characters have no other form and change case one by one; what holds
+        # others is left to the library in one piece
+        words = splitter(WORD_SPLIT)
+        split = lambda chunk: [chunk] if BEYOND.search(chunk) else words(chunk.lower())
         return Chunks(Pieces(split, encode).many, lambda text: encode([text])[0], spaced)
 
     return once(("library", path), make)
@@ -123,8 +120,6 @@ def automaton(path: str):
     """``(chunks, encoder)`` of the tokenization automaton; made once in a worker."""
 
     def make():
-        from assay.llm.bpe import Encoder
-
         encoder = Encoder(path)
         return Chunks(encoder.pieces, encoder.whole, True), encoder
 
