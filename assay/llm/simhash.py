@@ -293,17 +293,20 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     key the one with the smallest class. A key that has texts in several groups can stay in each.
     """
     prints, by_print = grouped_prints(docs, key, text, words, most)
-    texts_of = prints.join(by_print.select("fp", "group"), "fp").groupBy("group", "key", "class").agg(F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "class", "n")).alias("first")
-    return texts_of.groupBy("group").agg(first).select("first.key", "first.class", "first.n")
+    first = by_print.groupBy("group").agg(F.min("first").alias("first")).select("first.key", "first.class")
+    rows = prints.groupBy(F.col("key").alias("k"), F.col("class").alias("c")).agg(F.count("*").alias("n")).where("n > 1")
+    found = first.join(rows, F.col("key").eqNullSafe(F.col("k")) & (F.col("class") == F.col("c")), "left")
+    return found.select("key", "class", F.coalesce("n", F.lit(1)).alias("n"))
 
 
 def grouped_prints(docs: DataFrame, key: str, text: str, words: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Every row's ``(key, class, fp)`` and every fingerprint's ``(fp, group, least)``: the
-    smallest fingerprint of its group, and its own smallest key."""
+    """Every row's ``(key, class, fp)`` and every fingerprint's ``(fp, group, least, first)``:
+    the smallest fingerprint of its group, its own smallest key, and with that key the smallest
+    class, null keys last."""
     prints = stage(with_fingerprint(docs, key, text, words), "fingerprints")
-    least = stage(prints.groupBy("fp").agg(F.min("key").alias("least")), "fingerprint-classes")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "class")).alias("first")
+    least = stage(prints.groupBy("fp").agg(F.min("key").alias("least"), first), "fingerprint-classes")
     found = components(links(least, most))
     # components name the smallest fingerprint; the smallest key is wanted
     named = least.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    return prints, named.select("fp", F.coalesce("component", "fp").alias("group"), "least")
+    return prints, named.select("fp", F.coalesce("component", "fp").alias("group"), "least", "first")
