@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.operators.segmented import prefixes
 from assay.operators.skew import join_facts
 from assay.schemas import ISSUE_STATUSES
 from assay.session import ensure_checkpoint_dir
 
 ORDER = ("checked_at", "seq")
+_NULL = "\0"
 
 
 def is_issue(status: Column | str = "status") -> Column:
@@ -28,37 +30,17 @@ def latest(log: DataFrame, keys: Sequence[str] = ("path",), order: Sequence[str]
     return log.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def with_history(log: DataFrame, chunk: str = "MINUTE") -> DataFrame:
+def with_history(log: DataFrame) -> DataFrame:
     """Adds ``prev_status`` and ``had_issue`` (any earlier issue of the path).
 
-    A path's history is cut into time chunks. Windows run inside a chunk; what earlier
-    chunks leave behind is carried in from an aggregate with one row per chunk, so a path
-    that owns a large part of the log is spread over many tasks. Paths are usually checked
-    once per scan, so short chunks cost no more than long ones; minutes keep both the rows
-    of a chunk and the chunks of a path (half a million a year) within one task's reach.
+    The log is read and shuffled once, and a path that owns a large part of it is spread over
+    many tasks. A null status is a status: it is what the next row had before. Select the
+    columns that are wanted first; all of them go through the layout.
     """
-    cut = log.withColumn("_chunk", F.date_trunc(chunk, F.col("checked_at")))
-    summary = cut.groupBy("path", "_chunk").agg(
-        F.max_by("status", F.struct(*ORDER)).alias("_last"), F.max(is_issue()).alias("_any")
-    )
-    across = Window.partitionBy("path").orderBy("_chunk")
-    carry = summary.select(
-        "path",
-        "_chunk",
-        F.lag("_last").over(across).alias("_carry_status"),
-        F.max("_any").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_issue"),
-    ).where(F.col("_carry_status").isNotNull())
-    inside = Window.partitionBy("path", "_chunk").orderBy(*ORDER)
-    return (
-        cut.withColumn("_prev", F.lag("status").over(inside))
-        .withColumn("_issue", F.max(is_issue()).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-        .join(carry, ["path", "_chunk"], "left")
-        .select(
-            *log.columns,
-            F.coalesce("_prev", "_carry_status").alias("prev_status"),
-            (F.coalesce("_issue", F.lit(False)) | F.coalesce("_carry_issue", F.lit(False))).alias("had_issue"),
-        )
-    )
+    # nulls are told from paths without an earlier row
+    known = F.coalesce("status", F.lit(_NULL))
+    found = prefixes(log, ["path"], ORDER, {"prev_status": known}, {"had_issue": is_issue()})
+    return found.withColumn("prev_status", F.nullif("prev_status", F.lit(_NULL)))
 
 
 def transitions(log: DataFrame, before: str = "ok", after: str = "corrupt") -> DataFrame:

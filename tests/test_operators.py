@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions import paths, text
-from assay.operators import changes, fingerprints, history, importing, queue, scans, skew, table_checks, verdicts
+from assay.operators import changes, fingerprints, history, importing, queue, scans, segmented, skew, table_checks, verdicts
 from assay.operators.catalog import fold, merge, reset
+from assay.operators.segmented import prefixes
 from assay.plans import alerting, reports
 from assay.schemas import ISSUE_STATUSES, STATUSES
 
@@ -178,13 +179,56 @@ def test_alert_rule_equals_row_by_row_state(spark, seed):
     assert got == simulate_alerts(rows)
 
 
-def test_history_does_not_depend_on_the_chunk(spark):
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_history_does_not_depend_on_the_layout(spark, partitions):
+    """A hot path, null statuses and a null path, in layouts of few and of many partitions."""
     rng = random.Random(5)
-    df = log(spark, [(f"/p{rng.randrange(3)}", rng.choice(STATUSES)) for _ in range(200)])
-    cols = ["seq", "prev_status", "had_issue"]
-    one = sorted(map(tuple, history.with_history(df, "YEAR").select(*cols).collect()), key=lambda r: r[0])
-    for chunk in ("DAY", "HOUR"):
-        assert sorted(map(tuple, history.with_history(df, chunk).select(*cols).collect()), key=lambda r: r[0]) == one
+    rows = [(rng.choice(["/hot"] * 8 + ["/a", "/b", None]), rng.choice([*STATUSES, None])) for _ in range(600)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.seq: (r.prev_status, r.had_issue) for r in history.with_history(log(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    last, want = {}, {}
+    for i, (path, status) in enumerate(rows):
+        want[i] = last.get(path, (None, False))
+        last[path] = (status, want[i][1] or status in ISSUE_STATUSES)
+    assert got == want
+
+
+def test_alerts_over_a_null_status(spark):
+    rows = [("/p", "corrupt"), ("/p", None), ("/p", "ok"), ("/p", None), ("/p", "corrupt"), ("/p", "ok"), ("/p", "corrupt")]
+    assert sorted(r.seq for r in history.alerts(log(spark, rows)).collect()) == [0, 6]
+
+
+def test_prefixes_of_numbers_and_counts(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(3), i, rng.choice([None, 1.5, 2.5])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, i int, v double")
+    out = prefixes(df, ["g"], ["i"], {"before": F.col("v")}, {"high": F.col("v") > 2}, "n").collect()
+    for r in out:
+        earlier = [v for g, i, v in rows if g == r.g and i < r.i]
+        known = [v for v in earlier if v is not None]
+        assert (r.n, r.before, r.high) == (len(earlier), known[-1] if known else None, 2.5 in known)
+    assert prefixes(df.limit(0), ["g"], ["i"], count="n").count() == 0
+
+
+def test_history_reads_and_shuffles_the_log_once(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    log(spark, [("/p", "ok"), ("/q", "corrupt")]).write.parquet(folder)
+    seen = []
+    stage = segmented.stage
+    segmented.stage = lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, name)
+    try:
+        history.with_history(spark.read.parquet(folder)).collect()
+    finally:
+        segmented.stage = stage
+    plan = seen[0].split("Initial Plan")[-1]
+    assert (plan.count("Exchange"), plan.count("FileScan")) == (1, 1)
 
 
 def test_positions_of_one_huge_group(spark):
