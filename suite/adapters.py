@@ -119,13 +119,15 @@ def stored_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def import_records(spark: SparkSession, sf: str) -> DataFrame:
-    """/lib0 below an old mount, /lib1 with status ok twice, and records without a path."""
+    """/lib0 below an old mount, /lib1 with status ok twice, records without a path, and the
+    others as they are: every file of the catalog has a record."""
     forms = F.expr(
         """CASE WHEN path LIKE '/lib0/%' THEN array(struct(seq * 4 AS ordinal, concat('/old', path) AS path, status))
                 WHEN path LIKE '/lib1/%' THEN array(
                   struct(seq * 4 + 1 AS ordinal, path, 'ok' AS status),
                   struct(seq * 4 + 2 AS ordinal, path, cast(NULL AS string) AS status),
-                  struct(seq * 4 + 3 AS ordinal, '' AS path, status)) END"""
+                  struct(seq * 4 + 3 AS ordinal, '' AS path, status))
+                ELSE array(struct(seq * 4 AS ordinal, path, status)) END"""
     )
     return (
         catalog(spark, sf)
@@ -192,8 +194,9 @@ STORED_SQL = """stored AS (
          status, error, CAST(NULL AS VARCHAR) AS suggested_action, checked_at, scan_id,
          CASE WHEN seq % 7 = 0 THEN checked_at END AS notified_at FROM catalog)"""
 IMPORT_SQL = """import_raw AS (
-  SELECT seq * 4 AS ordinal, '/old' || path AS path, status, mtime, size, error, checked_at, scan_id
-  FROM catalog WHERE path LIKE '/lib0/%'
+  SELECT seq * 4 AS ordinal, CASE WHEN path LIKE '/lib0/%' THEN '/old' || path ELSE path END AS path,
+         status, mtime, size, error, checked_at, scan_id
+  FROM catalog WHERE path NOT LIKE '/lib1/%'
   UNION ALL SELECT seq * 4 + 1, path, 'ok', mtime, size, error, checked_at, scan_id
   FROM catalog WHERE path LIKE '/lib1/%'
   UNION ALL SELECT seq * 4 + 2, path, NULL, mtime, size, error, checked_at, scan_id

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions.paths import DEFAULT_EXCLUDES, excluded, in_scope, report_ext, scan_ext
-from assay.operators import changes, scans as scan_ops
+from assay.operators import changes, notices, scans as scan_ops
 from assay.operators.catalog import reset, reset_count
-from assay.operators.history import latest
+from assay.operators.history import is_issue
 from assay.operators.formats import dispatch
 from assay.operators.verdicts import unstatable
 from assay.plans import reports
+from assay.sources.tables import stage
 from suite.adapters import (
     AS_OF, CUT, RECHECK_DAYS, catalog, catalog_before, observed, post_inventory, scans, stored_catalog, ts, verdict_log,
     with_views,
@@ -130,31 +131,33 @@ def dispatch_classes(spark, sf):
     )
 
 
-@query(with_views("observed", """
+@query(with_views("catalog", """
 SELECT path, CASE WHEN mtime = 0 AND size = 0 THEN 'unreadable' END AS status,
-       CASE WHEN mtime = 0 AND size = 0 THEN 'Cannot stat file' END AS error FROM observed"""))
+       CASE WHEN mtime = 0 AND size = 0 THEN 'Cannot stat file' END AS error FROM catalog"""))
 def unstatable_files(spark, sf):
     v = unstatable()
-    return observed(spark, sf).select("path", v["status"].alias("status"), v["error"].alias("error"))
+    return catalog(spark, sf).select("path", v["status"].alias("status"), v["error"].alias("error"))
 
 
-_GUARD = """, guarded AS (
-  SELECT v.path, v.status, v.scan_id, v.checked_at,
+_GUARD = """
+, post_all AS (SELECT path, mtime, size + CASE WHEN size % 11 = 0 THEN 1 ELSE 0 END AS size FROM catalog WHERE size % 13 <> 0),
+guarded AS (
+  SELECT v.seq, v.path, v.status, v.scan_id, v.checked_at,
          NOT coalesce(v.mtime = p.mtime AND v.size = p.size, false) AS discarded
-  FROM observed_rows v LEFT JOIN post p ON v.path = p.path)"""
+  FROM verdict_log v LEFT JOIN post_all p ON v.path = p.path)"""
 
 
 def _guarded(spark, sf):
-    verdicts = latest(verdict_log(spark, sf).where(F.col("checked_at") >= ts(CUT)))
-    return changes.guard_changes(verdicts, post_inventory(observed(spark, sf)))
+    """All verdicts against the files as they are now."""
+    return changes.guard_changes(verdict_log(spark, sf), post_inventory(catalog(spark, sf).select("path", "mtime", "size")))
 
 
-@query(with_views("observed post", _GUARD + " SELECT path, status FROM guarded WHERE NOT discarded"))
+@query(with_views("catalog", _GUARD + " SELECT seq, path, status FROM guarded WHERE NOT discarded"))
 def toctou_guard(spark, sf):
-    return _guarded(spark, sf).where(~F.col("discarded")).select("path", "status")
+    return _guarded(spark, sf).where(~F.col("discarded")).select("seq", "path", "status")
 
 
-@query(with_views("observed post", _GUARD + """
+@query(with_views("catalog", _GUARD + """
 SELECT scan_id, count(*) AS processed, 0 AS skipped, count(*) FILTER (discarded) AS discards,
        greatest(count(*) - count(*) FILTER (discarded), 0) AS total,
        count(*) FILTER (NOT discarded AND status = 'corrupt') AS corrupt,
@@ -164,6 +167,7 @@ SELECT scan_id, count(*) AS processed, 0 AS skipped, count(*) FILTER (discarded)
                  / (date_diff('microsecond', min(checked_at), max(checked_at))::DOUBLE / 1e6) END AS files_per_sec
 FROM guarded GROUP BY scan_id"""))
 def scan_closeout(spark, sf):
+    """All scans of the log."""
     return scan_ops.close_out(_guarded(spark, sf))
 
 
@@ -178,6 +182,53 @@ def mark_notified(spark, sf):
     return changes.mark_notified(stored_catalog(spark, sf), delivered).select("path", "status", "notified_at")
 
 
+_NOTICES = f"""
+, deliveries AS (SELECT path, checked_at + INTERVAL 2 HOUR AS moment FROM verdict_log
+                 WHERE status IN ('corrupt', 'unreadable') AND seq % 3 = 0),
+steps AS (SELECT *, lag(status) OVER (PARTITION BY path ORDER BY checked_at, seq) AS prev FROM verdict_log),
+events AS (
+  SELECT path, checked_at AS moment, 0 AS kind, seq, status = 'corrupt' AND coalesce(prev = 'ok', false) AS relapse FROM steps
+  UNION ALL SELECT path, moment, 1, 0, false FROM deliveries),
+told AS (
+  SELECT *, max(CASE WHEN relapse THEN nth END) OVER (PARTITION BY path) AS relapsed
+  FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY moment, kind, seq) AS nth FROM events)),
+noted AS (
+  SELECT c.path, c.status, c.checked_at,
+         (SELECT max(moment) FROM told t WHERE t.path = c.path AND kind = 1 AND nth > coalesce(relapsed, 1)) AS notified_at
+  FROM catalog c)"""
+
+
+def _deliveries(log):
+    """Every third issue is delivered two hours later."""
+    some = log.where(is_issue() & (F.col("seq") % 3 == 0))
+    return some.select("path", (F.col("checked_at") + F.expr("INTERVAL 2 HOURS")).alias("delivered_at"))
+
+
+@query(with_views("catalog", _NOTICES + " SELECT path, status, checked_at, notified_at FROM noted"))
+def notification_state(spark, sf):
+    """Verdicts and deliveries as one composed state; relapses take the time away."""
+    log = verdict_log(spark, sf)
+    return notices.advance(log, _deliveries(log)).drop("seq", "relapsed_at")
+
+
+@query(with_views("catalog", _NOTICES + " SELECT path, status, checked_at, notified_at FROM noted"))
+def notification_state_continued(spark, sf):
+    """The same from a stored state at the cut and what came later."""
+    log = verdict_log(spark, sf)
+    told = _deliveries(log)
+    early, late = F.col("checked_at") < ts(CUT), F.col("delivered_at") < ts(CUT)
+    known = stage(notices.advance(log.where(early), told.where(late)), "notices")
+    return notices.advance(log.where(~early), told.where(~late), known).drop("seq", "relapsed_at")
+
+
+@query(with_views("catalog", _NOTICES + """
+SELECT path, status FROM noted WHERE status IN ('corrupt', 'unreadable') AND notified_at IS NULL"""))
+def notification_due(spark, sf):
+    """Files in trouble that nobody was told about since they broke."""
+    log = verdict_log(spark, sf)
+    return changes.unnotified(notices.advance(log, _deliveries(log))).select("path", "status")
+
+
 _NEW = """SELECT path, status, checked_at FROM stored
 WHERE status {cond} AND notified_at IS NULL {more} ORDER BY checked_at DESC, path LIMIT 1000"""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions import paths, text
-from assay.operators import changes, fingerprints, history, importing, queue, scans, segmented, skew, table_checks, verdicts
+from assay.operators import changes, fingerprints, history, importing, notices, queue, scans, segmented, skew, table_checks, verdicts
 from assay.operators.catalog import fold, merge, reset
 from assay.operators.segmented import prefixes
 from assay.plans import alerting, reports
@@ -205,6 +205,41 @@ def test_alerts_over_a_null_status(spark):
     assert sorted(r.seq for r in history.alerts(log(spark, rows)).collect()) == [0, 6]
 
 
+def simulate_notices(events):
+    """Event by event, as a table with one row per path would be updated."""
+    state = {}
+    for i, (path, what) in enumerate(events):
+        status, told = state.get(path, (None, None))
+        if what == "told":
+            if path in state:
+                state[path] = (status, i)
+        else:
+            state[path] = (what, None if (what, status) == ("corrupt", "ok") else told)
+    return state
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_notices_equal_row_by_row_updates(spark, seed):
+    rng = random.Random(seed)
+    paths = ["/hot"] * 6 + [f"/p{i}" for i in range(12)]
+    events = [(rng.choice(paths), rng.choice(["ok", "corrupt", "ok", "corrupt", "unreadable", "told"])) for _ in range(400)]
+    at = lambda i: datetime(2024, 1, 1) + timedelta(minutes=i)
+    verdict_rows = spark.createDataFrame(
+        [(p, w, at(i), i) for i, (p, w) in enumerate(events) if w != "told"], "path string, status string, checked_at timestamp, seq long"
+    )
+    told_rows = spark.createDataFrame([(p, at(i)) for i, (p, w) in enumerate(events) if w == "told"], "path string, delivered_at timestamp")
+    want = {p: (s, None if i is None else at(i)) for p, (s, i) in simulate_notices(events).items()}
+    got = lambda df: {r.path: (r.status, r.notified_at) for r in df.collect()}
+    assert got(notices.advance(verdict_rows, told_rows)) == want
+    # in three steps, every step with all deliveries up to its end once more
+    state = None
+    for a, b in ((0, 100), (100, 250), (250, 400)):
+        some = verdict_rows.where((F.col("seq") >= a) & (F.col("seq") < b))
+        state = notices.advance(some, told_rows.where(F.col("delivered_at") < F.lit(at(b))), state)
+        state = spark.createDataFrame(state.collect(), state.schema)
+    assert got(state) == want
+
+
 def test_prefixes_of_numbers_and_counts(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(3), i, rng.choice([None, 1.5, 2.5])) for i in range(300)]
