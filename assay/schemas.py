@@ -86,6 +86,36 @@ SCAN_QUEUE = T.StructType(
     ]
 )
 
+# What a scan writes about itself, see operators/lifecycle.py.
+SCAN_EVENTS = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("attempt", T.IntegerType()),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("scope", T.StringType()),
+    ]
+)
+
+PROGRESS = T.StructType(
+    [
+        T.StructField("scan_id", T.StringType()),
+        T.StructField("part", T.IntegerType()),
+        T.StructField("attempt", T.IntegerType()),
+        T.StructField("at", T.TimestampType()),
+        *[T.StructField(c, T.LongType()) for c in ("processed", "skipped", "discards", *STATUSES)],
+        T.StructField("elapsed_s", T.DoubleType()),
+    ]
+)
+
+QUEUED = T.StructType(
+    [
+        T.StructField("scan_id", T.StringType()),
+        T.StructField("part", T.IntegerType()),
+        T.StructField("path", T.StringType()),
+    ]
+)
+
 METRICS = T.StructType(
     [
         T.StructField("name", T.StringType()),

@@ -8,19 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.functions.text import parse_iso_utc
 from assay.schemas import CATALOG, PORTABLE_RECORD, VERDICT_LOG
 from assay.session import run_dir
 
 
-def append_log(verdicts: DataFrame, folder: str) -> None:
+def append_log(verdicts: DataFrame, folder: str, part: int = 0) -> None:
     """Adds verdicts to the log, partitioned by scan so that per-scan reports prune."""
-    verdicts.write.mode("append").partitionBy("scan_id").parquet(folder)
+    verdicts.withColumn("part", F.lit(part)).write.mode("append").partitionBy("scan_id", "part").parquet(folder)
 
 
-def read_log(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(VERDICT_LOG).parquet(folder)
+def read_log(spark: SparkSession, folder: str, with_part: bool = False) -> DataFrame:
+    """The verdict log, with the ``part`` of the scan that wrote a row if asked for."""
+    schema = T.StructType([*VERDICT_LOG.fields, T.StructField("part", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(folder)
+    return rows if with_part else rows.select(*VERDICT_LOG.fieldNames())
 
 
 def _versions(spark: SparkSession, folder: str) -> list[int]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions import text
-from assay.operators import history, scans as scan_ops
+from assay.operators import history, lifecycle, scans as scan_ops
 from assay.plans import alerting, reports
+from assay.schemas import STATUSES
 from assay.sources.tables import stage
 from suite.adapters import AS_OF, CUT, catalog, scans, ts, verdict_log, with_views
 from suite.registry import query
@@ -333,3 +334,81 @@ def scan_history_fold(spark, sf):
         "total", "corrupt", "unreadable", "files_per_sec",
     )
     return scan_ops.fold_events(start.unionByName(finish))
+
+
+# --- the life of scans ----------------------------------------------------------------
+
+# Fixture: the paths of a day's scan are queued in five parts. Scans of days 1, 5, 9, ... broke
+# off behind part 2 and were resumed an hour later, which did part 2 again; every sixth day's
+# scan broke off and was left. Records of parts and ends are written twice.
+PARTS_SQL = """parts AS (
+  SELECT scan_id, CAST(substr(scan_id, 9, 2) AS INT) AS day, CAST(seq % 5 AS INT) AS part, path, status, checked_at
+  FROM verdict_log),
+spans AS (SELECT scan_id, day, min(checked_at) AS started_at, max(checked_at) AS ended_at FROM parts GROUP BY scan_id, day),
+done AS (SELECT * FROM parts WHERE day % 6 <> 0 OR part <= 2)"""
+
+
+def _parts(spark, sf):
+    return verdict_log(spark, sf).select(
+        "scan_id",
+        F.substring("scan_id", 9, 2).cast("int").alias("day"),
+        (F.col("seq") % 5).cast("int").alias("part"),
+        "path",
+        "status",
+        "checked_at",
+    )
+
+
+def _records(spark, sf):
+    """Events and progress of all scans, and the queues of those that have not finished."""
+    parts = _parts(spark, sf)
+    spans = parts.groupBy("scan_id", "day").agg(F.min("checked_at").alias("began"), F.max("checked_at").alias("ended"))
+    resumed, left = F.col("day") % 4 == 1, F.col("day") % 6 == 0
+    scope = F.concat(F.lit("/lib"), F.col("day") % 4)
+    record = lambda kind, attempt, at: F.struct(F.lit(kind).alias("kind"), F.lit(attempt).alias("attempt"), at.alias("at"))
+    later = F.col("began") + F.expr("INTERVAL 1 HOUR")
+    every = F.array(
+        record("start", 1, F.col("began")),
+        F.when(resumed, record("start", 2, later)),
+        *[F.when(~left, record("finish", 1, F.col("ended")))] * 2,
+    )
+    events = spans.select(F.col("scan_id").alias("id"), scope.alias("scope"), F.explode(every).alias("r")).where("r IS NOT NULL")
+    counts = parts.groupBy("scan_id", "day", "part").agg(
+        F.max("checked_at").alias("at"),
+        F.count("*").alias("processed"),
+        F.lit(0).cast("long").alias("skipped"),
+        F.lit(0).cast("long").alias("discards"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
+        F.lit(0.5).alias("elapsed_s"),
+    )
+    attempts = F.when(resumed & (F.col("part") == 2), F.array(F.lit(1), F.lit(1), F.lit(2)))
+    attempts = attempts.when(resumed & (F.col("part") > 2), F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(1)))
+    progress = counts.where(~left | (F.col("part") <= 2)).withColumn("attempt", F.explode(attempts)).drop("day")
+    return events.select("id", "scope", "r.*"), progress, parts.where(left).select("scan_id", "part", "path")
+
+
+@query(with_views("", f"""
+, {PARTS_SQL}
+SELECT scan_id, started_at, CASE WHEN day % 6 <> 0 THEN ended_at END AS finished_at, CASE WHEN day % 4 = 1 THEN 2 ELSE 1 END AS attempts,
+       '/lib' || (day % 4) AS scope, count(DISTINCT part) AS parts_done, count(part) AS total,
+       count(*) FILTER (status = 'corrupt') AS corrupt, count(*) FILTER (status = 'unreadable') AS unreadable,
+       count(part) / (count(DISTINCT part) * 0.5::DOUBLE) AS files_per_sec,
+       CASE WHEN day % 6 <> 0 THEN 'complete' ELSE 'incomplete' END AS state
+FROM spans JOIN done USING (scan_id, day) GROUP BY ALL"""))
+def scan_lifecycle(spark, sf):
+    """Scans from their records, some of them resumed, repeated or broken off."""
+    events, progress, _ = _records(spark, sf)
+    return lifecycle.fold(events, progress).select(
+        "scan_id", "started_at", "finished_at", "attempts", "scope", "parts_done", "total", "corrupt", "unreadable", "files_per_sec", "state"
+    )
+
+
+@query(with_views("", f"""
+, {PARTS_SQL}
+SELECT DISTINCT scan_id, part, path, (SELECT count(*) FROM done d WHERE d.scan_id = p.scan_id) AS done_before
+FROM parts p WHERE day % 6 = 0 AND part > 2"""))
+def scan_resume_plan(spark, sf):
+    """What is left of the scans that broke off, and how much they had done."""
+    events, progress, queue = _records(spark, sf)
+    open_scans = lifecycle.fold(events, progress).where("state = 'incomplete'").select("scan_id", F.col("processed").alias("done_before"))
+    return lifecycle.pending(queue.distinct(), progress).join(open_scans, "scan_id")

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 import files
-from assay.operators import formats
+from assay.operators import formats, lifecycle
 from assay.operators.catalog import complete
 from assay.operators.deep_checks import deep_check, registered
 from assay.operators.fingerprints import verify_hashes, with_fingerprints
 from assay.operators.importing import apply_import, prepare
 from assay.operators.payload_checks import check_content
+from assay.operators.scans import last_rate
 from assay.operators.validation import validate_content, validate_files
 from assay.plans import alerting
-from assay.plans.scan_job import ScanOptions, known_catalog, resume_scan, run_scan
+from assay.plans.scan_job import ScanError, ScanOptions, known_catalog, resume_scan, run_scan, take_snapshot
 from assay.sources.inventory import read_inventory, restat
+from assay.sources.scan_state import ScanState
 from assay.sources.tables import export_catalog, read_log, read_payloads, read_portable, typed_times
 
 CASES = {
@@ -184,8 +187,8 @@ def test_second_scan_skips_and_changes_are_found(spark, library, tmp_path):
     log = str(tmp_path / "log")
     first = run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2)).collect()[0]
     assert first.total == len(CASES) + 2 and first.skipped == 0
-    again = run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2))
-    assert again.count() == 0  # nothing checked, nothing to close
+    again = run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2)).collect()[0]
+    assert (again.processed, again.skipped, again.total, again.files_per_sec) == (first.total, first.total, first.total, 0.0)
     target = library / "ok.jpg"
     target.write_bytes(b"now it is broken")
     third = run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2)).collect()[0]
@@ -212,8 +215,8 @@ def test_export_and_import_into_an_empty_catalog(spark, library, tmp_path):
 def test_forced_recheck(spark, library, tmp_path):
     log = str(tmp_path / "log")
     run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2)).collect()
-    same_day = run_scan(spark, [str(library)], log, options=ScanOptions(force_recheck_days=1, tasks=2))
-    assert same_day.count() == 0
+    same_day = run_scan(spark, [str(library)], log, options=ScanOptions(force_recheck_days=1, tasks=2)).collect()[0]
+    assert same_day.processed == same_day.skipped > 0
 
 
 def test_changed_while_checked_is_discarded(spark, library):
@@ -223,13 +226,108 @@ def test_changed_while_checked_is_discarded(spark, library):
     assert flags["ok.png"] is True and all(flags.values())  # every recorded size is wrong
 
 
-def test_resume_goes_on_where_it_stopped(spark, library, tmp_path):
+def test_scan_leaves_its_row_and_no_queue(spark, library, tmp_path):
     log = str(tmp_path / "log")
-    paths = sorted(r.path for r in read_inventory(spark, [str(library)]).collect())
-    queue = spark.createDataFrame([("s", p, i % 2 == 0) for i, p in enumerate(paths)], "scan_id string, path string, done boolean")
-    out = resume_scan(spark, queue, "s", log, options=ScanOptions(tasks=2)).collect()[0]
-    assert out.total == len(paths) // 2
-    assert {r.path for r in known_catalog(spark, log).collect()} == set(paths[1::2])
+    out = run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2, part_rows=10)).collect()[0]
+    assert out.files_per_sec > 0
+    state = ScanState(spark, log)
+    row = state.scans().collect()[0]
+    assert (row.id, row.total, row.corrupt, row.scope) == (out.scan_id, len(CASES) + 2, out.corrupt, str(library))
+    assert row.finished_at >= row.started_at and row.files_per_sec == out.files_per_sec
+    assert state.queue().count() == 0 and state.progress().count() == 4
+    assert last_rate(state.scans()).collect()[0].files_per_sec == out.files_per_sec
+    assert known_catalog(spark, log).count() == len(CASES) + 2
+
+
+def broken_off(spark, library, log, monkeypatch, after):
+    """A scan whose ``after``-th part is written but never marked as done."""
+    commits = []
+    commit = ScanState.commit
+
+    def failing(self, **row):
+        commits.append(row["part"])
+        if len(commits) > after:
+            raise KeyboardInterrupt
+        commit(self, **row)
+
+    monkeypatch.setattr(ScanState, "commit", failing)
+    with pytest.raises(KeyboardInterrupt):
+        run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2, part_rows=10), scan_id="a b/1")
+    monkeypatch.undo()
+    return commits
+
+
+def test_resume_goes_on_with_what_was_done(spark, library, tmp_path, monkeypatch):
+    log = str(tmp_path / "log")
+    parts = broken_off(spark, library, log, monkeypatch, after=2)
+    state = ScanState(spark, log)
+    before = state.scan("a b/1")
+    assert (before.state, before.parts_done, before.attempts) == ("incomplete", 2, 1)
+    todo = {r.path for r in lifecycle.pending(state.queue(), state.progress()).collect()}
+    assert 0 < len(todo) == len(CASES) + 2 - before.processed
+    assert state.scans().collect()[0].total is None
+    # a file of the part that broke off is mended before the scan goes on
+    changed = next(p for p in todo if os.path.basename(p) in CASES and CASES[os.path.basename(p)][1] == "corrupt")
+    os.remove(changed)
+    out = resume_scan(spark, "a b/1", log, options=ScanOptions(tasks=2)).collect()[0]
+    assert (out.processed, out.total, out.skipped) == (len(CASES) + 2, len(CASES) + 2, 0)
+    after = state.scan("a b/1")
+    assert (after.state, after.attempts, after.parts_done) == ("complete", 2, 4) and after.started_at == before.started_at
+    rows = read_log(spark, log).collect()
+    assert len(rows) == len({r.path for r in rows}) == len(CASES) + 2 and {r.scan_id for r in rows} == {"a b/1"}
+    assert next(r.status for r in rows if r.path == changed) == "unreadable"
+    assert state.queue().count() == 0 and len(parts) == 3
+
+
+def test_resume_skips_what_another_scan_has_checked(spark, library, tmp_path, monkeypatch):
+    log = str(tmp_path / "log")
+    broken_off(spark, library, log, monkeypatch, after=1)
+    run_scan(spark, [str(library)], log, options=ScanOptions(tasks=2), scan_id="other").collect()
+    # what a part wrote that was never done does not count for the other scan
+    done = ScanState(spark, log).scan("a b/1").processed
+    others = read_log(spark, log).where("scan_id = 'other'").count()
+    out = resume_scan(spark, "a b/1", log, options=ScanOptions(tasks=2)).collect()[0]
+    assert (out.processed, out.skipped) == (len(CASES) + 2, others) and others == len(CASES) + 2 - done
+    assert len({r.path for r in read_log(spark, log).collect()}) == len(CASES) + 2
+    assert ScanState(spark, log).queue().count() == 0
+
+
+def test_unknown_finished_and_repeated_scans_are_refused(spark, library, tmp_path):
+    log = str(tmp_path / "log")
+    with pytest.raises(ScanError, match="not known"):
+        resume_scan(spark, "nobody", log)
+    run_scan(spark, [str(library / "b")], log, options=ScanOptions(tasks=1), scan_id="one").collect()
+    with pytest.raises(ScanError, match="finished"):
+        resume_scan(spark, "one", log)
+    with pytest.raises(ScanError, match="started already"):
+        run_scan(spark, [str(library / "b")], log, scan_id="one")
+
+
+def test_stale_queues_go(spark, tmp_path):
+    state = ScanState(spark, str(tmp_path / "log"))
+    now = datetime.now(timezone.utc)
+    for name, days in (("old", 8), ("new", 2)):
+        state.enqueue(name, spark.createDataFrame([("/a", 0)], "path string, part int"))
+        state.event(id=name, kind="start", attempt=1, at=now - timedelta(days=days), scope="/")
+    assert state.drop_stale(F.current_timestamp()) == ["old"]
+    assert [r.scan_id for r in state.queue().collect()] == ["new"]
+
+
+def test_snapshot_and_later_log(spark, library, tmp_path, monkeypatch):
+    log, snapshots = str(tmp_path / "log"), str(tmp_path / "snapshots")
+    assert known_catalog(spark, log, snapshots) is None
+    broken_off(spark, library, log, monkeypatch, after=2)
+    run_scan(spark, [str(library / "b")], log, options=ScanOptions(tasks=1), scan_id="whole").collect()
+    want = lambda: sorted((r.path, r.status, r.scan_id) for r in known_catalog(spark, log).collect())
+    assert sorted((r.path, r.status, r.scan_id) for r in known_catalog(spark, log, snapshots).collect()) == want()
+    assert take_snapshot(spark, log, snapshots) == 1
+    resume_scan(spark, "a b/1", log, snapshots, options=ScanOptions(tasks=2)).collect()
+    (library / "ok.png").write_bytes(b"broken")
+    run_scan(spark, [str(library)], log, snapshots, options=ScanOptions(tasks=2), scan_id="later").collect()
+    got = lambda: sorted((r.path, r.status, r.scan_id) for r in known_catalog(spark, log, snapshots).collect())
+    assert got() == want() and (str(library / "ok.png"), "corrupt", "later") in got()
+    assert take_snapshot(spark, log, snapshots) == 2
+    assert got() == want()
 
 
 def test_restat(spark, library):
