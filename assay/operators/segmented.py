@@ -127,18 +127,17 @@ def prefixes(
     laid = stage(prepared.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema), "prefixes")
     ordered = Window.partitionBy(*groups).orderBy("_part")
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = laid.where("_tail").select(
+    tails = laid.where("_tail")
+    # what a partition leaves behind is for the next one; there is a row for each partition
+    carry = tails.select(
         *[F.col(g).alias(f"_of_{g}") for g in groups],
-        F.col("_part").alias("_from"),
-        F.lead("_part").over(ordered).alias("_to"),
+        F.lead("_part").over(Window.orderBy("_part")).alias("_into"),
         *[F.last(v, ignorenulls=True).over(upto).alias(f"{v}_in") for v in values],
         *[F.max(f).over(upto).alias(f"{f}_in") for f in flags],
         F.sum("_count").over(upto).alias("_count_in"),
     )
-    met = F.col("_open") & (F.col("_part") > F.col("_from")) & (F.col("_to").isNull() | (F.col("_part") <= F.col("_to")))
     same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups]
-    # a row for each partition of the layout
-    rows = laid.where("NOT _tail").join(F.broadcast(carry), [*same, met], "left")
+    rows = laid.where("NOT _tail").join(F.broadcast(carry), [F.col("_part") == F.col("_into"), F.col("_open"), *same], "left")
     counted = [] if count is None else [(F.col("_count") + F.coalesce("_count_in", F.lit(0))).alias(count)]
     return rows.select(
         *df.columns,

@@ -1,15 +1,16 @@
-"""File inventory as a Python data source: ``(path, mtime, size)``.
+"""File inventory: ``(path, mtime, size)`` of all files below some roots.
 
-The source lists names, which is fast; files are stat-ed after the rows have been dealt out
-by path. So one huge folder costs one listing task, but its files are stat-ed by all tasks.
+Folders are a table. A round lists the folders of one level, dealt out by their paths, and
+stores what it found; the folders among that are the next round's. So the driver lists nothing,
+a deep subtree is no single task, and executors that are lost repeat a part of one level. Files
+are stat-ed last, dealt out by path.
 
 Spark's own ``binaryFile`` listing leaves out empty files and names that begin with ``_`` or
-``.``, which a library contains and which must be judged; hence a source of its own.
+``.``, which a library contains and which must be judged; hence a walk of its own.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterator
@@ -18,21 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from assay.functions.paths import glob_regex
 from assay.operators.formats import extensions
-from assay.schemas import INVENTORY
+from assay.sources.tables import stage
 
-FORMAT = "assay_inventory"
-
-
-class _Folder(InputPartition):
-    """A folder to list, with everything below it or only its own files."""
-
-    def __init__(self, path: str, deep: bool):
-        self.path = path
-        self.deep = deep
+#: Names that a listing task holds at a time, however large the folder.
+CHUNK = 10_000
+_LEVEL = "path string, folder boolean, above array<string>"
 
 
 def _stat(path: str) -> tuple[float, int]:
@@ -47,77 +41,24 @@ def _suffix(name: str) -> str:
     return os.path.splitext(name)[1].lower()
 
 
-class InventoryReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.roots = json.loads(options["roots"])
-        self.exts = set(json.loads(options.get("extensions", "[]"))) or None
-        self.excludes = [glob_regex(g) for g in json.loads(options.get("exclude", "[]"))]
-        self.follow = options.get("followsymlinks", "false") == "true"
-        self.tasks = int(options.get("tasks", "64"))
-        self.stat = options.get("stat", "true") == "true"
-
-    def partitions(self) -> list[_Folder]:
-        """Opens folders level by level until there are enough of them to keep all tasks busy.
-
-        Only folder names of the upper levels are seen here; files are listed in the tasks.
-        """
-        done: list[_Folder] = []
-        level = [r for r in self.roots if os.path.isdir(r)]
-        seen = {os.path.realpath(r) for r in level}
-        while level and len(done) + len(level) < self.tasks:
-            below = []
-            for folder in level:
-                done.append(_Folder(folder, deep=False))
-                below += self._folders(folder, seen)
-            level = below
-        return done + [_Folder(f, deep=True) for f in level]
-
-    def _folders(self, folder: str, seen: set[str]) -> list[str]:
-        try:
-            with os.scandir(folder) as entries:
-                found = [e.path for e in entries if e.is_dir(follow_symlinks=self.follow)]
-        except OSError:
-            return []
-        if not self.follow:
-            return found
-        new = [f for f in found if os.path.realpath(f) not in seen]
-        seen.update(os.path.realpath(f) for f in new)
-        return new
-
-    def read(self, partition: _Folder | None) -> Iterator[tuple]:
-        if partition is None:  # no root exists
+def _listed(folder: str, above: list[str], follow: bool, wanted) -> Iterator[tuple]:
+    """Files and folders in a folder. One that it lies in itself, by a link, is not listed again;
+    a folder that can not be read, or is none, has no rows."""
+    try:
+        st = os.stat(folder)
+        identity = f"{st.st_dev}:{st.st_ino}"
+        if identity in above:
             return
-        patterns = [re.compile(p, re.DOTALL) for p in self.excludes]
-        pending, seen = [partition.path], {os.path.realpath(partition.path)}
-        while pending:
-            folder = pending.pop()
-            if partition.deep:
-                pending += self._folders(folder, seen)
-            try:
-                with os.scandir(folder) as entries:
-                    # A symlink to a folder is not a file, whether or not it is followed.
-                    names = [e.name for e in entries if not e.is_dir()]
-            except OSError:
-                continue
-            for name in names:
-                path = os.path.join(folder, name)
-                if self.exts is not None and _suffix(name) not in self.exts:
-                    continue
-                if any(p.fullmatch(path) for p in patterns):
-                    continue
-                yield (path, *_stat(path)) if self.stat else (path, None, None)
-
-
-class InventorySource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
-
-    def schema(self):
-        return INVENTORY
-
-    def reader(self, schema) -> InventoryReader:
-        return InventoryReader(self.options)
+        with os.scandir(folder) as entries:
+            for e in entries:
+                # a link to a folder is not a file, whether or not it is followed
+                if e.is_dir():
+                    if follow or e.is_dir(follow_symlinks=False):
+                        yield e.path, True, [*above, identity]
+                elif wanted(e.path, e.name):
+                    yield e.path, False, None
+    except OSError:
+        return
 
 
 def read_inventory(
@@ -130,22 +71,36 @@ def read_inventory(
 ) -> DataFrame:
     """Files with a registered extension below the roots, each path once.
 
-    Extension and exclusion are tested before a file is stat-ed.
+    Extension and exclusion are tested before a file is stat-ed. With ``follow_symlinks`` a
+    linked folder is walked under its link's name, too; only a folder inside itself is cut off,
+    so what is found does not depend on the order of the walk. A root that does not exist has
+    no files. There are as many rounds as levels of folders.
     """
-    spark.dataSource.register(InventorySource)
-    names = (
-        spark.read.format(FORMAT)
-        .option("roots", json.dumps(roots))
-        .option("extensions", json.dumps(extensions() if exts is None else exts))
-        .option("exclude", json.dumps(exclude or []))
-        .option("followSymlinks", str(follow_symlinks).lower())
-        .option("tasks", str(tasks or 4 * spark.sparkContext.defaultParallelism))
-        .option("stat", "false")
-        .load()
-        .select("path")
-        .distinct()
-    )
-    return restat(names)
+    suffixes = set(extensions() if exts is None else exts) or None
+    globs = [glob_regex(g) for g in exclude or []]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = [re.compile(p, re.DOTALL) for p in globs]
+        wanted = lambda path, name: (suffixes is None or _suffix(name) in suffixes) and not any(p.fullmatch(path) for p in patterns)
+        rows: list[tuple] = []
+        for batch in batches:
+            for folder, above in zip(batch["path"], batch["above"]):
+                for row in _listed(folder, list(above), follow_symlinks, wanted):
+                    rows.append(row)
+                    if len(rows) == CHUNK:
+                        yield pd.DataFrame(rows, columns=["path", "folder", "above"])
+                        rows = []
+        yield pd.DataFrame(rows, columns=["path", "folder", "above"]).astype({"folder": bool})
+
+    level = spark.createDataFrame([(r, True, []) for r in dict.fromkeys(roots)], _LEVEL)
+    many = tasks or 4 * spark.sparkContext.defaultParallelism
+    names = spark.createDataFrame([], "path string")
+    while True:
+        found = stage(level.repartition(many, "path").mapInPandas(run, _LEVEL), "walk")
+        names = names.unionByName(found.where("NOT folder").select("path"))
+        level = found.where("folder")
+        if level.isEmpty():
+            return restat(names.distinct())
 
 
 def restat(paths: DataFrame, mtime: str = "mtime", size: str = "size") -> DataFrame:

@@ -6,7 +6,7 @@ nothing is overwritten while it may be read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,12 +102,30 @@ def export_catalog(catalog: DataFrame, folder: str) -> None:
 
 
 def read_portable(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
-    """Portable records with ``ordinal``, their order in the input.
+    """Portable records with ``ordinal``, their order in the input from 0: by name of the file,
+    then as they stand in it, however many tasks read it.
 
-    JSON lines split across tasks; ``array`` reads files that hold one JSON array each.
+    JSON lines split across tasks; ``array`` reads files that hold one JSON array each. Rows are
+    written down with the place of the block they come from; of the blocks, of which there are
+    few, the numbers of rows are summed up, and a row's number is that of its block and its own.
     """
     rows = spark.read.schema(PORTABLE_RECORD).option("multiLine", str(array).lower()).json(path)
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    rows = rows.select(
+        *PORTABLE_RECORD.fieldNames(),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    placed = stage(rows, "portable")
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    files = blocks.groupBy("_file").agg(F.sum("_rows").alias("_all"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_file", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.col("_before") + F.coalesce(F.sum("_rows").over(inside), F.lit(0)) - F.col("_first")
+    shifts = blocks.join(files, "_file").select("_file", "_block", shift.alias("_shift"))
+    numbered = placed.join(shifts, ["_file", "_block"])
+    return numbered.select(*PORTABLE_RECORD.fieldNames(), (F.col("_at") + F.col("_shift")).alias("ordinal"))
 
 
 def typed_times(records: DataFrame) -> DataFrame:

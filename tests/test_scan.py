@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from datetime import datetime, timedelta, timezone
 
@@ -346,3 +347,50 @@ def test_payload_reader(spark, library):
     inventory = read_inventory(spark, [str(library)], [], False)
     every = {os.path.basename(r.path): r for r in read_payloads(spark, str(library), inventory).collect()}
     assert len(every) == inventory.count() and bytes(every["empty.png"].content) == b""
+
+
+@pytest.mark.parametrize("tasks", [1, 2, 3, 100])
+def test_links_are_walked_whatever_the_number_of_tasks(spark, tmp_path, tasks):
+    """A link above its target, two links to one folder, and links that lead upwards."""
+    root = tmp_path / "lib"
+    (root / "z" / "deep" / "deeper").mkdir(parents=True)
+    (root / "z" / "deep" / "deeper" / "x.jpg").write_bytes(files.jpeg())
+    os.symlink(root / "z" / "deep", root / "a")
+    os.symlink(root / "z" / "deep", root / "b")
+    os.symlink(root, root / "z" / "up")
+    os.symlink(root / "z", root / "z" / "deep" / "back")
+    found = read_inventory(spark, [str(root)], follow_symlinks=True, tasks=tasks).collect()
+    got = sorted(os.path.relpath(r.path, root) for r in found)
+    # by every way that does not enter a folder it is already in
+    assert got == sorted(
+        ["z/deep/deeper/x.jpg", "a/deeper/x.jpg", "b/deeper/x.jpg"]
+    )
+    plain = read_inventory(spark, [str(root)], tasks=tasks).collect()
+    assert [os.path.relpath(r.path, root) for r in plain] == ["z/deep/deeper/x.jpg"]
+
+
+@pytest.mark.parametrize("array", [False, True])
+def test_records_keep_their_order_over_many_files(spark, tmp_path, array):
+    """Small and large files; the smallest comes first, and lines are read in many blocks."""
+    n = 0
+    for name, size in (("part-0", 3), ("part-1", 4000), ("part-2", 1), ("part-3", 900)):
+        records = [{"path": f"/p{n + i}", "status": "ok"} for i in range(size)]
+        text = json.dumps(records) if array else "\n".join(map(json.dumps, records))
+        (tmp_path / f"{name}.json").write_text(text)
+        n += size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+    try:
+        rows = read_portable(spark, str(tmp_path), array).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.ordinal, r.path) for r in rows) == [(i, f"/p{i}") for i in range(n)]
+
+
+def test_first_and_last_record_of_many_files_win(spark, tmp_path):
+    for name, status in (("part-0", "ok"), ("part-1", "corrupt"), ("part-2", "unreadable")):
+        (tmp_path / f"{name}.json").write_text("\n".join(json.dumps({"path": "/a", "status": status}) for _ in range(5)))
+    records = read_portable(spark, str(tmp_path))
+    files_there = spark.createDataFrame([("/a",)], "path string")
+    win = lambda force: apply_import(records.drop("ordinal").limit(0), records, files_there, force=force).collect()[0].status
+    assert (win(False), win(True)) == ("ok", "unreadable")
