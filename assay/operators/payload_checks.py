@@ -149,9 +149,47 @@ MARKS: dict[str, list[tuple[bytes, str, str]]] = {
 # Kinds that rules over the whole content decide.
 RULED = ("pdf",)
 
+# Segments of a JPEG before its picture data, at most: profiles are cut into 255 of them.
+SEGMENTS = 1000
+# Walks the segments of a JPEG: the place of its first scan, 0 where the chain is broken, and
+# below 0 if there is none. What an embedded thumbnail holds is passed over.
+_SCAN = f"""-aggregate(sequence(1, {SEGMENTS}), 3L, (at, i) -> CASE
+  WHEN at <= 0 THEN at
+  WHEN substring(whole, at, 2) = X'ffda' THEN -at
+  WHEN substring(whole, at, 2) = X'ffff' THEN at + 1
+  WHEN substring(whole, at, 1) = X'ff' AND length(substring(whole, at, 4)) = 4 AND substring(whole, at + 1, 1) NOT IN (X'00', X'd9')
+  THEN at + 2 + cast(conv(hex(substring(whole, at + 2, 2)), 16, 10) AS bigint)
+  ELSE 0L END)"""
+_TEXT = "decode(whole, 'ISO-8859-1')"
+_XREF = f"substring_index({_TEXT}, 'startxref', -1)"
+_XREF_AT = f"try_cast(regexp_extract({_XREF}, r'^\\s*([0-9]+)', 1) AS bigint)"
+# What comes behind the marks: a picture's end behind its own scan, and in a PDF, which grows by
+# appended revisions, the last one's table and end.
+STRUCTURE: dict[str, list[Rule]] = {
+    "jpeg": [
+        (f"{_SCAN} = 0", "bad_structure", "broken segment chain"),
+        (f"{_SCAN} < 0", "bad_structure", "no scan data"),
+        (f"NOT contains(substring(whole, {_SCAN}), X'ffd9')", "truncated", "end-of-image marker missing"),
+    ],
+    "pdf": [
+        (f"NOT contains({_XREF}, '%%EOF')", "truncated", "EOF marker not found"),
+        (
+            f"coalesce({_XREF_AT} NOT BETWEEN 1 AND length - 1, true)"
+            f" OR NOT rlike(substring({_TEXT}, {_XREF_AT} + 1, 64), r'^\\s*(xref|[0-9]+\\s+[0-9]+\\s+obj)')",
+            "bad_structure",
+            "startxref leads to no table",
+        ),
+        (
+            f"rlike(substring_index({_TEXT}, '%%EOF', -1), r'[0-9]+ +[0-9]+ +obj')",
+            "truncated",
+            "a revision behind the last EOF marker is cut off",
+        ),
+    ],
+}
+
 WHOLE_RULES: dict[str, list[Rule]] = {
     **{
-        kind: [(f"NOT contains(whole, {_x(mark)})", reason, text) for mark, reason, text in marks]
+        kind: [(f"NOT contains(whole, {_x(mark)})", reason, text) for mark, reason, text in marks] + STRUCTURE.get(kind, [])
         for kind, marks in MARKS.items()
     },
     "ole": [

@@ -134,6 +134,10 @@ EXTS = (
 )
 
 
+# A frame header and the header of a scan; picture data follows.
+JPEG_HEAD = b"\xff\xd8\xff\xc0\x00\x0b\x08\x00\x01\x00\x01\x01\x01\x11\x00\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00"
+
+
 def payloads(docs: DataFrame) -> DataFrame:
     """``(doc_id, path, content)``: the text inside a container of each format.
 
@@ -147,7 +151,7 @@ def payloads(docs: DataFrame) -> DataFrame:
     declared = le("n + CASE WHEN damage = 1 THEN 104 ELSE 4 END")
     pad16, pad2k = x(bytes(16)), "unhex(repeat('00', 2048))"
     parts = {
-        ".jpg": [x(b"\xff\xd8\xff\xe0"), "body", unless_cut("X'ffd9'")],
+        ".jpg": [x(JPEG_HEAD), "body", unless_cut("X'ffd9'")],
         ".PNG": [x(b"\x89PNG\r\n\x1a\n"), "body", unless_cut(x(b"\0\0\0\0IEND\xaeB`\x82"))],
         ".tif": [x(b"II*\0"), first_dir, "body", pad16],
         ".heic": [
@@ -157,16 +161,17 @@ def payloads(docs: DataFrame) -> DataFrame:
         ".webp": [x(b"RIFF"), declared, x(b"WEBP"), "body"],
         ".cr2": [x(b"II*\0"), first_dir, x(b"CR"), "body", pad16],
         ".dng": [f"CASE WHEN damage = 4 THEN {x(b'II+' + bytes(1))} ELSE {x(b'II*' + bytes(1))} END", first_dir, "body", pad16],
-        ".pdf": [x(b"%PDF-1.4\n"), "body", unless_cut(x(b"\nstartxref\n9\n%%EOF\n"))],
+        ".pdf": [x(b"%PDF-1.4\nxref\n"), "body", unless_cut(x(b"\nstartxref\n9\n%%EOF\n"))],
         ".docx": [x(b"PK\x03\x04"), "body", unless_cut(x(b"PK\x05\x06" + bytes(18)))],
         ".doc": [
             x(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), "body", unless_cut(x("WordDocument".encode("utf-16-le"))), pad2k,
         ],
-        ".mp4": [x(b"\0\0\0\x18ftypisom"), "body", unless_cut(x(b"moov"))],
+        ".mp4": [x(b"\0\0\0\x18ftypisom" + bytes(12)), "mdat", "body", unless_cut(x(b"\0\0\0\x08moov"))],
         ".mkv": [x(b"\x1aE\xdf\xa3"), "body"],
         ".mp3": [x(b"ID3"), "body"],
         ".wav": [x(b"RIFF"), declared, x(b"WAVE"), "body"],
     }
+    parts[".mp4"][1] = f"unhex(lpad(hex(n + 8), 8, '0')), {x(b'mdat')}"
     forms = " ".join(f"WHEN {i} THEN concat({', '.join(parts[e])})" for i, e in enumerate(EXTS) if e in parts)
     exts = ", ".join(f"'{e}'" for e in EXTS)
     return (
@@ -231,6 +236,41 @@ def payload_verdicts(spark, sf):
     return flat(check_content(payloads(table(spark, sf, "documents"))).select("path", "verdict"))
 
 
+# A picture with a thumbnail, and a PDF of two revisions, by doc_id % 2; damage by
+# (doc_id // 2) % 4: none, cut in the last part, bytes behind the end, cut before that part.
+_THUMB = b"Exif\0\0" + JPEG_HEAD + b"tiny" + b"\xff\xd9"
+
+
+@query(f"""WITH p AS (SELECT doc_id, doc_id % 2 AS form, (doc_id // 2) % 4 AS damage FROM documents),
+e AS (SELECT '/r/d' || doc_id || CASE form WHEN 0 THEN '.jpg' ELSE '.pdf' END AS path, CASE
+   WHEN form = 0 AND damage = 1 THEN 'end-of-image marker missing'
+   WHEN form = 0 AND damage = 3 THEN 'broken segment chain'
+   WHEN form = 1 AND damage = 1 THEN 'a revision behind the last EOF marker is cut off'
+   WHEN form = 1 AND damage = 3 THEN 'startxref leads to no table' END AS error FROM p)
+SELECT path, CASE WHEN error IS NULL THEN 'ok' ELSE 'corrupt' END AS status, error,
+       CASE WHEN error IS NOT NULL THEN {RESTORE} END AS suggested_action FROM e""")
+def revision_verdicts(spark, sf):
+    """Damage behind an end mark that belongs to a part of the payload only."""
+    x = lambda b: f"X'{b.hex()}'"
+    front = JPEG_HEAD[:2] + b"\xff\xe1" + struct.pack(">H", len(_THUMB) + 2) + _THUMB
+    jpeg = f"""concat({x(front)}, CASE WHEN damage = 3 THEN X'' ELSE {x(JPEG_HEAD[2:])} END,
+        CASE damage WHEN 3 THEN X'' WHEN 1 THEN substring(body, 1, n div 2) ELSE body END,
+        CASE WHEN damage IN (1, 3) THEN X'' ELSE X'ffd9' END, CASE WHEN damage = 2 THEN unhex(repeat('0a', 500)) ELSE X'' END)"""
+    # the first revision's table is at 9; the second one's behind it and an object with the text
+    first = b"%PDF-1.4\nxref\ntrailer\nstartxref\n9\n%%EOF\n"
+    second = f"concat({x(first)}, {x(b'7 0 obj ')}, body, {x(b' endobj ')})"
+    end = f"concat({x(b'xref startxref ')}, encode(cast({len(first) + 16} + n + CASE WHEN damage = 3 THEN 10 ELSE 0 END AS string), 'UTF-8'), {x(b' %%EOF ')})"
+    pdf = f"concat({second}, CASE WHEN damage = 1 THEN X'' ELSE {end} END, CASE WHEN damage = 2 THEN unhex(repeat('0a', 500)) ELSE X'' END)"
+    docs = table(spark, sf, "documents").selectExpr(
+        "doc_id", "encode(text, 'UTF-8') AS body", "octet_length(text) AS n", "doc_id % 2 AS form", "doc_id div 2 % 4 AS damage"
+    )
+    rows = docs.selectExpr(
+        "concat('/r/d', doc_id, CASE form WHEN 0 THEN '.jpg' ELSE '.pdf' END) AS path",
+        f"CASE form WHEN 0 THEN {jpeg} ELSE {pdf} END AS content",
+    )
+    return flat(check_content(rows).select("path", "verdict"))
+
+
 def packages(docs: DataFrame) -> DataFrame:
     """``(path, content)``: each text as an office package; damage by doc_id % 6."""
 
@@ -300,9 +340,9 @@ def write_library(docs: DataFrame, folder: str) -> DataFrame:
         head, tail = {
             ".heic": (b"\0\0\0\x18ftypheic" + bytes(12), b""),
             ".cr2": (b"II*\0" + struct.pack("<I", size + 8), bytes(16)),
-            ".pdf": (b"%PDF-1.4\n", b"\nstartxref\n9\n%%EOF\n"),
+            ".pdf": (b"%PDF-1.4\nxref\n", b"\nstartxref\n9\n%%EOF\n"),
             ".doc": (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", bytes(2048) + "WordDocument".encode("utf-16-le")),
-            ".mp4": (b"\0\0\0\x18ftypisom" + bytes(12), b"moov"),
+            ".mp4": (b"\0\0\0\x18ftypisom" + bytes(12) + struct.pack(">I4s", len(body) + 8, b"mdat"), b"\0\0\0\x08moov"),
             ".mp3": (b"ID3", b""),
             ".txt": (b"", b""),
         }[ext]

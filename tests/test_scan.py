@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import struct
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -394,3 +396,80 @@ def test_first_and_last_record_of_many_files_win(spark, tmp_path):
     files_there = spark.createDataFrame([("/a",)], "path string")
     win = lambda force: apply_import(records.drop("ordinal").limit(0), records, files_there, force=force).collect()[0].status
     assert (win(False), win(True)) == ("ok", "unreadable")
+
+
+def camera_jpeg(restarts=b"") -> bytes:
+    """With a thumbnail in front, as cameras write them."""
+    plain = files.jpeg()
+    thumb = b"Exif\0\0" + plain
+    return plain[:2] + b"\xff\xe1" + (len(thumb) + 2).to_bytes(2, "big") + thumb + plain[2:-5] + b"\x01" * 500 + restarts + b"\xff\xd9"
+
+
+def two_revisions() -> bytes:
+    first = files.pdf()
+    update = b"2 0 obj<</Length 3>>endobj\n"
+    at = len(first) + len(update)
+    return first + update + b"xref\n0 1\ntrailer<</Prev 40>>\nstartxref\n%d\n%%%%EOF\n" % at
+
+
+def big_tiff(strip: int = 3) -> bytes:
+    entry = lambda tag, n, v: struct.pack("<HHQQ", tag, 16, n, v)
+    entries = entry(256, 1, 1) + entry(273, 1, 90) + entry(279, 1, strip)
+    return b"II+\0\x08\0\0\0" + struct.pack("<QQ", 16, 3) + entries + bytes(8) + bytes(20)
+
+
+STRUCTURED = {
+    "sound.jpg": (camera_jpeg(), "ok"),
+    "behind.jpg": (camera_jpeg() + b"\n" * 70_000, "ok"),
+    "cut.jpg": (camera_jpeg()[:-100], "corrupt"),
+    "front.jpg": (camera_jpeg()[:120], "corrupt"),
+    "turns.jpg": (camera_jpeg(b"\xff\xd0ab\xff\xd1cd"), "ok"),
+    "sound.pdf": (two_revisions(), "ok"),
+    "behind.pdf": (two_revisions() + b"\n" * 70_000, "ok"),
+    "cut.pdf": (two_revisions()[:-60], "corrupt"),
+    "nowhere.pdf": (two_revisions().replace(b"startxref\n40", b"startxref\n4").replace(b"%d" % (len(files.pdf()) + 27), b"99999"), "corrupt"),
+    "big.tif": (big_tiff(), "ok"),
+    "bigcut.tif": (big_tiff(3000), "corrupt"),
+}
+
+
+def test_damage_behind_a_part_that_is_whole(spark, tmp_path):
+    """An end mark of a thumbnail or of an earlier revision does not stand for the whole."""
+    rows = []
+    for name, (content, _) in STRUCTURED.items():
+        (tmp_path / name).write_bytes(content)
+        st = os.stat(tmp_path / name)
+        rows.append((str(tmp_path / name), st.st_mtime, st.st_size))
+    want = {n: w for n, (_, w) in STRUCTURED.items()}
+    status = lambda df: {n: v.status for n, v in _verdicts(df).items()}
+    assert status(validate_files(spark.createDataFrame(rows, "path string, mtime double, size long"))) == want
+    df = spark.createDataFrame([(n, bytearray(c)) for n, (c, _) in STRUCTURED.items()], "path string, content binary")
+    assert status(validate_content(df)) == want
+    assert status(check_content(df.where("path NOT LIKE '%.tif'"))) == {n: w for n, w in want.items() if not n.endswith(".tif")}
+    # what only a walk through the data sees
+    df = spark.createDataFrame([("/x.jpg", bytearray(camera_jpeg(b"\xff\xd0ab\xff\xd3cd")))], "path string, content binary")
+    assert _verdicts(validate_content(df))["x.jpg"].error == "restart markers out of turn"
+    movie = files.mp4() + b"\0\0\1\0mdat" + b"x" * 20
+    df = spark.createDataFrame([("/x.mp4", bytearray(movie))], "path string, content binary")
+    assert _verdicts(validate_content(df))["x.mp4"].error == "declared length exceeds the file"
+
+
+def test_a_check_that_takes_too_long_is_ended(spark):
+    before = registered()["webp"] if "webp" in registered() else None
+
+    @deep_check("webp")
+    def slow(f, ext):
+        import time
+
+        if b"slow" in f.read():
+            time.sleep(60)
+
+    try:
+        rows = [("/x/a.webp", bytearray(files.webp() + b"slow")), ("/x/b.webp", bytearray(files.webp()))]
+        began = time.monotonic()
+        got = _verdicts(validate_content(spark.createDataFrame(rows, "path string, content binary").coalesce(1), timeout_s=0.5))
+        assert time.monotonic() - began < 30
+        assert (got["a.webp"].status, got["a.webp"].error) == ("error", "validation timed out after 0.5s")
+        assert got["b.webp"].status == "ok"
+    finally:
+        deep_check("webp")(before or (lambda f, ext: None))
