@@ -259,7 +259,7 @@ def revision_verdicts(spark, sf):
     # the first revision's table is at 9; the second one's behind it and an object with the text
     first = b"%PDF-1.4\nxref\ntrailer\nstartxref\n9\n%%EOF\n"
     second = f"concat({x(first)}, {x(b'7 0 obj ')}, body, {x(b' endobj ')})"
-    end = f"concat({x(b'xref startxref ')}, encode(cast({len(first) + 16} + n + CASE WHEN damage = 3 THEN 10 ELSE 0 END AS string), 'UTF-8'), {x(b' %%EOF ')})"
+    end = f"concat({x(b'xref startxref ')}, encode(cast({len(first) + 16} + n + CASE WHEN damage = 3 THEN 6 ELSE 0 END AS string), 'UTF-8'), {x(b' %%EOF ')})"
     pdf = f"concat({second}, CASE WHEN damage = 1 THEN X'' ELSE {end} END, CASE WHEN damage = 2 THEN unhex(repeat('0a', 500)) ELSE X'' END)"
     docs = table(spark, sf, "documents").selectExpr(
         "doc_id", "encode(text, 'UTF-8') AS body", "octet_length(text) AS n", "doc_id % 2 AS form", "doc_id div 2 % 4 AS damage"
