@@ -79,9 +79,14 @@ def counted(rows: DataFrame, splitters: list[Splitter], depth: int, shift: int)
     )
     below = Window.partitionBy("at").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(below), F.lit(0)) for c in ("bytes", "rows")})
-    inside = values(spark, ["of", "nth", "target"], [(number[*s.fixed, s.prefix], s.nth, s.target - s.bytes) for s in splitters])
-    holds = (F.col("bytes_below") <= F.col("target")) & (F.col("target") < F.col("bytes_below") + F.col("bytes"))
-    return bins.join(inside, (F.col("at") == F.col("of")) & holds).drop("at", "of", "target").collect()
+    here = F.struct("bin", "bytes", "rows", "low", "high", "bytes_below", "rows_below")
+    edges = bins.select("at", F.col("bytes_below").alias("place"), F.lit(None).cast("long").alias("nth"), here.alias("here"))
+    sought = values(spark, ["at", "place", "nth"], [(number[*s.fixed, s.prefix], s.target - s.bytes, s.nth) for s in splitters])
+    both = edges.unionByName(sought.withColumn("here", F.lit(None).cast(edges.schema["here"].dataType)))
+    # the last bin that begins at a target or before holds it
+    upto = Window.partitionBy("at").orderBy("place", F.asc_nulls_first("nth")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("here", F.last("here", ignorenulls=True).over(upto))
+    return both.where("nth IS NOT NULL").select("nth", "here.*").collect()
 
 
 def splitters(rows: DataFrame, shards: int, parts: int, tolerance: float, total: int) -> list[Splitter]:
