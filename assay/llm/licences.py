@@ -5,9 +5,13 @@ regression over families and an unknown class has few weights that are not zero.
 here, on the templates with words dropped, put in and set between corpus words, and on a
 bounded sample of corpus paragraphs as the unknown class. A temperature fitted on a fifth of
 the training rows calibrates the probabilities. A predicted family is confirmed when one of its
-templates has at least ``SIMILAR`` of its five-word shingles in the paragraph.
+templates has at least ``SIMILAR`` of its five-word shingles in the paragraph; of a shorter
+template, which has no shingle, it has to be the whole word sequence.
 
-A paragraph is a line of the text.
+A paragraph is a line of the text. Notices are often wrapped, so neighbouring lines without a
+blank line between them are a paragraph, too, where they hold three-word sequences of the
+templates: from the first of them to the last. It stands for its lines if a template confirms
+it and none of them alone.
 """
 
 from __future__ import annotations
@@ -85,6 +89,7 @@ TEMPLATES = {
         "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.",
     ),
     "proprietary": (
+        "All rights reserved.",
         "All rights reserved. No part of this work may be reproduced without prior written permission.",
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ),
@@ -111,6 +116,7 @@ class Sequences:
     """Word sequences of the paragraphs of a batch: hash, paragraph and how many each has."""
 
     def __init__(self, lists: list[list[bytes]], words: Words):
+        self.three = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         one = words.of([w for some in lists for w in some])
         where = np.repeat(np.arange(len(lists)), self.sizes)
@@ -123,6 +129,8 @@ class Sequences:
             inside = where[: len(last)] == where[n - 1 :]
             hashes.append(last[inside])
             at.append(where[: len(last)][inside])
+            if n == 3:
+                self.three = hashes[-1], at[-1]
         self.hashes, self.at = np.concatenate(hashes), np.concatenate(at)
         self.total = np.maximum(3 * self.sizes - 3, self.sizes).astype(np.float64)
 
@@ -158,6 +166,8 @@ class Model:
     bias: np.ndarray
     temperature: float
     templates: dict[str, list[set[bytes]]]
+    threes: set[bytes]
+    three_hashes: np.ndarray
 
     def probabilities(self, found: Sequences) -> np.ndarray:
         there, at = columns_of(found.hashes, self.known)
@@ -232,7 +242,11 @@ def train(negatives: list[list[bytes]]) -> Model:
     logits = x[apart] @ weights + bias
     trials = np.geomspace(0.25, 4, 33)
     loss = [-np.log(softmax(logits / t)[np.arange(len(logits)), label[apart]] + 1e-12).mean() for t in trials]
-    return Model(families, known, weights, bias, float(trials[int(np.argmin(loss))]), templates)
+    every = [t for f in families for t in plain[f]]
+    threes = {b" ".join(t[i : i + 3]) for t in every for i in range(len(t) - 2)}
+    three_hashes = np.unique(Sequences(every, words).three[0])
+    temperature = float(trials[int(np.argmin(loss))])
+    return Model(families, known, weights, bias, temperature, templates, threes, three_hashes)
 
 
 def regression(x: np.ndarray, label: np.ndarray, classes: int, rounds: int = 300, l1: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
@@ -264,13 +278,45 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     return train([paragraphs(r["line"])[0] for r in some])
 
 
-def scanned(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, paragraph, family, probability, similarity, confirmed)`` of every paragraph that
-    is more probably a notice of a family than anything else; paragraphs count from 0.
+def wrapped(lists: list[list[bytes]], doc: list[int], hits: np.ndarray, threes: set[bytes]) -> list[tuple[int, int, list[bytes]]]:
+    """``(first, last, words)`` of neighbouring lines around ``hits`` that can be a notice in
+    several lines: the lines that its words come from, and the words."""
+    runs: list[list[int]] = []
+    for h in hits.tolist():
+        near = lambda i: 0 <= i < len(lists) and doc[i] == doc[h] and bool(lists[i])
+        low, high = h - near(h - 1), h + near(h + 1)
+        if runs and low <= runs[-1][1] and doc[runs[-1][1]] == doc[h]:
+            runs[-1][1] = high
+        else:
+            runs.append([low, high])
+    out = []
+    for low, high in runs:
+        words = [(w, i) for i in range(low, high + 1) for w in lists[i]]
+        plain = [w for w, _ in words]
+        there = [k for k in range(len(plain) - 2) if b" ".join(plain[k : k + 3]) in threes]
+        if there and words[there[0]][1] < words[there[-1] + 2][1]:
+            out.append((words[there[0]][1], words[there[-1] + 2][1], plain[there[0] : there[-1] + 3]))
+    return out
 
-    Null and empty texts have none. Repeated rows are repeated.
+
+def scanned(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, paragraph, lines, family, probability, similarity, confirmed)`` of every paragraph
+    that is more probably a notice of a family than anything else. ``paragraph`` is its first
+    line from 0, ``lines`` their number; several lines are reported if a template confirms them,
+    and then stand for what single ones of them would be.
+
+    Null and empty texts have none. Whole texts of any length are read; very long lines are
+    paragraphs like others. Of families that are equally probable the first by name is taken.
+    Repeated rows are repeated, and an empty table gives an empty table.
     """
 
+    def judged(lists: list[list[bytes]], sequences: Sequences) -> Iterator[tuple[int, str, float, float]]:
+        p = model.probabilities(sequences)
+        best = p.argmax(axis=1)
+        for h in np.flatnonzero(best < len(model.families)).tolist():
+            family = model.families[best[h]]
+            yield h, family, float(p[h, best[h]]), model.similarity(family, lists[h])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in slices(batches, "text", 1_000_000):
@@ -280,24 +326,31 @@ def scanned(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 lists += own
                 doc += [i] * len(own)
                 nth += range(len(own))
-            p = model.probabilities(Sequences(lists, words))
-            best = p.argmax(axis=1)
-            hits = np.flatnonzero(best < len(model.families))
-            family = [model.families[best[h]] for h in hits]
-            similar = [model.similarity(f, lists[h]) for f, h in zip(family, hits)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key").take(pa.array([doc[h] for h in hits], pa.int64())),
-                    pa.array([nth[h] for h in hits], pa.int64()),
-                    pa.array(family, pa.string()),
-                    pa.array(p[hits, best[hits]], pa.float64()),
-                    pa.array(similar, pa.float64()),
-                    pa.array([s >= SIMILAR for s in similar], pa.bool_()),
-                ],
-                ["key", "paragraph", "family", "probability", "similarity", "confirmed"],
-            )
+            sequences = Sequences(lists, words)
+            found = {}  # by first line: number of lines, family, probability, similarity
+            for h, family, p, similar in judged(lists, sequences):
+                found[h] = (1, family, p, similar)
+            there, _ = columns_of(sequences.three[0], model.three_hashes)
+            runs = wrapped(lists, doc, np.unique(sequences.three[1][there]), model.threes)
+            joined = [r[2] for r in runs]
+            for k, family, p, similar in judged(joined, Sequences(joined, words)) if joined else ():
+                low, high, _ = runs[k]
+                sure = any(found[i][1] == family and found[i][3] >= SIMILAR for i in range(low, high + 1) if i in found)
+                if similar >= SIMILAR and not sure:
+                    for i in range(low, high + 1):
+                        if i in found and found[i][3] < SIMILAR:
+                            del found[i]
+                    # a sure line of another family keeps its place; the run is put at the next
+                    at = next(i for i in range(low, high + 2) if i not in found)
+                    found[at] = (high - low + 1, family, p, similar)
+            rows = [(doc[h], nth[h], *found[h], found[h][3] >= SIMILAR) for h in sorted(found) if h < len(doc)]
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            arrays[0] = batch.column("key").take(arrays[0])
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "paragraph", "lines", "family", "probability", "similarity", "confirmed"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(
-        run, "key long, paragraph long, family string, probability double, similarity double, confirmed boolean"
+        run, "key long, paragraph long, lines long, family string, probability double, similarity double, confirmed boolean"
     )

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assay.llm import language, sharding, simhash, spelling, whitening
+from assay.llm import language, licences, sharding, simhash, spelling, whitening
 
 DOCS = "doc_id long, text string, size string, row int, shard double, word string, n string, id int"
 
@@ -223,3 +223,40 @@ def test_workers_without_the_package(tmp_path):
     script.write_text(SCRIPT.format(repo=repo, folder=str(tmp_path / "shards")))
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "all there" in done.stdout, done.stderr[-3000:]
+
+
+# licences
+
+
+def folded(text: str, width: int, mark: str = "") -> str:
+    lines, line = [], ""
+    for word in text.split():
+        if line and len(line) + len(word) >= width:
+            lines.append(mark + line)
+            line = ""
+        line = f"{line} {word}".strip()
+    return "\n".join([*lines, mark + line])
+
+
+def test_short_and_wrapped_notices(spark):
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join("".join(rng.choice(list("aeiourst"), 5)) for _ in range(n))
+    rows, expected = [], []
+    for family, templates in licences.TEMPLATES.items():
+        for template in templates:
+            for width, mark in ((40, "# "), (60, " * "), (72, "")):
+                key = len(rows)
+                rows.append((key, f"{prose(30)}\n\n{folded(template, width, mark)}\n\n{prose(40)}"))
+                expected.append((key, family))
+    rows.append((9000, f"{prose(20)}\nAll rights reserved.\n{prose(20)}"))
+    rows.append((9001, f"{prose(20)} rights\nreserved {prose(5)}\nall the rights of the members\nreserved seats"))
+    rows.append((9002, None))
+    long = max(licences.TEMPLATES["mit"], key=len)
+    rows.append((9003, f"{prose(4000)}\n{folded(long, 50)} {prose(3000)}\n{prose(2000)}"))  # between long lines
+    expected += [(9000, "proprietary"), (9003, "mit")]
+    docs = documents(spark, rows)
+    found = licences.scanned(docs, licences.fit(docs.limit(0))).where("confirmed").collect()
+    assert {(r.key, r.family) for r in found} >= set(expected)
+    assert not {r.key for r in found} & {9001, 9002}
+    wide = [r for r in found if r.key == 9003]
+    assert [(r.paragraph, r.lines > 1) for r in wide] == [(1, True)]
