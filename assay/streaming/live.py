@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from assay.streaming.sinks import drain
+from assay.streaming.state_table import add_delta, compact, read_rows
 
 
 def counts(log: DataFrame) -> DataFrame:
-    """Verdicts per scan and status; partial counts are combined before the shuffle, and the
-    state holds a row per scan and status."""
+    """Verdicts per scan and status; partial counts are combined before the shuffle."""
     return log.groupBy("scan_id", "status").agg(F.count("*").alias("cnt"))
 
 
-def publish_counts(log: DataFrame, folder: str, checkpoint: str):
-    """Each batch publishes the counts so far as a snapshot version."""
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("scan_id", "status").agg(F.sum("cnt").alias("cnt"))
+
+
+def publish_counts(log: DataFrame, folder: str, checkpoint: str, compact_every: int = 20):
+    """Each batch adds its own counts, in a folder that it rewrites if it is run again; now and
+    then they are summed up. A batch neither reads nor writes what earlier ones counted."""
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+        add_delta(counts(batch), folder, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            compact(batch.sparkSession, folder, batch_id, _summed)
+
+    return drain(log, fn, checkpoint).start()
+
 
-    return drain(counts(log), fn, checkpoint, mode="complete").start()
+def current_counts(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The counts of all batches so far; None before the first."""
+    rows = read_rows(spark, folder)
+    return None if rows is None else _summed(rows)
 
 
 class ProgressListener(StreamingQueryListener):

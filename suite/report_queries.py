@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions import text
-from assay.plans import reports
+from assay.plans import paging, reports
 from suite.adapters import AS_OF, catalog, scans, ts, with_views
 from suite.registry import query
 
@@ -137,6 +137,22 @@ def issues_page(spark, sf):
     return reports.newest_first(rows, 100, offset=40).select("path", "status", "error", "checked_at")
 
 
+@query(with_views("catalog", """
+SELECT path, status, error, checked_at FROM catalog ORDER BY checked_at DESC, path LIMIT 100 OFFSET 300"""))
+def deep_page(spark, sf):
+    """A page located by counts; the bound is low, so that all steps are taken."""
+    return paging.page(catalog(spark, sf), 100, 300, within=20).select("path", "status", "error", "checked_at")
+
+
+@query(with_views("catalog", """
+, days AS (SELECT * REPLACE (date_trunc('month', checked_at) AS checked_at) FROM catalog)
+SELECT path, status, checked_at FROM days ORDER BY checked_at DESC, path LIMIT 50 OFFSET 250"""))
+def deep_page_of_ties(spark, sf):
+    """All files have one time; the page is located by prefixes of their paths."""
+    rows = catalog(spark, sf).withColumn("checked_at", F.date_trunc("MONTH", "checked_at").cast("timestamp_ntz"))
+    return paging.page(rows, 50, 250, within=20).select("path", "status", "checked_at")
+
+
 @query(with_views("catalog", """
 SELECT path, status FROM catalog WHERE path ILIKE '%.pdf' AND path ILIKE '/lib2/u1%'"""))
 def files_any_status(spark, sf):

@@ -29,7 +29,7 @@ def _folder(spark, name: str) -> str:
 def live_counts_stream(spark, sf):
     folder = _folder(spark, "live")
     live.publish_counts(_log_stream(spark, sf), f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
-    return tables.read_snapshot(spark, f"{folder}/counts")
+    return live.current_counts(spark, f"{folder}/counts")
 
 
 @query(with_views("", f", {ALERTS} SELECT seq, scan_id, path, status, error FROM alerts"))
@@ -91,6 +91,23 @@ def catalog_json_roundtrip(spark, sf):
     return back.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("checked_at", "notified_at")})
 
 
+@query(with_views("catalog stored", "SELECT row_number() OVER (ORDER BY path) - 1 AS ordinal, path, status FROM stored"))
+def portable_order(spark, sf):
+    """Records keep their order over many files of different sizes and the blocks of each."""
+    folder = _folder(spark, "ordered")
+    rows = stored_catalog(spark, sf).repartitionByRange(7, "path").sortWithinPartitions("path")
+    tables.export_catalog(rows, folder)
+    return tables.read_portable(spark, folder).select("ordinal", "path", "status")
+
+
+@query(with_views("catalog", "SELECT path, status, error FROM catalog WHERE status = 'corrupt'"))
+def report_json(spark, sf):
+    folder = _folder(spark, "report")
+    rows = catalog(spark, sf).where("status = 'corrupt'").select("path", "status", "error")
+    tables.write_report(rows, folder, "json")
+    return spark.read.schema(rows.schema).json(folder)
+
+
 @query(with_views("catalog", "SELECT path, status, error FROM catalog WHERE status = 'corrupt'"))
 def report_csv(spark, sf):
     folder = _folder(spark, "report")

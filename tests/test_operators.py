@@ -14,7 +14,7 @@ from assay.functions import paths, text
 from assay.operators import changes, fingerprints, history, importing, notices, queue, scans, segmented, skew, table_checks, verdicts
 from assay.operators.catalog import fold, merge, reset
 from assay.operators.segmented import prefixes
-from assay.plans import alerting, reports
+from assay.plans import alerting, paging, reports
 from assay.schemas import ISSUE_STATUSES, STATUSES
 
 T0 = datetime(2024, 1, 1)
@@ -498,3 +498,15 @@ def test_moves_never_pair_up_groups(spark):
     got = {r.fingerprint: (r.state, r.vanished, r.appeared, r.from_path, r.to_path) for r in fingerprints.moves(before, after).collect()}
     assert got == {"2": ("moved", 1, 1, "/b", "/x"), "3": ("ambiguous", 2, 2, None, None), "4": ("vanished", 1, 0, None, None),
                    "5": ("appeared", 0, 1, None, None)}
+
+
+@pytest.mark.parametrize("offset", [0, 7, 120, 333, 599, 640])
+def test_pages_at_any_depth(spark, offset):
+    """Times that many files share, a missing time, repeated paths, and pages over the edges."""
+    rng = random.Random(3)
+    at = lambda: rng.choice([None, datetime(2024, 1, 1), datetime(2024, 1, 1), datetime(2024, 3, 1), datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(10**6))])
+    rows = [(f"/lib/{rng.choice('aé中')}/{rng.randrange(99)}.jpg", at()) for _ in range(600)]
+    df = spark.createDataFrame(rows, "path string, checked_at timestamp")
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or datetime(2024, 1, 1)).timestamp(), r[0].encode()))
+    got = [(r.path, r.checked_at) for r in paging.page(df, 20, offset, within=15).collect()]
+    assert got == want[offset : offset + 20]

@@ -12,6 +12,7 @@ from assay.operators.history import alerts as batch_alerts
 from assay.schemas import STATUSES
 from assay.sources.inventory import read_inventory
 from assay.streaming import alert_stream, catalog_stream, live
+from assay.streaming.state_table import add_delta
 from assay.streaming.scan_stream import check_stream, work_stream
 from test_operators import LOG, log
 
@@ -58,8 +59,15 @@ def test_streams_equal_batch(spark, tmp_path):
     listener = live.ProgressListener(lambda state, detail: seen.append(state))
     spark.streams.addListener(listener)
     counts = str(tmp_path / "counts")
-    live.publish_counts(_stream(spark, folder), counts, counts + "/cp").awaitTermination()
-    assert sum(r.cnt for r in spark.read.parquet(counts + "/v=2").collect()) == 90
+    live.publish_counts(_stream(spark, folder), counts, counts + "/cp", compact_every=2).awaitTermination()
+    total = sorted(map(tuple, live.counts(whole).collect()))
+    assert sorted(map(tuple, live.current_counts(spark, counts).collect())) == total
+    assert os.path.isdir(counts + "/snapshots/v=1")
+    # a batch that is run again changes nothing, whether it has been summed up or not
+    for batch_id in (0, 2):
+        rows = spark.read.parquet(f"{counts}/deltas/batch={batch_id}").collect()
+        add_delta(spark.createDataFrame(rows), counts, batch_id)
+    assert sorted(map(tuple, live.current_counts(spark, counts).collect())) == total
     for _ in range(50):
         if seen[-1:] == ["completed"]:
             break
