@@ -194,7 +194,10 @@ def found_factors(docs: DataFrame) -> DataFrame:
         .mapInArrow(_windows, "anchor long, segment long, window long, nth long, key long"),
         "windows",
     )
-    index = windows.groupBy("anchor", "window").agg(F.min("key").alias("smallest"))
+    # windows of one document only are settled here; the table of the others is stored, so that
+    # a passage with very many surroundings, one key of the join, can be split
+    index = windows.groupBy("anchor", "window").agg(F.min("key").alias("smallest"), F.max("key").alias("largest"))
+    index = stage(index.where("smallest < largest").drop("largest"), "shared-windows")
     shared = (
         windows.join(index, ["anchor", "window"])
         .where("smallest < key")
