@@ -355,4 +355,4 @@ def test_licences(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES) == list(range(1, 14))
-    assert set(llm.ORACLES) == {"op1_pii"}
+    assert set(llm.ORACLES) == {"op1_pii", "op12_sharding", "op13_spelling"}
