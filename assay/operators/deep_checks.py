@@ -15,6 +15,7 @@ from collections.abc import Callable
 from typing import BinaryIO
 from xml.parsers import expat
 
+from assay.operators.compound import Broken, listed
 from assay.operators.payload_checks import MARKS, OLE_STREAMS
 
 Finding = tuple[str, str] | None
@@ -277,10 +278,14 @@ def movie_boxes(f: BinaryIO, ext: str) -> Finding:
 
 @deep_check("ole")
 def office_stream(f: BinaryIO, ext: str) -> Finding:
+    """The directory can be followed and lists the stream of the format. The name in a text, or
+    of a stream inside an embedded object, does not count."""
+    try:
+        names = {name for name, _ in listed(f)}
+    except Broken as e:
+        return "bad_structure", str(e)
     stream = OLE_STREAMS.get(ext)
-    if stream is None or _contains(f, stream.encode("utf-16-le")):
-        return None
-    return "missing_part", f"Missing expected OLE stream: '{stream}'"
+    return ("missing_part", f"Missing expected OLE stream: '{stream}'") if stream and stream not in names else None
 
 
 def _overlapping(f: BinaryIO, keep: int, step: int = 1 << 20):

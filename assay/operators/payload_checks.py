@@ -192,14 +192,6 @@ WHOLE_RULES: dict[str, list[Rule]] = {
         kind: [(f"NOT contains(whole, {_x(mark)})", reason, text) for mark, reason, text in marks] + STRUCTURE.get(kind, [])
         for kind, marks in MARKS.items()
     },
-    "ole": [
-        (
-            f"ext = '{ext}' AND NOT contains(whole, {_x(stream.encode('utf-16-le'))})",
-            "missing_part",
-            f"Missing expected OLE stream: '{stream}'",
-        )
-        for ext, stream in OLE_STREAMS.items()
-    ],
     "video": [
         (
             f"ext IN ('.mp4', '.mov', '.m4v') AND NOT contains(whole, {_x(b'moov')})",
@@ -267,7 +259,8 @@ def coded(payloads: DataFrame, content: str = "content", name: str = "_code") ->
 
 
 def check_content(payloads: DataFrame, content: str = "content") -> DataFrame:
-    """``verdict`` for ``(path, content, ...)`` rows; no Python, no shuffle."""
+    """``verdict`` for ``(path, content, ...)`` rows; no Python, no shuffle. Compound files are judged by
+    their frame only: ``validate_content`` lists their streams."""
     found = F.coalesce(no_validator(), failure("_code", whole=True), F.expr(_OK))
     return coded(payloads, content).drop(content).withColumn("verdict", found).drop("_code")
 

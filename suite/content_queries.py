@@ -10,15 +10,17 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from assay.operators import fingerprints, table_checks
+from assay.functions.paths import report_ext
+from assay.operators import compound, fingerprints, table_checks
 from assay.operators.changes import classify
 from assay.operators.formats import spread
-from assay.operators.payload_checks import check_content
+from assay.operators.payload_checks import OLE_STREAMS, check_content
 from assay.operators.validation import validate_content, validate_files
 from assay.operators.verdicts import flat
 from assay.session import run_dir
 from assay.sources.inventory import read_inventory
 from suite.adapters import AS_OF, table
+from suite.compound_files import SIZE_AT, SOUND, compound_file, front
 from suite.registry import query
 
 RESTORE = "'Restore from backup or re-download'"
@@ -163,8 +165,10 @@ def payloads(docs: DataFrame) -> DataFrame:
         ".dng": [f"CASE WHEN damage = 4 THEN {x(b'II+' + bytes(1))} ELSE {x(b'II*' + bytes(1))} END", first_dir, "body", pad16],
         ".pdf": [x(b"%PDF-1.4\nxref\n"), "body", unless_cut(x(b"\nstartxref\n9\n%%EOF\n"))],
         ".docx": [x(b"PK\x03\x04"), "body", unless_cut(x(b"PK\x05\x06" + bytes(18)))],
+        # without its stream the name still stands behind the text
         ".doc": [
-            x(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), "body", unless_cut(x("WordDocument".encode("utf-16-le"))), pad2k,
+            f"CASE WHEN damage = 1 THEN {x(front('Notes'))} ELSE {x(front())} END", "body",
+            x("WordDocument".encode("utf-16-le")), pad2k,
         ],
         ".mp4": [x(b"\0\0\0\x18ftypisom" + bytes(12)), "mdat", "body", unless_cut(x(b"\0\0\0\x08moov"))],
         ".mkv": [x(b"\x1aE\xdf\xa3"), "body"],
@@ -232,8 +236,53 @@ FROM s"""
 
 @query(_payload_sql())
 def payload_verdicts(spark, sf):
-    """Signature and truncation rules on a payload per document."""
-    return flat(check_content(payloads(table(spark, sf, "documents"))).select("path", "verdict"))
+    """Signature and truncation rules on a payload per document; compound files are walked."""
+    rows = payloads(table(spark, sf, "documents"))
+    office = F.col("path").endswith(".doc")
+    ruled = check_content(rows.where(~office)).select("path", "verdict")
+    return flat(ruled.unionByName(validate_content(rows.where(office)).select("path", "verdict")))
+
+
+def compounds(docs: DataFrame) -> DataFrame:
+    """``(path, content)``: each text behind the directory of a compound file, by doc_id % 6: sound,
+    the name in the text only, in a storage only, a chain in circles, a directory of two
+    sectors, a directory outside the file."""
+    x = lambda b: f"X'{b.hex()}'"
+    forms = [
+        front(), front("Notes"), front("Notes", "WordDocument"), front(chain={1: 1}),
+        front(more="Data", chain={1: 2, 2: SOUND}), front(first=9_999_999),
+    ]
+    part = lambda cut: "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {x(cut(f))}" for i, f in enumerate(forms)) + " END"
+    size = ", ".join(f"substring(unhex(lpad(hex(n), 8, '0')), {i}, 1)" for i in (4, 3, 2, 1))
+    name = x("WordDocument".encode("utf-16-le"))
+    before, behind = part(lambda f: f[:SIZE_AT]), part(lambda f: f[SIZE_AT + 4 :])
+    return docs.selectExpr("doc_id", "encode(text, 'UTF-8') AS body", "octet_length(text) AS n").selectExpr(
+        "concat('/o/d', doc_id, '.doc') AS path",
+        f"concat({before}, {size}, {behind}, body, {name}) AS content",
+    )
+
+
+@query("""WITH p AS (SELECT '/o/d' || doc_id || '.doc' AS path, doc_id % 6 AS form, octet_length(encode(text)) AS n FROM documents)
+SELECT path, CASE WHEN form IN (1, 2) THEN 'Notes' ELSE 'WordDocument' END AS stream, n::BIGINT AS size, NULL AS error
+FROM p WHERE form NOT IN (3, 5)
+UNION ALL SELECT path, CASE form WHEN 2 THEN 'ObjectPool/WordDocument' ELSE 'ObjectPool/Contents' END, 7, NULL
+FROM p WHERE form NOT IN (3, 5)
+UNION ALL SELECT path, 'Data', 3, NULL FROM p WHERE form = 4
+UNION ALL SELECT path, NULL, NULL, CASE form WHEN 3 THEN 'an OLE chain goes in circles'
+   ELSE 'an OLE sector lies outside the file' END FROM p WHERE form IN (3, 5)""")
+def office_streams(spark, sf):
+    """The streams that compound files list, and what is broken in the others."""
+    return compound.streams(compounds(table(spark, sf, "documents")))
+
+
+@query("""SELECT '/o/d' || doc_id || '.doc' AS path, 'WordDocument' AS stream FROM documents
+WHERE doc_id % 6 IN (1, 2, 3, 5)""")
+def missing_streams(spark, sf):
+    """Required streams that a compound file does not list."""
+    rows = compounds(table(spark, sf, "documents"))
+    required = spark.createDataFrame([*OLE_STREAMS.items()], "ext string, stream string")
+    files = rows.select("path", report_ext("path").alias("ext"))
+    return compound.lacking(files, compound.streams(rows), required)
 
 
 # A picture with a thumbnail, and a PDF of two revisions, by doc_id % 2; damage by
@@ -337,11 +386,12 @@ def write_library(docs: DataFrame, folder: str) -> DataFrame:
                 z.writestr("_rels/.rels", "<Relationships/>")
                 z.writestr("word/document.xml", body)
             return buffer.getvalue()
+        if ext == ".doc":
+            return compound_file(body)
         head, tail = {
             ".heic": (b"\0\0\0\x18ftypheic" + bytes(12), b""),
             ".cr2": (b"II*\0" + struct.pack("<I", size + 8), bytes(16)),
             ".pdf": (b"%PDF-1.4\nxref\n", b"\nstartxref\n9\n%%EOF\n"),
-            ".doc": (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", bytes(2048) + "WordDocument".encode("utf-16-le")),
             ".mp4": (b"\0\0\0\x18ftypisom" + bytes(12) + struct.pack(">I4s", len(body) + 8, b"mdat"), b"\0\0\0\x08moov"),
             ".mp3": (b"ID3", b""),
             ".txt": (b"", b""),

@@ -57,8 +57,20 @@ def docx(parts: dict[str, str] | None = None) -> bytes:
     return buffer.getvalue()
 
 
-def ole(stream: str = "WordDocument") -> bytes:
-    return b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + stream.encode("utf-16-le") + bytes(2048)
+def ole(stream: str = "WordDocument", text: str = "", inside: str | None = None) -> bytes:
+    """A compound file: table in sector 0, directory in sector 1, text in sector 2."""
+
+    def entry(name: str, kind: int, child: int) -> bytes:
+        raw = name.encode("utf-16-le") + bytes(2)
+        links = struct.pack("<HBBiii", len(raw), kind, 1, -1, -1, child)
+        return raw.ljust(64, b"\0") + links + bytes(48)
+
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + struct.pack("<5H", 62, 3, 0xFFFE, 9, 6) + bytes(10)
+    head += struct.pack("<8i", 1, 1, 0, 4096, -2, 0, -2, 0) + struct.pack("<i", 0)
+    table = struct.pack("<3i", -3, -2, -2)
+    names = entry("Root Entry", 5, 1) + (entry(inside, 1, 2) + entry(stream, 2, -1) if inside else entry(stream, 2, -1))
+    sectors = [head.ljust(512, b"\xff"), table.ljust(512, b"\xff"), names.ljust(512, b"\0")]
+    return b"".join(sectors) + text.encode("utf-16-le").ljust(512, b"\0")
 
 
 def mp4() -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import struct
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 import files
 from assay.operators import formats, lifecycle
 from assay.operators.catalog import complete
+from assay.operators.compound import Broken, listed
 from assay.operators.deep_checks import deep_check, registered
 from assay.operators.fingerprints import verify_hashes, with_fingerprints
 from assay.operators.importing import apply_import, prepare
@@ -48,6 +50,9 @@ CASES = {
     "zip.doc": (files.docx(), "corrupt"),
     "ok.doc": (files.ole(), "ok"),
     "wrong.xls": (files.ole(), "corrupt"),
+    "named.doc": (files.ole("Notes", text="WordDocument"), "corrupt"),
+    "inside.doc": (files.ole(inside="ObjectPool"), "corrupt"),
+    "cut.doc": (files.ole()[:1100].ljust(1536, b"\0"), "corrupt"),
     "ok.mp4": (files.mp4(), "ok"),
     "nomoov.mp4": (files.mp4().replace(b"moov", b"free"), "corrupt"),
     "ok.wav": (files.wav(), "ok"),
@@ -473,3 +478,22 @@ def test_a_check_that_takes_too_long_is_ended(spark):
         assert got["b.webp"].status == "ok"
     finally:
         deep_check("webp")(before or (lambda f, ext: None))
+
+
+def test_a_directory_far_behind_is_found_by_the_further_list():
+    """The header lists 109 sectors of the table; a list of its own names the ones after them."""
+    at = 110 * 128 + 5  # the directory's sector, in the 111th sector of the table
+    one = bytearray(files.ole())
+    table, listing = at + 1, at + 2
+    raw = bytearray(one[:512]) + bytes((listing + 1) * 512)
+    place = lambda sector: (sector + 1) * 512
+    struct.pack_into("<i", raw, 48, at)
+    struct.pack_into("<2i", raw, 68, listing, 1)
+    raw[place(at) : place(at) + 512] = one[1024:1536]
+    raw[place(table) : place(table) + 512] = struct.pack("<i", -1) * 5 + struct.pack("<i", -2) + struct.pack("<i", -1) * 122
+    raw[place(listing) : place(listing) + 512] = struct.pack("<2i", 0, table) + struct.pack("<i", -1) * 125 + struct.pack("<i", -2)
+    assert listed(io.BytesIO(bytes(raw))) == [("WordDocument", 0)]
+    with pytest.raises(Broken, match="outside"):
+        listed(io.BytesIO(bytes(raw[:-512])))
+    with pytest.raises(Broken, match="cut off"):
+        listed(io.BytesIO(b""))
