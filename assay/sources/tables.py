@@ -27,15 +27,11 @@ def read_log(spark: SparkSession, folder: str, with_part: bool = False) -> DataF
     return rows if with_part else rows.select(*VERDICT_LOG.fieldNames())
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the complete snapshots in a folder."""
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder; nothing if there is no such folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    complete = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))
-    return sorted(int(n[2:]) for n in names if n.startswith("v=") and complete(n))
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
 
 def write_snapshot(catalog: DataFrame, folder: str, version: int) -> str:
@@ -47,9 +43,11 @@ def write_snapshot(catalog: DataFrame, folder: str, version: int) -> str:
     return target
 
 
-def latest_version(spark: SparkSession, folder: str) -> int | None:
-    found = _versions(spark, folder)
-    return found[-1] if found else None
+def latest_version(spark: SparkSession, folder: str, before: int | None = None) -> int | None:
+    """Number of the last complete snapshot, or of the last one with a smaller number."""
+    numbers = sorted((int(n[2:]) for n in names_in(spark, folder) if n.startswith("v=")), reverse=True)
+    complete = lambda n: "_SUCCESS" in names_in(spark, f"{folder}/v={n}")
+    return next((n for n in numbers if (before is None or n < before) and complete(n)), None)
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:

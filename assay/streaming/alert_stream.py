@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assay.operators.history import advance_state, alerts_since, latest
 from assay.schemas import ISSUE_STATUSES
-from assay.streaming.sinks import drain
-from assay.streaming.state_table import add_delta, compact, read_rows
+from assay.streaming.sinks import BatchFn, drain
+from assay.streaming.state_table import ROWS_PER_BUCKET, StateTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ALERT_SCHEMA = "seq long, scan_id string, path string, status string, error string, checked_at timestamp"
@@ -75,26 +76,36 @@ def deliver(
     return drain(alert_rows, fn, checkpoint).start()
 
 
-STATE_SCHEMA = "path string, status string, had_issue boolean, batch long"
+STATE = T.StructType().add("path", "string").add("status", "string").add("had_issue", "boolean")
 
 
-def alert_batches(log: DataFrame, folder: str, checkpoint: str, compact_every: int = 20):
-    """The alert rule batch by batch without Python workers, for large batches.
+def _newest(rows: DataFrame) -> DataFrame:
+    return latest(rows, ["path"], ["batch"])
+
+
+def state(spark: SparkSession, folder: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> StateTable:
+    return StateTable(spark, f"{folder}/state", ["path"], STATE, _newest, rows_per_bucket)
+
 
-    A path that owns most of a batch is spread over many tasks. Each batch writes its alerts
-    and the new state of its paths; the state before a batch is the last row per path of
-    earlier batches, so a batch that is run again gives the same rows.
+def alert_batch(folder: str, compact_every: int = 20, rows_per_bucket: int = ROWS_PER_BUCKET) -> BatchFn:
+    """The alert rule for one batch: writes its alerts and the new state of its paths.
+
+    The state before a batch is the last row per path of earlier batches, read from the buckets
+    of the batch's paths only; a batch that is run again gives the same rows.
     """
-    newest = lambda rows: latest(rows, ["path"], ["batch"])
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = f"{folder}/state"
-        rows = read_rows(spark, state, before=batch_id)
-        known = spark.createDataFrame([], STATE_SCHEMA) if rows is None else newest(rows)
+        table = state(batch.sparkSession, folder, rows_per_bucket)
+        known = _newest(table.rows(before=batch_id, touched=batch))
         alerts_since(batch, known).write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
-        add_delta(advance_state(batch, known), state, batch_id)
+        table.add(advance_state(batch, known), batch_id)
         if batch_id % compact_every == compact_every - 1:
-            compact(spark, state, batch_id, newest)
+            table.compact(batch_id)
+
+    return fn
 
-    return drain(log, fn, checkpoint).start()
+
+def alert_batches(log: DataFrame, folder: str, checkpoint: str, compact_every: int = 20):
+    """The alert rule batch by batch without Python workers, for large batches. A path that owns
+    most of a batch is spread over many tasks."""
+    return drain(log, alert_batch(folder, compact_every), checkpoint).start()

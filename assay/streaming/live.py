@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
 from assay.streaming.sinks import drain
-from assay.streaming.state_table import add_delta, compact, read_rows
+from assay.streaming.state_table import StateTable
 
 
 def counts(log: DataFrame) -> DataFrame:
@@ -19,22 +20,27 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("scan_id", "status").agg(F.sum("cnt").alias("cnt"))
 
 
+def state(spark: SparkSession, folder: str) -> StateTable:
+    schema = T.StructType().add("scan_id", "string").add("status", "string").add("cnt", "long")
+    return StateTable(spark, folder, ["scan_id"], schema, _summed)
+
+
 def publish_counts(log: DataFrame, folder: str, checkpoint: str, compact_every: int = 20):
     """Each batch adds its own counts, in a folder that it rewrites if it is run again; now and
     then they are summed up. A batch neither reads nor writes what earlier ones counted."""
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        add_delta(counts(batch), folder, batch_id)
+        table = state(batch.sparkSession, folder)
+        table.add(counts(batch), batch_id)
         if batch_id % compact_every == compact_every - 1:
-            compact(batch.sparkSession, folder, batch_id, _summed)
+            table.compact(batch_id)
 
     return drain(log, fn, checkpoint).start()
 
 
-def current_counts(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The counts of all batches so far; None before the first."""
-    rows = read_rows(spark, folder)
-    return None if rows is None else _summed(rows)
+def current_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts of all batches so far."""
+    return state(spark, folder).current()
 
 
 class ProgressListener(StreamingQueryListener):

@@ -52,8 +52,9 @@ def alert_batch_stream(spark, sf):
 @query(with_views("catalog", "SELECT path, mtime, size, status, error, scan_id, seq FROM catalog"))
 def catalog_stream_fold(spark, sf):
     folder = _folder(spark, "catalog")
-    catalog_stream.maintain(_log_stream(spark, sf), folder, f"{folder}/checkpoint").awaitTermination()
-    return catalog_stream.current(spark, folder).drop("checked_at")
+    rows = _log_stream(spark, sf)
+    catalog_stream.maintain(rows, folder, f"{folder}/checkpoint").awaitTermination()
+    return catalog_stream.current(spark, folder, rows.schema).drop("checked_at")
 
 
 @query(with_views("", "SELECT seq, scan_id, path, status FROM verdict_log"))

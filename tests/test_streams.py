@@ -6,13 +6,14 @@ import os
 import random
 import time
 
+from pyspark.sql import functions as F
+
 import files
 from assay.operators.catalog import fold
 from assay.operators.history import alerts as batch_alerts
 from assay.schemas import STATUSES
 from assay.sources.inventory import read_inventory
 from assay.streaming import alert_stream, catalog_stream, live
-from assay.streaming.state_table import add_delta
 from assay.streaming.scan_stream import check_stream, work_stream
 from test_operators import LOG, log
 
@@ -66,7 +67,7 @@ def test_streams_equal_batch(spark, tmp_path):
     # a batch that is run again changes nothing, whether it has been summed up or not
     for batch_id in (0, 2):
         rows = spark.read.parquet(f"{counts}/deltas/batch={batch_id}").collect()
-        add_delta(spark.createDataFrame(rows), counts, batch_id)
+        live.state(spark, counts).add(spark.createDataFrame(rows, "scan_id string, status string, cnt long, bucket int"), batch_id)
     assert sorted(map(tuple, live.current_counts(spark, counts).collect())) == total
     for _ in range(50):
         if seen[-1:] == ["completed"]:
@@ -92,3 +93,39 @@ def test_checking_resumes_and_does_nothing_twice(spark, tmp_path):
     read_inventory(spark, [str(lib)], tasks=1).where(f"path like '%c.png'").coalesce(1).write.mode("append").parquet(work)
     run()
     assert spark.read.parquet(out).count() == 3
+
+
+def test_a_batch_reads_the_buckets_of_its_paths(spark, tmp_path):
+    out = str(tmp_path / "out")
+    fn = alert_stream.alert_batch(out, compact_every=1, rows_per_bucket=20)
+    table = alert_stream.state(spark, out, 20)
+    first = log(spark, [(f"/p{i}", "ok") for i in range(1000)])
+    fn(first, 0)
+    fn(log(spark, [("/p1", "corrupt")]).withColumn("seq", F.col("seq") + 1000), 1)
+    index = table._index(None)
+    assert index.buckets == 64 and sum(index.held.values()) == 1000
+    one = log(spark, [("/p7", "corrupt"), ("/new", "corrupt")]).withColumn("seq", F.col("seq") + 2000)
+    touched = table.rows(before=2, touched=one)
+    assert len(touched.inputFiles()) <= 2 < len(table.rows(before=2).inputFiles())
+    assert touched.where("path = '/p7'").count() == 1 and touched.count() < 100
+    # a batch compacts the buckets it changed only; run again, also after that, it gives the same rows
+    for _ in range(2):
+        fn(one, 2)
+        got = sorted((r.path, r.status) for r in spark.read.parquet(f"{out}/alerts/batch=2").collect())
+        assert got == [("/new", "corrupt"), ("/p7", "corrupt")]
+        index = table._index(None)
+        assert index.version == 2 and sorted(index.written.values())[-3:] == [1, 2, 2]
+    assert table.current().count() == 1001
+    fn(one.withColumn("seq", F.col("seq") + 10), 3)
+    assert spark.read.parquet(f"{out}/alerts/batch=3").count() == 0
+
+
+def test_states_without_rows(spark, tmp_path):
+    table = alert_stream.state(spark, str(tmp_path / "none"))
+    assert table.current().count() == 0
+    fn = alert_stream.alert_batch(str(tmp_path / "none"), compact_every=1)
+    empty = log(spark, [("/a", "ok")]).where("false")
+    fn(empty, 0)
+    fn(log(spark, [("/a", "corrupt")]), 1)
+    fn(empty, 2)
+    assert [tuple(r) for r in table.current().collect()] == [("/a", "corrupt", True)]
