@@ -40,6 +40,7 @@ def _facts(keyed: DataFrame, catalog: DataFrame, existing: DataFrame) -> DataFra
         F.max("_stored").alias("_stored"),
         F.max("_exists").alias("_exists"),
         F.min("_ordinal").alias("_first"),
+        F.count("_ordinal").alias("_records"),
     ).where(F.col("_first").isNotNull())
 
 
@@ -52,7 +53,7 @@ def actions(records: DataFrame, catalog: DataFrame, existing: DataFrame, force:
     joined once, and a path with very many records is split.
     """
     keyed = records.withColumn("_key", F.when(F.col("path") != "", F.col("path")))
-    joined = join_facts(keyed, _facts(keyed, catalog, existing), "_key")
+    joined = join_facts(keyed, _facts(keyed, catalog, existing).drop("_records"), "_key")
     action = F.when(F.col("_key").isNull(), "skipped_empty").when(F.col("_exists").isNull(), "skipped_missing")
     if not force:
         taken = F.col("_stored").isNotNull() | (F.col("ordinal") != F.col("_first"))
@@ -68,6 +69,15 @@ def result_counts(with_actions: DataFrame) -> DataFrame:
     )
 
 
+def import_counts(records: DataFrame, catalog: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
+    """``inserted`` and ``skipped`` of prepared records in one row, from what is known of their paths:
+    no record is joined. A record without ordinal counts as skipped."""
+    keyed = records.withColumn("_key", F.when(F.col("path") != "", F.col("path")))
+    taken = F.col("_records") if force else F.when(F.col("_stored").isNull(), 1).otherwise(0)
+    found = _facts(keyed, catalog, existing).where(F.col("_exists")).agg(F.coalesce(F.sum(taken), F.lit(0)).alias("inserted"))
+    return records.agg(F.count("*").alias("n")).join(found).select("inserted", (F.col("n") - F.col("inserted")).alias("skipped"))
+
+
 def _winners(records: DataFrame, existing: DataFrame, last: bool) -> DataFrame:
     order = F.desc("ordinal") if last else F.asc("ordinal")
     w = Window.partitionBy("path").orderBy(order)

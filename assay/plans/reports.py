@@ -310,7 +310,7 @@ def exposition(metric_rows: DataFrame) -> DataFrame:
 def health_report(catalog: DataFrame, scans: DataFrame, as_of: Column, stale_days: int) -> DataFrame:
     """The dashboard as ``(section, key, value)`` rows.
 
-    Status, format, size and staleness are summed from one grouped pass over the catalog.
+    Status, format, size and staleness come from one pass over the catalog, grouped twice.
     """
     base = catalog.groupBy("status", report_ext("path").alias("ext")).agg(
         F.count("*").alias("n"),
@@ -320,16 +320,29 @@ def health_report(catalog: DataFrame, scans: DataFrame, as_of: Column, stale_day
     section = lambda name, key, value: [
         F.lit(name).alias("section"), key.alias("key"), value.cast("string").alias("value")
     ]
-    per_status = base.groupBy("status").agg(F.sum("n").alias("n")).select(section("status", F.col("status"), F.col("n")))
-    per_format = base.groupBy("ext").agg(F.sum("n").alias("n")).select(section("format", F.col("ext"), F.col("n")))
-    whole = base.agg(
-        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("stale"), F.lit(0)).alias("stale")
+    # an empty group, so that the whole is there for an empty catalog too
+    none = catalog.sparkSession.createDataFrame([(None, None, 0, 0, 0)], "status string, ext string, n long, bytes long, stale long")
+    # a group counts for its status, its format and the whole
+    groups = base.unionByName(none).groupingSets(
+        [[F.col("status")], [F.col("ext")], []], F.col("status"), F.col("ext")
+    ).agg(
+        F.grouping_id().alias("of"),
+        F.sum("n").alias("n"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("stale"), F.lit(0)).alias("stale"),
     )
-    figures = F.array(
-        F.struct(*section("size", F.lit("total size"), text.byte_size("bytes"))),
-        F.struct(*section("stale", F.lit(f">{stale_days} days"), F.col("stale"))),
+    cell = lambda *of: F.array(*[F.struct(*c) for c in of])
+    figures = (
+        F.when(F.col("of") == 1, cell(section("status", F.col("status"), F.col("n"))))
+        .when(F.col("of") == 2, cell(section("format", F.col("ext"), F.col("n"))))
+        .otherwise(
+            cell(
+                section("size", F.lit("total size"), text.byte_size("bytes")),
+                section("stale", F.lit(f">{stale_days} days"), F.col("stale")),
+            )
+        )
     )
-    cells = per_status.unionByName(per_format).unionByName(whole.select(F.inline(figures)))
+    cells = groups.where((F.col("n") > 0) | (F.col("of") == 3)).select(F.inline(figures))
     trend = health_trend(scans).select(
         F.lit("trend").alias("section"),
         F.col("id").alias("key"),

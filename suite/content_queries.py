@@ -19,6 +19,7 @@ from assay.operators.validation import validate_content, validate_files
 from assay.operators.verdicts import flat
 from assay.session import run_dir
 from assay.sources.inventory import read_inventory
+from assay.streaming.scan_stream import check_payload_stream
 from suite.adapters import AS_OF, table
 from suite.compound_files import SIZE_AT, SOUND, compound_file, front
 from suite.registry import query
@@ -237,10 +238,50 @@ FROM s"""
 @query(_payload_sql())
 def payload_verdicts(spark, sf):
     """Signature and truncation rules on a payload per document; compound files are walked."""
-    rows = payloads(table(spark, sf, "documents"))
+    return flat(check_payloads(payloads(table(spark, sf, "documents"))))
+
+
+def check_payloads(rows: DataFrame) -> DataFrame:
+    """``(path, verdict)``; Python sees the payloads of compound files only."""
     office = F.col("path").endswith(".doc")
     ruled = check_content(rows.where(~office)).select("path", "verdict")
-    return flat(ruled.unionByName(validate_content(rows.where(office)).select("path", "verdict")))
+    return ruled.unionByName(validate_content(rows.where(office)).select("path", "verdict"))
+
+
+@query(_payload_sql())
+def payload_check_stream(spark, sf):
+    """The same as a stream that is checked, and a second run with its checkpoint that finds nothing to do."""
+    folder = run_dir(spark, "payload-checks")
+    schema = table(spark, sf, "documents").schema
+    # A glob, because a stream does not accept the name of a single file.
+    docs = spark.readStream.schema(schema).parquet(f"{sf}/documents.{{parquet}}")
+    for _ in range(2):
+        check_payload_stream(payloads(docs), f"{folder}/log", f"{folder}/checkpoint", "s1", check_payloads).awaitTermination()
+    return spark.read.parquet(f"{folder}/log").select("path", "status", "error", "suggested_action")
+
+
+# Where the first strip of a RAW file begins: behind its header and a directory of two entries.
+_STRIP_AT = 8 + 2 + 2 * 12 + 4
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(['structure', 'full']) AS depth, doc_id % 3 AS damage FROM documents),
+e AS (SELECT '/raw/d' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.cr2' ELSE '.nef' END AS path, depth, CASE
+   WHEN depth = 'full' AND damage = 1 THEN 'image data is cut off'
+   WHEN depth = 'full' AND damage = 2 THEN 'directory chain is broken' END AS error FROM p)
+SELECT path, depth, CASE WHEN error IS NULL THEN 'ok' ELSE 'corrupt' END AS status, error FROM e""")
+def raw_depths(spark, sf):
+    """Texts as the picture data of RAW files, at both depths; damage by doc_id % 3: none, a strip that
+    goes on behind the file, a directory that leads to itself."""
+    le = lambda n: "concat(" + ", ".join(f"substring(unhex(lpad(hex({n}), 8, '0')), {i}, 1)" for i in (4, 3, 2, 1)) + ")"
+    entry = lambda tag: f"X'{struct.pack('<HHI', tag, 4, 1).hex()}'"
+    content = f"""concat(X'49492a00', {le('8')}, X'0200', {entry(273)}, {le(str(_STRIP_AT))}, {entry(279)},
+        {le('n + CASE WHEN damage = 1 THEN 1 ELSE 0 END')}, {le('CASE WHEN damage = 2 THEN 8 ELSE 0 END')}, body)"""
+    rows = table(spark, sf, "documents").selectExpr(
+        "concat('/raw/d', doc_id, CASE WHEN doc_id % 2 = 0 THEN '.cr2' ELSE '.nef' END) AS path", "doc_id % 3 AS damage",
+        "encode(text, 'UTF-8') AS body", "octet_length(text) AS n",
+    ).selectExpr("path", f"{content} AS content")
+    at = lambda depth: flat(validate_content(rows, depth)).select("path", F.lit(depth).alias("depth"), "status", "error")
+    return at("structure").unionByName(at("full"))
 
 
 def compounds(docs: DataFrame) -> DataFrame:

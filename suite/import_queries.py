@@ -45,14 +45,14 @@ def import_actions(spark, sf):
 SELECT count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action <> 'inserted') AS skipped FROM acted"""))
 def import_counts(spark, sf):
     records, target, existing = _import(spark, sf)
-    return importing.result_counts(importing.actions(records, target, existing))
+    return importing.import_counts(records, target, existing)
 
 
 @query(with_views(_IMPORT_VIEWS, f""", {_EXISTS}, {_actions_sql(True)}
 SELECT count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action <> 'inserted') AS skipped FROM acted"""))
 def import_force_counts(spark, sf):
     records, target, existing = _import(spark, sf)
-    return importing.result_counts(importing.actions(records, target, existing, force=True))
+    return importing.import_counts(records, target, existing, force=True)
 
 
 _ALL = ", ".join(COLS)

@@ -510,3 +510,26 @@ def test_pages_at_any_depth(spark, offset):
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or datetime(2024, 1, 1)).timestamp(), r[0].encode()))
     got = [(r.path, r.checked_at) for r in paging.page(df, 20, offset, within=15).collect()]
     assert got == want[offset : offset + 20]
+
+
+def test_dashboard_of_an_empty_catalog_and_of_null_statuses(spark):
+    rows = log(spark, [("/a.jpg", "ok"), ("/b.jpg", None), ("/c", "corrupt")])
+    scans = spark.createDataFrame([], "id string, started_at timestamp, finished_at timestamp, total long, corrupt long, unreadable long, scope string, files_per_sec double")
+    report = lambda df: sorted(map(str, (tuple(r) for r in reports.health_report(df, scans, F.lit(T0 + timedelta(days=9)), 2).collect() if r.section != "error")))
+    sums = [("size", "total size", "0.0 KB"), ("stale", ">2 days", "3")]
+    want = [("status", "ok", "1"), ("status", None, "1"), ("status", "corrupt", "1"), ("format", ".jpg", "2"), ("format", "(no ext)", "1")]
+    assert report(rows) == sorted(map(str, want + sums))
+    assert report(rows.where("false")) == sorted(map(str, [("size", "total size", "0.0 KB"), ("stale", ">2 days", "0")]))
+
+
+def test_import_counts_need_no_join(spark):
+    schema = "ordinal long, path string, status string, mtime double, size long"
+    rows = [(0, "/new", "ok", 1.0, 1), (1, "/new", "ok", 1.0, 1), (2, "/old", "ok", 1.0, 1), (3, "/gone", "ok", 1.0, 1), (4, "", "ok", 1.0, 1), (5, None, "ok", 1.0, 1)]
+    records = importing.prepare(spark.createDataFrame(rows, schema))
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    known, existing = paths("/old"), paths("/new", "/old")
+    for force, want in ((False, (1, 5)), (True, (3, 3))):
+        assert tuple(importing.import_counts(records, known, existing, force).first()) == want
+        assert tuple(importing.result_counts(importing.actions(records, known, existing, force)).first()) == want
+    empty = records.where("false")
+    assert tuple(importing.import_counts(empty, known, existing).first()) == (0, 0)
