@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from assay.llm.bpe import BEYOND, Encoder, splitter
+from assay.llm.bpe import BEYOND, LETTERS, SPLIT, Encoder, byte_alphabet, splitter
 from assay.llm.common import once
 
 #: Spaces that may belong to a run of white space, and strings that may be special tokens.
@@ -88,10 +89,40 @@ class Pieces:
         return [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
 
 
+#: A chunk that the byte vocabulary does not split.
+WORD = re.compile(f" ?[{LETTERS}]+")
 #: How the vocabulary of words splits lower-case text: fixed value.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: The character of the byte alphabet for every byte, as ``translate`` takes it.
+LETTER_OF = {byte: letter for letter, byte in byte_alphabet().items()}
+
+
+def by_model(tokenizer: Tokenizer, rest: Callable[[list[str]], list[bytes]]) -> Callable[[list[str]], list[bytes]]:
+    """Ids of pieces, as the vocabulary splits them, from the model of the library alone: its other
+    steps cost more than the merges. Pieces with characters beyond the first 256, on whose form
+    and class these steps decide, go through all of them."""
+    tokenize, space = tokenizer.model.tokenize, LETTER_OF[32]
+
+    def one(piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            letters = piece.replace(" ", space)
+        else:
+            letters = piece.encode("utf-8").decode("latin-1").translate(LETTER_OF)
+        ids = [token.id for token in tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def many(pieces: list[str]) -> list[bytes]:
+        beyond = [p for p in pieces if not p.isascii() and BEYOND.search(p)]
+        if not beyond:
+            return list(map(one, pieces))
+        known = dict(zip(beyond, rest(beyond)))
+        return [known[p] if p in known else one(p) for p in pieces]
+
+    return many
+
+
 def library(path: str, spaced: bool) -> Chunks:
     """Chunks encoded by the tokenizers library; made once in a worker."""
 
@@ -105,13 +136,22 @@ def library(path: str, spaced: bool) -> Chunks:
             found = tokenizer.encode_batch_fast(some, add_special_tokens=False)
             return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+        merged = by_model(tokenizer, encode)
         if spaced:
-            return Chunks(encode, lambda text: encode([text])[0], spaced)
+            pieces = splitter(SPLIT)
+
+            def many(chunks: list[str]) -> list[bytes]:
+                cut = {c: pieces(c) for c in chunks if not WORD.fullmatch(c) and (c.isascii() or not BEYOND.search(c))}
+                distinct = list(set().union(*cut.values(), (c for c in chunks if c not in cut)))
+                known = dict(zip(distinct, merged(distinct)))
+                return [b"".join(map(known.__getitem__, cut[c])) if c in cut else known[c] for c in chunks]
+
+            return Chunks(many, lambda text: encode([text])[0], spaced)
         # the first 256 characters have no other form and change case one by one; what holds
         # others is left to the library in one piece
         words = splitter(WORD_SPLIT)
         split = lambda chunk: [chunk] if BEYOND.search(chunk) else words(chunk.lower())
-        return Chunks(Pieces(split, encode).many, lambda text: encode([text])[0], spaced)
+        return Chunks(Pieces(split, merged).many, lambda text: encode([text])[0], spaced)
 
     return once(("library", path), make)
 
