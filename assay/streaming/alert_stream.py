@@ -19,41 +19,55 @@ from assay.streaming.sinks import BatchFn, drain
 from assay.streaming.state_table import ROWS_PER_BUCKET, StateTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-ALERT_SCHEMA = "seq long, scan_id string, path string, status string, error string, checked_at timestamp"
+ALERT_SCHEMA = "seq long, scan_id string, path string, status string, error string, micros long"
+
+
+#: Groups of paths that share one entry of the state store. Asking the store costs Python a round
+#: trip, so it is asked once a group and batch, not once a path. Fixed for the life of a checkpoint.
+BUCKETS = 1 << 16
 
 
 class AlertState(StatefulProcessor):
-    """State of a path: its last status, and whether it ever had an issue."""
+    """State of a bucket: the last status of each of its paths, and whether it ever had an issue."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("last", "status string, had_issue boolean")
+        self._state = handle.getValueState("last", "paths array<string>, statuses array<string>, had_issue array<boolean>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state = self._state.get()
-        last, had_issue = state if state is not None else (None, False)
-        for r in sorted(rows, key=lambda r: (r.checked_at, r.seq)):
-            issue = r.status in ISSUE_STATUSES
-            if issue and (not had_issue or (r.status == "corrupt" and last == "ok")):
-                yield Row(
-                    seq=r.seq, scan_id=r.scan_id, path=r.path, status=r.status, error=r.error, checked_at=r.checked_at
-                )
-            last, had_issue = r.status, had_issue or issue
-        self._state.update((last, had_issue))
+        known = {} if state is None else {p: (s, h) for p, s, h in zip(*state)}
+        # as in Spark, nulls come first
+        for r in sorted(rows, key=lambda r: (r.micros is not None, r.micros, r.seq is not None, r.seq)):
+            path, status = r.path, r.status
+            last, had_issue = known.get(path, (None, False))
+            issue = status in ISSUE_STATUSES
+            if issue and (not had_issue or (status == "corrupt" and last == "ok")):
+                yield Row(seq=r.seq, scan_id=r.scan_id, path=path, status=status, error=r.error, micros=r.micros)
+            known[path] = status, had_issue or issue
+        self._state.update(([*known], [s for s, _ in known.values()], [h for _, h in known.values()]))
 
     def close(self) -> None:
         pass
 
 
-def alerts(log: DataFrame) -> DataFrame:
+def alerts(log: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Streaming twin of the batch alert rule. ``checked_at`` must be a timestamp.
 
-    Stateful processors need the RocksDB store, which is set on the session here.
+    Stateful processors need the RocksDB store, which is set on the session here. A batch reads
+    and writes the buckets of its paths, so ``buckets`` should not be far below the number of paths
+    divided by some hundred.
     """
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = log.select("seq", "scan_id", "path", "status", "error", F.col("checked_at").cast("timestamp").alias("checked_at"))
-    return rows.groupBy("path").transformWithState(
+    rows = log.select(
+        "seq", "scan_id", "path", "status", "error",
+        # a whole number is cheaper in Python than a time
+        F.unix_micros(F.col("checked_at").cast("timestamp")).alias("micros"),
+        F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket"),
+    )
+    found = rows.groupBy("bucket").transformWithState(
         statefulProcessor=AlertState(), outputStructType=ALERT_SCHEMA, outputMode="Append", timeMode="None"
     )
+    return found.withColumn("checked_at", F.timestamp_micros("micros")).drop("micros")
 
 
 def deliver(

@@ -6,7 +6,7 @@ import os
 import random
 import time
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 import files
 from assay.operators.catalog import fold
@@ -129,3 +129,40 @@ def test_states_without_rows(spark, tmp_path):
     fn(log(spark, [("/a", "corrupt")]), 1)
     fn(empty, 2)
     assert [tuple(r) for r in table.current().collect()] == [("/a", "corrupt", True)]
+
+
+class _Store:
+    """A state store that counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.asked = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+
+def test_alert_state_is_asked_once_a_bucket(spark, tmp_path):
+    store, processor = _Store(), alert_stream.AlertState()
+    processor.init(store)
+    row = lambda seq, path, status, micros: Row(
+        bucket=0, seq=seq, scan_id="s", path=path, status=status, error=None, micros=micros
+    )
+    first = [row(i, f"/p{i}" if i else None, "ok", i) for i in range(100)]
+    assert list(processor.handleInputRows((0,), iter(first), None)) == []
+    again = [row(300, "/p1", "corrupt", 9), row(100, "/p1", "unreadable", None), row(200, None, "corrupt", 9), row(201, None, "corrupt", 9)]
+    assert [r.seq for r in processor.handleInputRows((0,), iter(again), None)] == [100, 200]
+    assert store.asked == 4 and len(store.value[0]) == 100
+
+    folder, out = str(tmp_path / "log"), str(tmp_path / "alerts")
+    whole = _parts(spark, folder, 2)
+    alert_stream.deliver(alert_stream.alerts(_stream(spark, folder), buckets=2), out, out + "/cp").awaitTermination()
+    want = [r for r in batch_alerts(whole.where("seq % 90 < 60")).select("seq", "path", "checked_at").collect()]
+    assert sorted(spark.read.parquet(out + "/alerts").select("seq", "path", "checked_at").collect()) == sorted(want)
