@@ -8,6 +8,7 @@ import struct
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from assay.functions.paths import report_ext
@@ -407,6 +408,8 @@ def package_verdicts(spark, sf):
 # --- the same texts as files ------------------------------------------------------------
 
 FILE_EXTS = (".webp", ".heic", ".cr2", ".pdf", ".docx", ".doc", ".mp4", ".mp3", ".wav", ".txt")
+#: Texts that a worker holds as such at a time.
+SOME_TEXTS = 64
 
 
 def write_library(docs: DataFrame, folder: str) -> DataFrame:
@@ -440,20 +443,23 @@ def write_library(docs: DataFrame, folder: str) -> DataFrame:
         return head + body + tail
 
     def run(batches):
-        for pdf in batches:
-            for doc_id, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
-                ext = FILE_EXTS[doc_id % 10]
-                content = build(ext, text.encode() + bytes(64))  # so half of it still has a header
-                damage = doc_id // 10 % 4
-                content = content[: len(content) // 2] if damage == 1 else b"" if damage == 2 else content
-                os.makedirs(f"{folder}/{source}", exist_ok=True)
-                with open(f"{folder}/{source}/d{doc_id}{ext}", "wb") as f:
-                    f.write(content)
-            yield pd.DataFrame({"files": [len(pdf)]})
+        for batch in batches:
+            # a few texts at a time, so that a worker holds no second form of a whole batch
+            for start in range(0, batch.num_rows, SOME_TEXTS):
+                some = batch.slice(start, SOME_TEXTS)
+                for doc_id, source, text in zip(*(some.column(c).to_pylist() for c in ("doc_id", "source", "text"))):
+                    ext = FILE_EXTS[doc_id % 10]
+                    content = build(ext, text.encode() + bytes(64))  # so half of it still has a header
+                    damage = doc_id // 10 % 4
+                    content = content[: len(content) // 2] if damage == 1 else b"" if damage == 2 else content
+                    os.makedirs(f"{folder}/{source}", exist_ok=True)
+                    with open(f"{folder}/{source}/d{doc_id}{ext}", "wb") as f:
+                        f.write(content)
+            yield pa.RecordBatch.from_pydict({"files": [batch.num_rows]})
 
     tasks = docs.sparkSession.sparkContext.defaultParallelism
     dealt = docs.select("doc_id", "source", "text").repartition(tasks, "doc_id")
-    return dealt.mapInPandas(run, "files long")
+    return dealt.mapInArrow(run, "files long")
 
 
 def _posix(folder: str) -> str:

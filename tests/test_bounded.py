@@ -8,6 +8,7 @@ import pyarrow as pa
 
 from assay.operators import compound
 from suite.compound_files import front
+from suite.content_queries import write_library
 
 
 class _Given:
@@ -47,3 +48,14 @@ def test_streams_are_listed_where_the_payloads_lie(spark):
     ]
     assert len(rows) == 2 * 398 + 2 and len(out) == 2
     assert held < 2_000_000 < batch.nbytes / 10
+
+
+def test_a_library_is_written_some_texts_at_a_time(tmp_path):
+    texts = [chr(97 + i % 26) * 50_000 for i in range(1000)]
+    batch = pa.record_batch({"doc_id": list(range(1000)), "source": ["a", "b"] * 500, "text": texts})
+    del texts
+    out, held = _held(write_library(_Given(), str(tmp_path)).run, batch)
+    assert [b.to_pydict() for b in out] == [{"files": [1000]}]
+    assert len(list(tmp_path.glob("*/*"))) == 1000
+    assert (tmp_path / "b" / "d9.txt").read_bytes() == b"j" * 50_000 + bytes(64)
+    assert held < batch.nbytes / 5
