@@ -19,9 +19,13 @@ from assay.llm.bpe import BEYOND, LETTERS, SPLIT, Encoder, byte_alphabet, splitt
 from assay.llm.common import once
 
 #: Spaces that may belong to a run of white space, and strings that may be special tokens.
-ODD_BYTES = re.compile(r"\s \s|\s \Z|<\|")
+ODD_BYTES = re.compile(r" (?<=\s )(?=\s|\Z)|<\|")
 #: Separators that Python splits at and the vocabulary does not, and special tokens.
 ODD_WORDS = re.compile("[\x1c-\x1f]|<\\|")
+#: Keys of a table of ``library`` after which it gives way to an empty one.
+MOST = 160_000
+#: Characters of the longest key that such a table keeps, so that its size is bounded.
+LONGEST = 100
 
 
 class Recent:
@@ -77,20 +81,55 @@ class Chunks:
         ]
 
 
-class Pieces:
-    """Ids of chunks from the ids of the pieces that the vocabulary splits them into."""
+class Lately(dict):
+    """``make(key, table)`` for keys, kept as in ``Recent``, but made one at a time when a key is
+    missing: a lookup is all that a known key costs. ``make`` may ask the table for parts."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], most: int = 80_000):
-        self.split, self.recent = split, Recent(encode, most)
+    def __init__(self, make: Callable[[str, Lately], bytes], before: Lately | None = None):
+        self.make, self.before = make, {} if before is None else before
 
-    def many(self, chunks: list[str]) -> list[bytes]:
-        lists = [self.split(c) for c in chunks]
-        known = self.recent.of(set().union(*lists))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
+    def __missing__(self, key: str) -> bytes:
+        found = self.before.get(key)
+        if found is None:
+            found = self.make(key, self)
+        if len(key) <= LONGEST:
+            self[key] = found
+        return found
+
+    def aged(self, most: int) -> Lately:
+        """The table to go on with: this one, or an empty one that is backed by it."""
+        if len(self) <= most:
+            return self
+        self.before = {}
+        return Lately(self.make, self)
+
+
+class Words:
+    """Like ``Chunks``, but ``word`` makes one chunk when it is missing. With ``head``, which gives
+    the ids of the first chunk of a text, the others hold the space in front of them."""
+
+    def __init__(
+        self,
+        word: Callable[[str, Lately], bytes],
+        whole: Callable[[str], bytes],
+        head: Callable[[str], bytes] | None = None,
+    ):
+        self.known, self.whole, self.head = Lately(word), whole, head
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.known = self.known.aged(MOST)
+        of, head, whole, out = self.known.__getitem__, self.head, self.whole, []
+        odd, space = (ODD_WORDS, None) if head is None else (ODD_BYTES, " ")
+        for text in texts:
+            if odd.search(text):
+                out.append(whole(text))
+                continue
+            words = iter(text.split(space))
+            first = head(next(words)) if head else b""
+            out.append(first + b"".join(map(of, words)))
+        return out
 
 
-#: A chunk that the byte vocabulary does not split.
-WORD = re.compile(f" ?[{LETTERS}]+")
 #: How the vocabulary of words splits lower-case text: fixed value.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -99,59 +138,77 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTER_OF = {byte: letter for letter, byte in byte_alphabet().items()}
 
 
-def by_model(tokenizer: Tokenizer, rest: Callable[[list[str]], list[bytes]]) -> Callable[[list[str]], list[bytes]]:
-    """Ids of pieces, as the vocabulary splits them, from the model of the library alone: its other
-    steps cost more than the merges. Pieces with characters beyond the first 256, on whose form
-    and class these steps decide, go through all of them."""
+def by_model(tokenizer: Tokenizer) -> Callable[[str], bytes]:
+    """Ids of a piece, as the vocabulary splits it, from the model of the library alone: its other
+    steps cost more than the merges. On the form and class of characters beyond the first 256
+    these steps decide, so a piece must not hold any."""
     tokenize, space = tokenizer.model.tokenize, LETTER_OF[32]
+    pack = [struct.Struct(f"<{n}I").pack for n in range(32)]  # by the number of ids
 
-    def one(piece: str) -> bytes:
+    def merged(piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
             letters = piece.replace(" ", space)
         else:
             letters = piece.encode("utf-8").decode("latin-1").translate(LETTER_OF)
         ids = [token.id for token in tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return pack[len(ids)](*ids) if len(ids) < len(pack) else struct.pack(f"<{len(ids)}I", *ids)
 
-    def many(pieces: list[str]) -> list[bytes]:
-        beyond = [p for p in pieces if not p.isascii() and BEYOND.search(p)]
-        if not beyond:
-            return list(map(one, pieces))
-        known = dict(zip(beyond, rest(beyond)))
-        return [known[p] if p in known else one(p) for p in pieces]
+    return merged
 
-    return many
 
+def spaced_words(merged: Callable[[str], bytes], whole: Callable[[str], bytes]) -> Words:
+    """Chunks of the byte vocabulary. The key of a chunk is what stands after its space, so a word
+    and the same word before a comma share their ids; ``tight`` has the pieces without a space."""
+    pieces, beyond = splitter(SPLIT), BEYOND.search
+    tight = Lately(lambda piece, _: merged(piece))
 
-def library(path: str, spaced: bool) -> Chunks:
+    def word(key: str, known: Lately) -> bytes:
+        if not key.isascii() and beyond(key):
+            return whole(" " + key)
+        if key.isalpha():
+            return merged(" " + key)
+        first, *others = pieces(" " + key)
+        begin = known[first[1:]] if first[1:].isalpha() else tight[first]
+        return begin + b"".join(map(tight.__getitem__, others))
+
+    def head(chunk: str) -> bytes:
+        nonlocal tight
+        tight = tight.aged(MOST // 8)
+        if not chunk.isascii() and beyond(chunk):
+            return whole(chunk)
+        return b"".join(map(tight.__getitem__, pieces(chunk)))
+
+    return Words(word, whole, head)
+
+
+def plain_words(merged: Callable[[str], bytes], whole: Callable[[str], bytes]) -> Words:
+    """Chunks of the vocabulary of words. The first 256 characters have no other form and change
+    case one by one; what holds others is left to the library in one piece."""
+    pieces, beyond = splitter(WORD_SPLIT), BEYOND.search
+
+    def word(key: str, known: Lately) -> bytes:
+        if not key.isascii() and beyond(key):
+            return whole(key)
+        low = key.lower()
+        cut = [low] if low.isalpha() else pieces(low)
+        return merged(key) if cut == [key] else b"".join(map(known.__getitem__, cut))
+
+    return Words(word, whole)
+
+
+def library(path: str, spaced: bool) -> Words:
     """Chunks encoded by the tokenizers library; made once in a worker."""
 
-    def make() -> Chunks:
+    def make() -> Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def encode(some: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-        merged = by_model(tokenizer, encode)
-        if spaced:
-            pieces = splitter(SPLIT)
-
-            def many(chunks: list[str]) -> list[bytes]:
-                cut = {c: pieces(c) for c in chunks if not WORD.fullmatch(c) and (c.isascii() or not BEYOND.search(c))}
-                distinct = list(set().union(*cut.values(), (c for c in chunks if c not in cut)))
-                known = dict(zip(distinct, merged(distinct)))
-                return [b"".join(map(known.__getitem__, cut[c])) if c in cut else known[c] for c in chunks]
-
-            return Chunks(many, lambda text: encode([text])[0], spaced)
-        # the first 256 characters have no other form and change case one by one; what holds
-        # others is left to the library in one piece
-        words = splitter(WORD_SPLIT)
-        split = lambda chunk: [chunk] if BEYOND.search(chunk) else words(chunk.lower())
-        return Chunks(Pieces(split, merged).many, lambda text: encode([text])[0], spaced)
+        def whole(text: str) -> bytes:
+            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+        return (spaced_words if spaced else plain_words)(by_model(tokenizer), whole)
 
     return once(("library", path), make)
 

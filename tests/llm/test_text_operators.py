@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import brute
 import numpy as np
@@ -183,6 +184,51 @@ def test_small_chunk_memory_changes_nothing(rows):
     assert [x for i in range(0, len(some), 7) for x in small.encode(some[i : i + 7])] == chunks.encode(some)
 
 
+class Counted:
+    """The tokenizers library; ``asked`` has what its model and its batches were given."""
+
+    def __init__(self, plain):
+        self.plain, self.model, self.asked = plain, self, []
+
+    def __getattr__(self, name):
+        return getattr(self.plain, name)
+
+    def tokenize(self, piece):
+        self.asked.append(piece)
+        return self.plain.model.tokenize(piece)
+
+    def encode_batch_fast(self, some, **kw):
+        self.asked += some
+        return self.plain.encode_batch_fast(some, **kw)
+
+
+def counted(monkeypatch, tmp_path, name, spaced):
+    made = Counted(Tokenizer.from_file(public_tokenizers.path(name)))
+    monkeypatch.setattr(tokens, "Tokenizer", SimpleNamespace(from_file=lambda _: made))
+    return tokens.library(str(tmp_path / name), spaced), made.asked  # a path that no worker has seen
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_are_merged_once(monkeypatch, tmp_path, name, spaced):
+    """A known word is not merged again where it stands before a mark or the end of a line."""
+    chunks, asked = counted(monkeypatch, tmp_path, name, spaced)
+    some = ["so wordlike Été", "so wordlike, été", "so wordlike.\nwordlike Été;", "so (wordlike, wordlike.\nÉté"]
+    want = [RAW(library(name).encode(t, add_special_tokens=False).ids) for t in some]
+    assert [chunks.encode([t])[0] for t in some] == want
+    assert len(asked) == len(set(asked))
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_small_word_tables_change_nothing(rows, monkeypatch, tmp_path, name, spaced):
+    monkeypatch.setattr(tokens, "MOST", 10)
+    monkeypatch.setattr(tokens, "LONGEST", 6)
+    chunks, _ = counted(monkeypatch, tmp_path, name, spaced)
+    some = odd_texts(rows)
+    want = [RAW(e.ids) for e in library(name).encode_batch(some, add_special_tokens=False)]
+    assert [x for i in range(0, len(some), 7) for x in chunks.encode(some[i : i + 7])] == want
+    assert max(map(len, chunks.known)) <= 6 and len(chunks.known) < 3000
+
+
 def test_automaton_against_merging_by_rank():
     """Random merges over a small alphabet, against the plain algorithm."""
     rng = random.Random(8)
