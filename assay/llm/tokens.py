@@ -23,7 +23,7 @@ ODD_BYTES = re.compile(r" (?<=\s )(?=\s|\Z)|<\|")
 #: Separators that Python splits at and the vocabulary does not, and special tokens.
 ODD_WORDS = re.compile("[\x1c-\x1f]|<\\|")
 #: Keys of a table of ``library`` after which it gives way to an empty one.
-MOST = 160_000
+MOST = 200_000
 #: Characters of the longest key that such a table keeps, so that its size is bounded.
 LONGEST = 100
 
@@ -83,7 +83,8 @@ class Chunks:
 
 class Lately(dict):
     """``make(key, table)`` for keys, kept as in ``Recent``, but made one at a time when a key is
-    missing: a lookup is all that a known key costs. ``make`` may ask the table for parts."""
+    missing: a lookup is all that a known key costs. ``make`` asks the table for parts, and to
+    keep what it made if that is worth the room."""
 
     def __init__(self, make: Callable[[str, Lately], bytes], before: Lately | None = None):
         self.make, self.before = make, {} if before is None else before
@@ -91,7 +92,11 @@ class Lately(dict):
     def __missing__(self, key: str) -> bytes:
         found = self.before.get(key)
         if found is None:
-            found = self.make(key, self)
+            return self.make(key, self)
+        self[key] = found
+        return found
+
+    def keep(self, key: str, found: bytes) -> bytes:
         if len(key) <= LONGEST:
             self[key] = found
         return found
@@ -158,18 +163,20 @@ def by_model(tokenizer: Tokenizer) -> Callable[[str], bytes]:
 
 def spaced_words(merged: Callable[[str], bytes], whole: Callable[[str], bytes]) -> Words:
     """Chunks of the byte vocabulary. The key of a chunk is what stands after its space, so a word
-    and the same word before a comma share their ids; ``tight`` has the pieces without a space."""
+    and the same word before a comma share their ids; ``tight`` has the pieces without a space.
+    Chunks of more than two pieces seldom come again; they are put together each time."""
     pieces, beyond = splitter(SPLIT), BEYOND.search
-    tight = Lately(lambda piece, _: merged(piece))
+    tight = Lately(lambda piece, table: table.keep(piece, merged(piece)))
 
     def word(key: str, known: Lately) -> bytes:
         if not key.isascii() and beyond(key):
-            return whole(" " + key)
+            return known.keep(key, whole(" " + key))
         if key.isalpha():
-            return merged(" " + key)
+            return known.keep(key, merged(" " + key))
         first, *others = pieces(" " + key)
         begin = known[first[1:]] if first[1:].isalpha() else tight[first]
-        return begin + b"".join(map(tight.__getitem__, others))
+        ids = begin + b"".join(map(tight.__getitem__, others))
+        return known.keep(key, ids) if len(others) < 2 else ids
 
     def head(chunk: str) -> bytes:
         nonlocal tight
@@ -188,10 +195,11 @@ def plain_words(merged: Callable[[str], bytes], whole: Callable[[str], bytes]) -
 
     def word(key: str, known: Lately) -> bytes:
         if not key.isascii() and beyond(key):
-            return whole(key)
+            return known.keep(key, whole(key))
         low = key.lower()
         cut = [low] if low.isalpha() else pieces(low)
-        return merged(key) if cut == [key] else b"".join(map(known.__getitem__, cut))
+        ids = merged(key) if cut == [key] else b"".join(map(known.__getitem__, cut))
+        return known.keep(key, ids) if len(cut) < 3 else ids
 
     return Words(word, whole)
 
