@@ -25,6 +25,12 @@ def once(key: Any, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def release() -> None:
+    """Drops what ``once`` made in this Python worker. Workers are used again, so an operator with
+    tables of its own would hold them beside those of the operator before it."""
+    vars(sys.modules.get("_assay_worker", types.ModuleType("_assay_worker"))).clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of a piece stay near a size; a longer text is a piece
     of its own. Every row is in exactly one piece."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import slices, texts
+from assay.llm.common import release, slices, texts
 
 UNKNOWN = "und"
 DIMS = 4096
@@ -56,20 +56,23 @@ def features(text: str, plain: np.ndarray) -> np.ndarray:
     return out / max(np.sqrt((out * out).sum()), 1e-12)
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights of a linear support vector machine for labels -1 and 1, by coordinate descent on
-    the dual. The last feature must be constant."""
-    weights, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    size = (x * x).sum(axis=1)
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights of a linear support vector machine that tells some rows of ``x`` apart, by
+    coordinate descent on the dual in double precision; ``y`` has their labels -1 and 1. The last
+    feature must be constant. A row is widened when it is used, so ``x`` is not copied."""
+    wide = lambda i: x[rows[i]].astype(np.float64)
+    weights, alpha = np.zeros(x.shape[1]), np.zeros(len(rows))
+    size = np.array([np.square(wide(i)).sum() for i in range(len(rows))])
     balance = np.where(y > 0, len(y) / max(1, (y > 0).sum()), len(y) / max(1, (y < 0).sum())) * c / 2
     order = np.random.default_rng(0)
     for _ in range(rounds):
         most = 0.0
-        for i in order.permutation(len(x)):
-            slope = y[i] * (x[i] @ weights) - 1
+        for i in order.permutation(len(rows)):
+            row = wide(i)
+            slope = y[i] * (row @ weights) - 1
             new = min(max(alpha[i] - slope / size[i], 0.0), balance[i])
             if new != alpha[i]:
-                weights += (new - alpha[i]) * y[i] * x[i]
+                weights += (new - alpha[i]) * y[i] * row
                 most, alpha[i] = max(most, abs(new - alpha[i])), new
         if most < 1e-3:
             break
@@ -94,6 +97,12 @@ def calibration(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(at[0]), float(at[1])
 
 
+def margins(x: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The margins of some rows of ``x`` in double precision, some rows at a time."""
+    parts = (rows[i : i + 64] for i in range(0, len(rows), 64))
+    return np.concatenate([x[some].astype(np.float64) @ weights for some in parts])
+
+
 def families(means: np.ndarray) -> list[list[int]]:
     """Groups of languages, by joining the closest means up to the largest gap."""
     groups = [[i] for i in range(len(means))]
@@ -123,10 +132,13 @@ class Model:
 
     @classmethod
     def fit(cls, languages: list[str], x: np.ndarray, label: np.ndarray, apart: np.ndarray) -> Model:
-        """From features, labels and which rows are kept apart for calibration."""
-        x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+        """From features, which end with a constant one, labels and which rows are kept apart for
+        calibration. Single precision will do for ``x``; it is not copied."""
         n = len(languages)
-        mean = np.stack([x[label == i, :-1].mean(axis=0) for i in range(n)])
+        mean = np.zeros((n, x.shape[1] - 1))
+        for row, i in zip(x, label):
+            mean[i] += row[:-1]
+        mean /= np.bincount(label, minlength=n)[:, None]
         groups = families(mean / np.linalg.norm(mean, axis=1, keepdims=True))
         family = np.zeros(n, np.int64)
         for g, members in enumerate(groups):
@@ -139,9 +151,10 @@ class Model:
             fit, test = some & ~apart, some & apart
             test = test if len(set(y[test].tolist())) > 1 else some
             one = len(set(y[fit].tolist())) < 2
-            w = np.append(np.zeros(x.shape[1] - 1), y[fit][0] if fit.any() else 1.0) if one else svm(x[fit], y[fit])
+            rows = np.flatnonzero(fit)
+            w = np.append(np.zeros(x.shape[1] - 1), y[fit][0] if fit.any() else 1.0) if one else svm(x, rows, y[fit])
             machines.append(w)
-            scales.append((1.0, 0.0) if one else calibration(x[test] @ w, y[test]))
+            scales.append((1.0, 0.0) if one else calibration(margins(x, np.flatnonzero(test), w), y[test]))
         return cls(languages, groups, pairs, np.array(machines), np.array(scales))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,12 +217,17 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     chosen = rows.where(F.col("hash") <= by_label(cuts)).groupBy("label", "hash").agg(F.min("text").alias("text"))
     chosen = chosen.select("text", "label", (F.pmod("hash", F.lit(5)) == 0).alias("apart"))
     found = chosen.mapInArrow(_numbered, "label string, apart boolean, x binary").toArrow()
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, DIMS)
+    rows = [np.frombuffer(v.as_buffer(), np.float32) for v in found.column("x")]
     # a fixed order, whatever order the rows came in
     labels = np.array([languages.index(v) for v in found.column("label").to_pylist()])
     apart = np.array(found.column("apart").to_pylist(), bool)
-    order = np.lexsort((x[:, :64].sum(axis=1), apart, labels))
-    return Model.fit(languages, x[order].astype(np.float64), labels[order], apart[order])
+    order = np.lexsort((np.array([row[:64] for row in rows]).sum(axis=1), apart, labels))
+    # the driver holds the sample once, in single precision, and a column of ones
+    x = np.ones((len(rows), DIMS + 1), np.float32)
+    for to, at in enumerate(order):
+        x[to, :-1] = rows[at]
+    del found, rows
+    return Model.fit(languages, x, labels[order], apart[order])
 
 
 def predictions(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -225,6 +243,7 @@ def predictions(docs: DataFrame, model: Model | None, text: str = "text") -> Dat
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         plain = _plain()
         apart = (pa.RecordBatch.from_arrays([b.column("row"), b.column("row").field(place)], ["row", "text"]) for b in batches)
         for batch in slices(apart, "text"):

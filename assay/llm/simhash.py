@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.common import groups as grouped
-from assay.llm.common import merged, slices, texts
+from assay.llm.common import merged, release, slices, texts
 from assay.llm.components import components
 from assay.sources.tables import stage
 
@@ -62,6 +62,7 @@ def with_fingerprint(docs: DataFrame, key: str, text: str, words: int = 3) -> Da
     64 bits as a signed long. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             fp = np.fromiter((fingerprint(t, words) for t in texts(batch)), np.uint64, batch.num_rows)
             columns = [batch.column("key"), batch.column("class"), pa.array(fp.view(np.int64))]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import slices, texts
+from assay.llm.common import release, slices, texts
 from assay.sources.tables import stage
 
 WINDOW = 50
@@ -133,6 +133,7 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     words = Words()
     for batch in slices(batches, "text"):
         anchor, own, doc, at, size = Parsed(texts(batch), words).segments()
@@ -145,6 +146,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the segments that are asked for: ``asked`` lists (anchor, segment, at, size)."""
+    release()
     words = Words()
     for batch in slices(batches, "text"):
         parsed = Parsed(texts(batch), words)

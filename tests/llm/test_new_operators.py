@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import subprocess
 import sys
+import tracemalloc
 
 import brute
 import corpus_pipeline
@@ -179,6 +180,23 @@ def test_language_sample_is_bounded_by_keys(spark):
     assert model.languages == ["de", "en"]
 
 
+def test_language_fit_does_not_copy_the_sample():
+    """The driver holds the sample, and beside it no more than some rows in double precision."""
+    rng = np.random.default_rng(3)
+    label = np.arange(400) % 4
+    x = rng.random((400, 2049), dtype=np.float32) + (np.arange(2049) % 4 == label[:, None])
+    x = x.astype(np.float32)
+    x[:, -1] = 1
+    tracemalloc.start()
+    try:
+        model = language.Model.fit(["a", "b", "c", "d"], x, label, label < 0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < x.nbytes
+    assert (model.predict(x[:, :-1].astype(np.float64))[0] == label).all()
+
+
 def test_pipeline_keeps_clashing_columns(spark):
     rows = [(i, "the text is of a kind" if i % 2 else "der Text ist so eine Art", "en" if i % 2 else "de", "s", 9, 99.0, "xx") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string")
