@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
+from codecs import charmap_decode
 from collections.abc import Callable
 
 import numpy as np
@@ -18,10 +20,12 @@ from tokenizers import Tokenizer
 from assay.llm.bpe import BEYOND, LETTERS, SPLIT, Encoder, byte_alphabet, splitter
 from assay.llm.common import once
 
-#: Spaces that may belong to a run of white space, and strings that may be special tokens.
-ODD_BYTES = re.compile(r" (?<=\s )(?=\s|\Z)|<\|")
-#: Separators that Python splits at and the vocabulary does not, and special tokens.
-ODD_WORDS = re.compile("[\x1c-\x1f]|<\\|")
+#: What special tokens begin with.
+SPECIAL = "<|"
+#: Spaces that may belong to a run of white space.
+ODD_BYTES = re.compile(r" (?<=\s )(?=\s|\Z)")
+#: Separators that Python splits at and the vocabulary does not.
+ODD_WORDS = re.compile("[\x1c-\x1f]")
 #: Keys of a table of ``library`` after which it gives way to an empty one.
 MOST = 200_000
 #: Characters of the longest key that such a table keeps, so that its size is bounded.
@@ -68,7 +72,7 @@ class Chunks:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd, space = self.odd.search, " " if self.spaced else None
-        lists = [None if odd(t) else t.split(space) for t in texts]
+        lists = [None if SPECIAL in t or odd(t) else t.split(space) for t in texts]
         # the first chunk of a text has no space in front
         heads = [words.pop(0) if self.spaced and words else "" for words in lists if words is not None]
         distinct = set().union(*(words for words in lists if words is not None))
@@ -126,7 +130,7 @@ class Words:
         of, head, whole, out = self.known.__getitem__, self.head, self.whole, []
         odd, space = (ODD_WORDS, None) if head is None else (ODD_BYTES, " ")
         for text in texts:
-            if odd.search(text):
+            if SPECIAL in text or odd.search(text):
                 out.append(whole(text))
                 continue
             words = iter(text.split(space))
@@ -139,22 +143,21 @@ class Words:
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-#: The character of the byte alphabet for every byte, as ``translate`` takes it.
-LETTER_OF = {byte: letter for letter, byte in byte_alphabet().items()}
+#: The characters of the byte alphabet in the order of their bytes, as ``charmap_decode`` takes them.
+ALPHABET = "".join(sorted(byte_alphabet(), key=byte_alphabet().get))
+#: What ends most chunks that are no plain word: neither letters, numbers nor white space.
+MARKS = string.punctuation
 
 
 def by_model(tokenizer: Tokenizer) -> Callable[[str], bytes]:
     """Ids of a piece, as the vocabulary splits it, from the model of the library alone: its other
     steps cost more than the merges. On the form and class of characters beyond the first 256
     these steps decide, so a piece must not hold any."""
-    tokenize, space = tokenizer.model.tokenize, LETTER_OF[32]
+    tokenize = tokenizer.model.tokenize
     pack = [struct.Struct(f"<{n}I").pack for n in range(32)]  # by the number of ids
 
     def merged(piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable():
-            letters = piece.replace(" ", space)
-        else:
-            letters = piece.encode("utf-8").decode("latin-1").translate(LETTER_OF)
+        letters, _ = charmap_decode(piece.encode("utf-8"), "strict", ALPHABET)
         ids = [token.id for token in tokenize(letters)]
         return pack[len(ids)](*ids) if len(ids) < len(pack) else struct.pack(f"<{len(ids)}I", *ids)
 
@@ -173,6 +176,9 @@ def spaced_words(merged: Callable[[str], bytes], whole: Callable[[str], bytes])
             return known.keep(key, whole(" " + key))
         if key.isalpha():
             return known.keep(key, merged(" " + key))
+        stem = key.rstrip(MARKS)
+        if stem.isalpha():
+            return known.keep(key, known[stem] + tight[key[len(stem) :]])
         first, *others = pieces(" " + key)
         begin = known[first[1:]] if first[1:].isalpha() else tight[first]
         ids = begin + b"".join(map(tight.__getitem__, others))
@@ -197,7 +203,11 @@ def plain_words(merged: Callable[[str], bytes], whole: Callable[[str], bytes]) -
         if not key.isascii() and beyond(key):
             return known.keep(key, whole(key))
         low = key.lower()
-        cut = [low] if low.isalpha() else pieces(low)
+        if low.isalpha():
+            cut = [low]
+        else:
+            stem = low.rstrip(MARKS)
+            cut = [stem, low[len(stem) :]] if stem.isalpha() else pieces(low)
         ids = merged(key) if cut == [key] else b"".join(map(known.__getitem__, cut))
         return known.keep(key, ids) if len(cut) < 3 else ids
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import weakref
 import zlib
 from collections import defaultdict
 from types import SimpleNamespace
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assay.llm import bpe, encoding, language, licences, packing, pii, shards, simhash, substrings, tokens
+from assay.llm import bpe, common, encoding, language, licences, packing, pii, shards, simhash, substrings, tokens
 from assay.llm import queries as llm
 
 #: Clashing names on purpose: every operator has to keep its own columns apart.
@@ -229,6 +230,30 @@ def test_small_word_tables_change_nothing(rows, monkeypatch, tmp_path, name, spa
     assert max(map(len, chunks.known)) <= 6 and len(chunks.known) < 3000
 
 
+def test_release_drops_what_a_worker_keeps():
+    made = []
+    make = lambda: made.append(1) or tokens.Lately(None)
+    table = weakref.ref(common.once("table", make))
+    assert common.once("table", make) is table() and len(made) == 1
+    common.release()
+    assert table() is None  # at once, without a collector's run
+    common.once("table", make)
+    assert len(made) == 2
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_marks_at_the_end_need_no_split(monkeypatch, tmp_path, name, spaced):
+    """A word before marks is told from them without the vocabulary's pattern."""
+    split, make = [], tokens.splitter
+    monkeypatch.setattr(tokens, "splitter", lambda pattern: lambda text: split.append(text) or make(pattern)(text))
+    chunks, _ = counted(monkeypatch, tmp_path, name, spaced)
+    some = ["so Élan, words. Marks!?$$$ (no) it's' a1. dots... end' ª! µ.\xa0x ÿ_ \x7f. word'.s. ²,", "so <|odd, x", "so \u0101b, Ā."]
+    want = [RAW(e.ids) for e in library(name).encode_batch(some, add_special_tokens=False)]
+    assert chunks.encode(some) == want
+    assert not {"élan,", "words.", "marks!?$$$", "dots...", "end'", "ª!", "ÿ_"}.intersection(t.strip().lower() for t in split)
+    assert any("it's'" in t for t in split)
+
+
 def test_automaton_against_merging_by_rank():
     """Random merges over a small alphabet, against the plain algorithm."""
     rng = random.Random(8)
